@@ -13,10 +13,9 @@ BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 BOOT_ITER, BOOT_SEED = 60, 7
 
 
-def r(expr: str, name: str | None = None) -> str:
-    """Six digits, no negative zero."""
-    rounded = f"CASE WHEN round({expr}, 6) = 0 THEN 0.0 ELSE round({expr}, 6) END"
-    return f"CAST({rounded} AS DOUBLE) AS {name or expr}"
+def r(expr: str, name: str | None = None, digits: int = 6) -> str:
+    """Rounded by plain arithmetic, as on the other side of the comparison."""
+    return f"CAST(floor(({expr}) * 1e{digits} + 0.5) / 1e{digits} AS DOUBLE) AS {name or expr}"
 
 
 def rr(*names: str) -> str:
@@ -230,8 +229,8 @@ cor AS (
          AVG(CASE WHEN grade = 2 THEN growth_pct END) AS mean_2,
          AVG(CASE WHEN grade = 3 THEN growth_pct END) AS mean_3
   FROM ranked GROUP BY {by}),
-tested AS (SELECT *, CASE WHEN n > 2 THEN {t} END AS t FROM cor),
-valued AS (SELECT *, {student_p("t", "n - 2")} AS p_value FROM tested),
+tested AS (SELECT *, abs(rho) >= 1 - 1e-12 AS exact, CASE WHEN n > 2 AND abs(rho) < 1 - 1e-12 THEN {t} END AS t FROM cor),
+valued AS (SELECT *, CASE WHEN n > 2 AND exact THEN 0.0 ELSE {student_p("t", "n - 2")} END AS p_value FROM tested),
 assoc AS (
   SELECT *,
     CASE WHEN p_value < 0.05 AND rho < 0 THEN '{labels.RELATION_GOOD}'
@@ -538,8 +537,8 @@ SELECT n, {rr('slope', 'intercept', 'r_squared', 'sigma', 'slope_se', 'intercept
 o AS (SELECT DISTINCT k - 1 AS df_between, df_resid AS df_within, sst - ssw AS ss_between, ssw AS ss_within FROM coef),
 m AS (SELECT *, ss_between / df_between AS ms_between, ss_within / df_within AS ms_within FROM o),
 f AS (SELECT *, ms_between / ms_within AS f_value FROM m)
-SELECT df_between, df_within, {rr('ss_between', 'ss_within', 'ms_between', 'ms_within', 'f_value')},
-       {r('pow(df_within / (df_within + 2 * f_value), df_within / 2.0)', 'p_value')} FROM f"""
+SELECT df_between, df_within, {', '.join(r(c, digits=3) for c in ('ss_between', 'ss_within', 'ms_between', 'ms_within', 'f_value'))},
+       {r('pow(df_within / (df_within + 2 * f_value), df_within / 2.0)', 'p_value', 3)} FROM f"""
     q["tukey_pairs"] = f"""WITH {TUKEY},
 e AS (SELECT DISTINCT df_resid AS df, ssw / df_resid AS msw FROM coef)
 SELECT a.grade AS level_a, b.grade AS level_b, {r('b.m - a.m', 'diff')},

@@ -78,7 +78,9 @@ def spearman(
         F.sum("_xy").alias("_xy"),
     )
     rho = safe_div("_xy", F.sqrt("_xx") * F.sqrt("_yy"))
-    return sums.select(*by, "n", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho)).alias("rho"))
+    # Not greatest/least alone: they skip nulls and would turn an undefined correlation into 1.
+    bounded = F.when(rho.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho)))
+    return sums.select(*by, "n", bounded.alias("rho"))
 
 
 def with_spearman_p(correlated: DataFrame) -> DataFrame:

@@ -115,12 +115,12 @@ def plot_totals(panel: DataFrame, by: Sequence[str] = (*PLOT, "year")) -> DataFr
 
 def to_wide(panel: DataFrame, species: Sequence[str], ids: Sequence[str] = (*PLOT, "year")) -> DataFrame:
     """One column per species. For a sink only: the operators of this library stay long."""
-    cell = F.struct(F.count("*").alias("rows"), F.max("value").alias("value"))
-    wide = panel.groupBy(*ids).pivot("species", list(species)).agg(cell)
+    cell = [F.count(F.lit(1)).alias("rows"), F.max("value").alias("value")]
+    wide = panel.groupBy(*ids).pivot("species", list(species)).agg(*cell)
     return wide.select(
         *ids,
         *[
-            once(F.col(f"`{s}`.value"), F.col(f"`{s}`.rows"), "duplicate cell in the panel").alias(s)
+            once(F.col(f"`{s}_value`"), F.col(f"`{s}_rows`"), "duplicate cell in the panel").alias(s)
             for s in species
         ],
     )
