@@ -537,8 +537,8 @@ SELECT n, {rr('slope', 'intercept', 'r_squared', 'sigma', 'slope_se', 'intercept
 o AS (SELECT DISTINCT k - 1 AS df_between, df_resid AS df_within, sst - ssw AS ss_between, ssw AS ss_within FROM coef),
 m AS (SELECT *, ss_between / df_between AS ms_between, ss_within / df_within AS ms_within FROM o),
 f AS (SELECT *, ms_between / ms_within AS f_value FROM m)
-SELECT df_between, df_within, {', '.join(r(c, digits=3) for c in ('ss_between', 'ss_within', 'ms_between', 'ms_within', 'f_value'))},
-       {r('pow(df_within / (df_within + 2 * f_value), df_within / 2.0)', 'p_value', 3)} FROM f"""
+SELECT df_between, df_within, {', '.join(r(c, digits=3) for c in ('ss_between', 'ss_within', 'ms_between', 'ms_within'))},
+       {r('f_value')}, {r('pow(df_within / (df_within + 2 * f_value), df_within / 2.0)', 'p_value')} FROM f"""
     q["tukey_pairs"] = f"""WITH {TUKEY},
 e AS (SELECT DISTINCT df_resid AS df, ssw / df_resid AS msw FROM coef)
 SELECT a.grade AS level_a, b.grade AS level_b, {r('b.m - a.m', 'diff')},

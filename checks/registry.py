@@ -28,15 +28,19 @@ MODEL_M, MODEL_P = "A", "R"
 BOOT_ITER, BOOT_SEED = 60, 7
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+# Sums of squares have nine digits before the point, which leaves fewer behind it.
+DIGITS = {"ss_between": 3, "ss_within": 3, "ms_between": 3, "ms_within": 3}
+
+
+def rounded(df: DataFrame) -> DataFrame:
     """Rounded by plain arithmetic, which gives the same bits on every engine and no negative zero."""
-    scale = 10.0**digits
-    return df.select(
-        *[
-            (F.floor(F.col(f"`{n}`") * scale + 0.5) / scale).alias(n) if t == "double" else F.col(f"`{n}`")
-            for n, t in df.dtypes
-        ]
-    )
+
+    def shown(name: str, kind: str):
+        scale = 10.0 ** DIGITS.get(name, 6)
+        c = F.col(f"`{name}`")
+        return (F.floor(c * scale + 0.5) / scale).alias(name) if kind == "double" else c
+
+    return df.select(*[shown(n, t) for n, t in df.dtypes])
 
 
 def sparse(spark, sf, scenario=SCENARIO, years=(START, END)) -> DataFrame:
@@ -513,15 +517,11 @@ QUERIES |= {
 }
 
 
-# Sums of squares have nine digits before the point, which leaves fewer behind it.
-DIGITS = {"anova_oneway": 3}
-
-
 def queries():
-    def wrap(name, fn):
-        return lambda spark, sf: rounded(fn(spark, sf), DIGITS.get(name, 6))
+    def wrap(fn):
+        return lambda spark, sf: rounded(fn(spark, sf))
 
-    return {name: wrap(name, fn) for name, fn in QUERIES.items()}
+    return {name: wrap(fn) for name, fn in QUERIES.items()}
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions.columns import draw_hash, order_hash
+from ..session import stored
 from .ordering import numbered
 from .rank_tests import spearman
 
@@ -48,7 +49,8 @@ def bootstrap_diff(
     known = df.where(F.col(value).isNotNull() & F.col(grade).isNotNull() & F.col(side).isin(list(sides)))
     known = known.select(group, side, *key, value, grade)
     valid = known.join(eligible(known, group, side, sides, least), group, "left_semi")
-    rows = numbered(valid, [group, side], order_hash(*key))
+    # Stored, because every iteration reads the numbered rows and they are few next to the draws.
+    rows = stored(numbered(valid, [group, side], order_hash(*key)))
     largest = rows.agg(F.max("group_size")).first()[0] or 0
 
     draws = (

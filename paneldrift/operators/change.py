@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions.columns import safe_div, sum_or_zero
-from .reshape import PAIR, PLOT, drop_absent, shares, start_or_trailing, two_dates
+from .reshape import PAIR, PLOT, at_dates, drop_absent, start_or_trailing, two_dates
 
 
 def _growth(ini: Column, fin: Column) -> Column:
@@ -185,16 +185,16 @@ def share_change(
 ) -> DataFrame:
     """Shares of the plot total at both dates, their ratio and difference, and the evolution they show.
 
-    With ``lag`` also the ratio of the end share to the share ``lag`` dates before.
+    With ``lag`` also the ratio of the end share to the share ``lag`` dates before. The dates are picked
+    first, so the window that adds up a plot sees one row per species.
     """
-    wanted = {"share_start": start, "share_end": end}
+    dates = {"share_start": start, "share_end": end}
     if lag is not None:
-        wanted["share_before"] = end - lag
-    composed = shares(panel.where(F.col("year").isin(*wanted.values())), (*by, "year"))
-    picked = composed.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("year") == y, F.col("share"))).alias(n) for n, y in wanted.items()]
-    )
-    compared = picked.withColumns(
+        dates["share_before"] = end - lag
+    w = W.partitionBy(*by)
+    picked = at_dates(panel, dates, keys)
+    composed = picked.withColumns({name: safe_div(name, sum_or_zero(name, w)) for name in dates})
+    compared = composed.withColumns(
         {
             "share_ratio": safe_div("share_end", "share_start"),
             "share_diff": F.col("share_end") - F.col("share_start"),

@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..functions.columns import once, sum_or_zero
+from ..functions.columns import once
 from .reshape import PLOT, drop_absent, restrict
 
 
@@ -40,9 +41,11 @@ def grade_lookup(
     would repeat the rows it is attached to.
     """
     at = {"ini": F.col("year") == start, "fin": F.col("year") == end}
+    # With one scenario chosen it is constant; naming it lets Spark share the panel's own shuffle.
+    keys = ["plot", "species"] if scenario is None else ["plot", "scenario", "species"]
     pairs = (
         restrict(graded, scenario, (start, end))
-        .groupBy("plot", "species")
+        .groupBy(*keys)
         .agg(
             *[F.max(F.when(cond, F.col("value"))).alias(n) for n, cond in at.items()],
             *[F.count_if(cond).alias(f"_{n}") for n, cond in at.items()],
@@ -85,16 +88,18 @@ def belt_table(spark: SparkSession) -> DataFrame:
 
 
 def attach_totals(panel: DataFrame, start: int, end: int, keys: Sequence[str] = (*PLOT, "lon", "lat")) -> DataFrame:
-    """Attach plot totals of both dates by keys that may be missing (a plot without coordinates)."""
-    totals = panel.where(F.col("year").isin(start, end)).groupBy(*keys).agg(
-        F.sum(F.when(F.col("year") == start, F.coalesce("value", F.lit(0.0)))).alias("total_start"),
-        F.sum(F.when(F.col("year") == end, F.coalesce("value", F.lit(0.0)))).alias("total_end"),
-    )
+    """Values of each species at both dates with the plot totals of those dates.
+
+    The keys may be missing (a plot without coordinates): window partitions, like a null-safe join, put
+    missing keys together, and need no second pass and no join.
+    """
+    held = {"start": F.col("year") == start, "end": F.col("year") == end}
     pairs = panel.where(F.col("year").isin(start, end)).groupBy(*keys, "species").agg(
-        sum_or_zero(F.when(F.col("year") == start, F.col("value"))).alias("start_value"),
-        sum_or_zero(F.when(F.col("year") == end, F.col("value"))).alias("end_value"),
+        *[F.sum(F.when(cond, F.coalesce("value", F.lit(0.0)))).alias(f"_{n}") for n, cond in held.items()]
     )
-    return join_null_safe(pairs, totals, keys)
+    w = W.partitionBy(*keys)
+    totals = pairs.withColumns({f"total_{n}": F.sum(f"_{n}").over(w) for n in held})
+    return totals.withColumns({f"{n}_value": F.coalesce(f"_{n}", F.lit(0.0)) for n in held}).drop("_start", "_end")
 
 
 def pair_models(m: DataFrame, p: DataFrame, value: str = "growth_pct", on: Sequence[str] = ("plot", "species_latin")) -> DataFrame:

@@ -47,7 +47,7 @@ def group_totals(df: DataFrame, by: str, value: str = "value") -> DataFrame:
 def contingency(df: DataFrame, rows: str, columns: str, levels: Sequence[str]) -> DataFrame:
     """Counts of row level by column level, rows with a missing level left out, empty cells zero."""
     known = df.where(F.col(rows).isNotNull() & F.col(columns).isNotNull())
-    return known.groupBy(rows).pivot(columns, list(levels)).count().na.fill(0)
+    return known.groupBy(rows).agg(*[F.count_if(F.col(columns) == v).alias(str(v)) for v in levels])
 
 
 def contingency_shares(df: DataFrame, rows: str, columns: str) -> DataFrame:

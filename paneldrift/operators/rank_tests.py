@@ -55,7 +55,7 @@ def spearman(
     by: Sequence[str] = (),
     largest_group: int | None = None,
 ) -> DataFrame:
-    """Rank correlation per group; null where either side is constant."""
+    """Rank correlation per group, null where either side is constant, and the mean value per level."""
     placed = level_positions(df, value, level, levels, by, largest_group)
     k = range(len(levels))
     centre = (F.col("total") + 1) / 2
@@ -70,17 +70,20 @@ def spearman(
         (F.col("n") * dx * dx).alias("_xx"),
         (_total([F.col(f"n{i}") * dy[i] * dy[i] for i in k])).alias("_yy"),
         (_total([F.col(f"n{i}") * dy[i] for i in k]) * dx).alias("_xy"),
+        *[F.col(f"n{i}") for i in k],
+        *[(F.col(value) * F.col(f"n{i}")).alias(f"_s{i}") for i in k],
     )
     sums = weighted.groupBy(*by).agg(
         F.sum("n").alias("n"),
         F.sum("_xx").alias("_xx"),
         F.sum("_yy").alias("_yy"),
         F.sum("_xy").alias("_xy"),
+        *[F.try_divide(F.sum(f"_s{i}"), F.sum(f"n{i}").cast("double")).alias(f"mean_{v}") for i, v in enumerate(levels)],
     )
     rho = safe_div("_xy", F.sqrt("_xx") * F.sqrt("_yy"))
     # Not greatest/least alone: they skip nulls and would turn an undefined correlation into 1.
     bounded = F.when(rho.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho)))
-    return sums.select(*by, "n", bounded.alias("rho"))
+    return sums.select(*by, "n", bounded.alias("rho"), *[f"mean_{v}" for v in levels])
 
 
 def with_spearman_p(correlated: DataFrame) -> DataFrame:
@@ -98,15 +101,10 @@ def association(
 ) -> DataFrame:
     """Rank correlation of a value with its grade per group, mean per grade and what it says.
 
-    Grade means come from the same distinct-value table, so the input is read once.
+    Grade means come from the ranked distinct values as well, so the input is read once.
     """
-    known = df.where(F.col(value).isNotNull() & F.col(grade).isNotNull())
-    means = known.groupBy(*by).agg(
-        *[F.avg(F.when(F.col(grade) == g, F.col(value))).alias(f"mean_{g}") for g in grades]
-    )
-    correlated = with_spearman_p(spearman(known, value, grade, grades, by))
-    joined = correlated.join(means, list(by), "left")
-    return joined.withColumns(
+    correlated = with_spearman_p(spearman(df, value, grade, grades, by))
+    return correlated.withColumns(
         {
             "relation": labels.relation("rho", "p_value"),
             "interpretation": labels.interpretation("rho", "p_value"),

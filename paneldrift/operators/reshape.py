@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -36,20 +36,17 @@ def start_or_trailing(start: int, end: int, window: int) -> Column:
     return (year == start) | year.between(end - window + 1, end)
 
 
-def two_dates(
-    panel: DataFrame,
-    start: int,
-    end: int,
-    keys: Sequence[str] = PAIR,
-    missing: str = "null",
+def at_dates(
+    panel: DataFrame, dates: Mapping[str, int], keys: Sequence[str] = PAIR, missing: str = "null"
 ) -> DataFrame:
-    """One row per key with the start value ``ini`` and the end value ``fin``.
+    """One row per key with one column per named date.
 
     A cell the panel does not hold stays null, or becomes zero with ``missing="zero"``, which is what a
     panel with explicit zeros gives without storing them. A key with two rows at one date is an error.
+    One aggregate with explicit dates: a pivot would plan a second one.
     """
-    at = {"ini": F.col("year") == start, "fin": F.col("year") == end}
-    picked = panel.where(F.col("year").isin(start, end)).groupBy(*keys).agg(
+    at = {name: F.col("year") == date for name, date in dates.items()}
+    picked = panel.where(F.col("year").isin(list(dates.values()))).groupBy(*keys).agg(
         *[F.max(F.when(cond, F.col("value"))).alias(name) for name, cond in at.items()],
         *[F.count_if(cond).alias(f"_{name}") for name, cond in at.items()],
     )
@@ -61,6 +58,13 @@ def two_dates(
     return picked.select(*keys, *[value.alias(name) for name, value in values.items()])
 
 
+def two_dates(
+    panel: DataFrame, start: int, end: int, keys: Sequence[str] = PAIR, missing: str = "null"
+) -> DataFrame:
+    """One row per key with the start value ``ini`` and the end value ``fin``; see ``at_dates``."""
+    return at_dates(panel, {"ini": start, "fin": end}, keys, missing)
+
+
 def drop_all_zero(panel: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
     """Drop the rows of every key whose known values are all zero, and of keys without a known value."""
     zero = F.bool_and(F.col("value") == 0).over(W.partitionBy(*keys))
@@ -137,10 +141,20 @@ def to_long(wide: DataFrame, species: Sequence[str], ids: Sequence[str] = (*PLOT
 
 
 def trailing_ratio(panel: DataFrame, value: str, lag: int, keys: Sequence[str] = PAIR) -> DataFrame:
-    """Value of every date against the one ``lag`` dates earlier, matched by date, not by position."""
-    now = panel.select(*keys, "year", F.col(value).alias("now"))
-    before = panel.select(*keys, (F.col("year") + lag).alias("year"), F.col(value).alias("before"))
-    return now.join(before, [*keys, "year"]).withColumn("ratio", safe_div("now", "before"))
+    """Value of every date against the one exactly ``lag`` dates earlier, where both exist.
+
+    The frame is a range of dates, not of rows, so missing dates do not shift the pairing, and the panel
+    is read once where a self-join would read it twice.
+    """
+    earlier = W.partitionBy(*keys).orderBy("year").rangeBetween(-lag, -lag)
+    paired = panel.select(
+        *keys,
+        "year",
+        F.col(value).alias("now"),
+        F.max(value).over(earlier).alias("before"),
+        F.count("*").over(earlier).alias("_found"),
+    )
+    return paired.where(F.col("_found") > 0).drop("_found").withColumn("ratio", safe_div("now", "before"))
 
 
 def stack(frames: dict[str, DataFrame], label: str = "model") -> DataFrame:
