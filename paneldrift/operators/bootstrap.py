@@ -15,20 +15,10 @@ from pyspark.sql import functions as F
 from ..functions import labels
 from ..functions.columns import draw_hash, order_hash
 from ..session import stored
-from .ordering import numbered
+from .ordering import SMALL_GROUP, numbered
 from .rank_tests import spearman
 
 
-def eligible(df: DataFrame, group: str, side: str, sides: Sequence[str], least: int) -> DataFrame:
-    """Groups with at least ``least`` rows on both sides."""
-    return (
-        df.groupBy(group)
-        .agg(*[F.count_if(F.col(side) == s).alias(f"_n{i}") for i, s in enumerate(sides)])
-        .where((F.col("_n0") >= least) & (F.col("_n1") >= least))
-        .select(group)
-    )
-
-
 def bootstrap_diff(
     df: DataFrame,
     group: str,
@@ -47,22 +37,31 @@ def bootstrap_diff(
     ``key`` identifies a row within group and side. The difference is null when a resample is constant.
     """
     known = df.where(F.col(value).isNotNull() & F.col(grade).isNotNull() & F.col(side).isin(list(sides)))
-    known = known.select(group, side, *key, value, grade)
-    valid = known.join(eligible(known, group, side, sides, least), group, "left_semi")
     # Stored, because every iteration reads the numbered rows and they are few next to the draws.
-    rows = stored(numbered(valid, [group, side], order_hash(*key)))
+    every = stored(numbered(known.select(group, side, *key, value, grade), [group, side], order_hash(*key)))
+    sizes = [F.max(F.when(F.col(side) == s, F.col("group_size"))) for s in sides]
+    enough = every.groupBy(group).agg(*[n.alias(f"_n{i}") for i, n in enumerate(sizes)])
+    enough = enough.where((F.col("_n0") >= least) & (F.col("_n1") >= least)).select(group)
+    rows = every.join(enough, group, "left_semi")
     largest = rows.agg(F.max("group_size")).first()[0] or 0
 
+    # A stored table of few rows would be read by few tasks; the draws made from it need all of them.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     draws = (
         rows.select(group, side, F.col("number").alias("_draw"), "group_size")
+        .repartition(tasks, "_draw")
         .withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(n_iter))))
         .withColumn(
             "number", draw_hash(F.lit(seed), group, side, "iteration", "_draw") % F.col("group_size") + 1
         )
         .select(group, side, "iteration", "number")
     )
+    resample = [group, side, "iteration"]
     drawn = draws.join(rows.select(group, side, "number", value, grade), [group, side, "number"])
-    rho = spearman(drawn, value, grade, grades, [group, side, "iteration"], largest_group=largest)
+    if largest <= SMALL_GROUP:
+        # A resample has no more rows than its group: placed whole, it is folded and ranked where it is.
+        drawn = drawn.repartition(tasks, *resample)
+    rho = spearman(drawn, value, grade, grades, resample, largest_group=largest)
     first, second = sides
     return rho.groupBy(group, "iteration").agg(
         (

@@ -31,7 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local[...] session, where driver and executors are one process, may fall back to a
     temporary folder of its own.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

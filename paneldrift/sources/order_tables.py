@@ -122,5 +122,5 @@ def belts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def polygon(spark: SparkSession) -> DataFrame:
-    rows = [("area", 1, i, lon, lat) for i, (lon, lat) in enumerate(RING)]
-    return spark.createDataFrame(rows, "region string, ring_id int, seq int, lon double, lat double")
+    points = ", ".join(f"('area', 1, {i}, {lon}D, {lat}D)" for i, (lon, lat) in enumerate(RING))
+    return spark.sql(f"SELECT * FROM VALUES {points} AS ring(region, ring_id, seq, lon, lat)")
