@@ -188,10 +188,12 @@ def factor_diagnostics(df: DataFrame, y: str, level: str, keys: Sequence[str]) -
     Levels hold one row each, so their table is small next to the data. Tied residuals share the
     quantile of their middle position.
     """
-    known = df.where(F.col(y).isNotNull() & F.col(level).isNotNull()).select(*keys, level, y)
-    known = stored(known)
-    fit = _fit(level_moments(known, y, level), level).select(
-        F.col(level).alias("_level"), F.col("mean").alias("fitted"), F.col("n").alias("_n"), "ms_within"
+    known = stored(df.where(F.col(y).isNotNull() & F.col(level).isNotNull()).select(*keys, level, y))
+    # Stored, so that its size is known and it is sent to the rows rather than the rows to a few levels.
+    fit = stored(
+        _fit(level_moments(known, y, level), level).select(
+            F.col(level).alias("_level"), F.col("mean").alias("fitted"), F.col("n").alias("_n"), "ms_within"
+        )
     )
     leverage = safe_div(F.lit(1.0), F.col("_n").cast("double"))
     resid = F.col(y) - F.col("fitted")

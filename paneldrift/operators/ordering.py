@@ -6,8 +6,8 @@ grades, six belt-by-type groups, or no grouping at all). Instead:
 1. equal values of a group are folded into one row with counts, before any shuffle of the detail;
 2. the folded rows are range-partitioned by (group, value), so a large group spans many partitions,
    and stored together with the number of their partition;
-3. counts below a row are the counts of the earlier partitions of its group, a table of about one row
-   per partition and group, plus a running sum within the partition.
+3. counts below a row are the counts of the earlier partitions of its group, about one row per
+   partition and group, plus a running sum within the partition.
 """
 
 from __future__ import annotations
@@ -48,21 +48,23 @@ def with_positions(
     # A few rows per partition of the range: their window is small even without grouping columns.
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     earlier = group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy(*by, "_part")
-        .agg(*[F.sum(c).alias(c) for c in counts])
-        .withColumns(
-            {f"_off_{c}": F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c in counts}
-            | {f"total_{c}": F.sum(c).over(group) for c in counts}
-        )
-        .drop(*counts)
+    sums = ranged.groupBy(*by, "_part").agg(*[F.sum(c).alias(c) for c in counts])
+    heads = sums.select(
+        *by,
+        "_part",
+        F.lit(0).alias("_kind"),
+        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in counts],
+        *[F.sum(c).over(group).alias(f"total_{c}") for c in counts],
+    )
+    # What lies before a partition enters its running sum as the first row: no join of the two tables.
+    lines = ranged.withColumn("_kind", F.lit(1)).unionByName(heads, allowMissingColumns=True)
+    before = W.partitionBy("_part", *by).orderBy("_kind", value).rowsBetween(W.unboundedPreceding, -1)
+    running = lines.withColumns(
+        {f"below_{c}": F.sum(c).over(before) for c in counts}
+        | {f"total_{c}": F.max(f"total_{c}").over(before) for c in counts}
     )
-    within = W.partitionBy("_part", *by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    local = ranged.withColumns({f"_in_{c}": F.coalesce(F.sum(c).over(within), F.lit(0)) for c in counts})
-    return (
-        join_null_safe(local, offsets, ("_part", *by), "inner")
-        .withColumns({f"below_{c}": F.col(f"_off_{c}") + F.col(f"_in_{c}") for c in counts})
-        .select(*rows.columns, *[f"{kind}_{c}" for kind in ("below", "total") for c in counts])
+    return running.where(F.col("_kind") == 1).select(
+        *rows.columns, *[f"{kind}_{c}" for kind in ("below", "total") for c in counts]
     )
 
 

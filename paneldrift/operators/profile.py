@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_div
+from ..session import stored
 from .enrich import join_null_safe
 from .ordering import quantiles_of, value_positions
 
@@ -95,11 +96,15 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str], limits: tuple[float,
     if limits is not None:
         df = df.where(F.col(value).between(*limits))
     positions = value_positions(df, value, by)
-    box = quantiles_of(positions, value, by, {"q1": 0.25, "median": 0.5, "q3": 0.75}).withColumns(
-        {
-            "_low": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
-            "_high": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")),
-        }
+    # One row per category. Stored, its size is known when the join is planned: Spark sends it to the
+    # values if it is small, instead of first shuffling the values by a few large categories.
+    box = stored(
+        quantiles_of(positions, value, by, {"q1": 0.25, "median": 0.5, "q3": 0.75}).withColumns(
+            {
+                "_low": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
+                "_high": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")),
+            }
+        )
     )
     placed = join_null_safe(positions.select(*by, value, F.col("n").alias("_copies")), box, by, "inner")
     inside = F.col(value).between(F.col("_low"), F.col("_high"))

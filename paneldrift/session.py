@@ -46,9 +46,10 @@ def stored(df: DataFrame) -> DataFrame:
 
     Later passes scan the stored columns instead of re-running the plan above, survive the loss of
     executors, and all see the same bits: re-running a floating-point sum may change its last digit,
-    which would break a later join on the value.
+    which would break a later join on the value. The tables of a run share one folder named after the
+    application; it may go when the run is over.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
