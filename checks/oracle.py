@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from paneldrift.functions import distributions as dist
 from paneldrift.functions import labels
+from paneldrift.operators import linear
 
 BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 BOOT_ITER, BOOT_SEED = 60, 7
@@ -453,6 +454,13 @@ LEFT JOIN cell c ON c.scenario = 'N' AND c.plot = k.plot AND c.year = k.year AND
     q["belt_lookup"] = f"""WITH {PANEL},{IND},{BELT}
 SELECT plot, ind.species, belt, stand_type, {r('growth_pct')} FROM ind JOIN belt ON belt.species = ind.species"""
     q["cross_model_pairs"] = f"WITH {MODELS} SELECT plot, species_latin, {rr('value_m', 'value_p')} FROM pairs"
+    q["cross_model_means"] = f"""WITH {MODELS},
+a AS (SELECT species, AVG(growth_pct) AS value_m FROM im GROUP BY species),
+b AS (SELECT species, AVG(growth_pct) AS value_p FROM ip GROUP BY species)
+SELECT 'Species_' || substr(a.species, 7) AS species_latin, {rr('value_m', 'value_p')} FROM a JOIN b ON a.species = b.species"""
+    q["complete_rows"] = q["two_date_indicators_sparse"] + (
+        " WHERE ini IS NOT NULL AND fin IS NOT NULL AND growth_pct IS NOT NULL AND share_shift IS NOT NULL"
+    )
     q["stacked_models"] = f"""WITH {MODELS}
 SELECT plot, species, {rr('ini', 'fin', 'growth_pct')}, 'M' AS model FROM im UNION ALL
 SELECT plot, species, {rr('ini', 'fin', 'growth_pct')}, 'P' AS model FROM ip"""
@@ -579,6 +587,19 @@ m AS (SELECT COUNT(*) AS n, AVG(d * d) AS m2, AVG(d * d * d) AS m3, AVG(d * d *
 k AS (SELECT n, m3 / pow(m2, 1.5) AS skewness, m4 / (m2 * m2) - 3 AS excess_kurtosis FROM m),
 j AS (SELECT *, n / 6.0 * (skewness * skewness + excess_kurtosis * excess_kurtosis / 4) AS jb FROM k)
 SELECT n, {rr('skewness', 'excess_kurtosis', 'jb')}, {r('exp(-jb / 2)', 'p_value')} FROM j"""
+    order = "md5(concat_ws('|', '2', CAST(plot AS VARCHAR), species)), plot, species"
+    q["shapiro_sample"] = f"""WITH {PANEL},{IND},
+sm AS (SELECT share_shift AS x FROM ind WHERE share_shift IS NOT NULL ORDER BY {order} LIMIT 4999),
+o AS (SELECT x, row_number() OVER (ORDER BY x) AS i, CAST(COUNT(*) OVER () AS DOUBLE) AS n FROM sm),
+m AS (SELECT *, {normal_quantile("((i - 0.375) / (n + 0.25))")} AS m FROM o),
+k AS (SELECT SUM(m * m) AS mm, MAX(m) AS mn, MAX(CASE WHEN i = n - 1 THEN m END) AS mp, MAX(n) AS n, 1 / sqrt(MAX(n)) AS u FROM m),
+e AS (SELECT *, {horner("u", linear.LAST_WEIGHT)} + mn / sqrt(mm) AS an, {horner("u", linear.NEXT_WEIGHT)} + mp / sqrt(mm) AS ap FROM k),
+f AS (SELECT *, sqrt((mm - 2 * mn * mn - 2 * mp * mp) / (1 - 2 * an * an - 2 * ap * ap)) AS fac FROM e),
+a AS (SELECT x, CASE WHEN i = f.n THEN an WHEN i = f.n - 1 THEN ap WHEN i = 1 THEN -an WHEN i = 2 THEN -ap ELSE m / fac END AS a
+      FROM m CROSS JOIN f),
+w AS (SELECT COUNT(*) AS n, pow(SUM(a * x), 2) / (SUM(x * x) - SUM(x) * SUM(x) / COUNT(*)) AS w FROM a),
+z AS (SELECT *, (ln(1 - w) - {horner("ln(n)", linear.LOG_MEAN)}) / exp({horner("ln(n)", linear.LOG_SPREAD)}) AS z FROM w)
+SELECT n, {r('w')}, {r(f"CASE WHEN z > 0 THEN ({normal_p('z')}) / 2 ELSE 1 - ({normal_p('z')}) / 2 END", 'p_value')} FROM z"""
     position = "((rk - 0.5) / n)"
     q["lm_diagnostics"] = f"""WITH {ANALYSED},
 lev AS (SELECT grade, COUNT(*) AS ln, AVG(growth_pct) AS fitted FROM growths GROUP BY grade),

@@ -257,10 +257,17 @@ def belt_lookup(spark, sf):
     )
 
 
-def _both_models(spark, sf):
+def _models(spark, sf):
     m = src.with_grades(measured(spark, sf, MODEL_M)).drop("species", "grade")
-    p = analysed(spark, sf, MODEL_P, ("species_latin",))
-    return enrich.pair_models(m, p)
+    return m, analysed(spark, sf, MODEL_P, ("species_latin",))
+
+
+def _both_models(spark, sf):
+    return enrich.pair_models(*_models(spark, sf))
+
+
+def cross_model_means(spark, sf):
+    return enrich.pair_model_means(*_models(spark, sf))
 
 
 def cross_model_pairs(spark, sf):
@@ -284,6 +291,10 @@ def distinct_species(spark, sf):
     return profile.distinct_values(sparse(spark, sf, None, None), "species")
 
 
+def complete_rows(spark, sf):
+    return profile.complete_rows(two_date_indicators_sparse(spark, sf))
+
+
 def level_codes(spark, sf):
     rows = profile.level_codes(measured(spark, sf), "stand_type")
     return rows.groupBy("stand_type", "stand_type_code").agg(F.count("*").alias("n"))
@@ -407,6 +418,10 @@ def jarque_bera(spark, sf):
     return linear.jarque_bera(measured(spark, sf), "share_shift")
 
 
+def shapiro_sample(spark, sf):
+    return linear.shapiro_wilk(measured(spark, sf), "share_shift", ("plot", "species"), seed=2)
+
+
 def lm_diagnostics(spark, sf):
     return linear.factor_diagnostics(growths(spark, sf), "growth_pct", "grade", ("plot", "species"))
 
@@ -502,12 +517,12 @@ QUERIES = {
         trailing_ratio_all_dates, evolution_from_shares, evolution_from_growth, change_metrics,
         loss_appear_classes, presence_absence, presence_likelihood, agreement_flag, contingency,
         contingency_shares, species_totals, site_left_join, null_safe_totals_join, species_wide,
-        species_long, belt_lookup, cross_model_pairs, stacked_models, distinct_species, level_codes,
+        species_long, belt_lookup, cross_model_pairs, cross_model_means, stacked_models, distinct_species, level_codes, complete_rows,
         numeric_profile, numeric_profile_growth, large_totals, category_frequency, agreement_frequency,
         boxplot_stats, boxplot_outliers, boxplot_stats_clipped, distribution_by_year, top_n_ties, sample_n,
         quantiles, mid_ranks, spearman_by_group, spearman_by_species, grade_means, ols_categorical, ols_log,
         ols_offset, ols_pair, anova_oneway, tukey_pairs, tukey_intervals, kruskal, dunn_bh, wilcoxon_pairs,
-        jarque_bera, lm_diagnostics, lm_pair_diagnostics, bootstrap_rho_diff, bootstrap_ci, bbox_crop,
+        jarque_bera, shapiro_sample, lm_diagnostics, lm_pair_diagnostics, bootstrap_rho_diff, bootstrap_ci, bbox_crop,
         unlocated_sites, point_in_polygon, clipped_growth, map_value, map_agreement, series_table,
         ordered_bars, correlation_bars,
     )

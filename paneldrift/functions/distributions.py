@@ -171,6 +171,12 @@ def normal_p(z: pd.Series) -> pd.Series:
     return _rowwise(lambda v: math.erfc(abs(v) / math.sqrt(2.0)), z)
 
 
+@F.pandas_udf(T.DoubleType())
+def normal_upper(z: pd.Series) -> pd.Series:
+    """Upper tail of the normal distribution."""
+    return _rowwise(lambda v: math.erfc(v / math.sqrt(2.0)) / 2.0, z)
+
+
 @F.pandas_udf(T.DoubleType())
 def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided Student p-value."""

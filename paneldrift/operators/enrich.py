@@ -107,3 +107,12 @@ def pair_models(m: DataFrame, p: DataFrame, value: str = "growth_pct", on: Seque
     left = m.select(*on, F.col(value).alias("value_m"))
     right = p.select(*on, F.col(value).alias("value_p"))
     return left.join(right, list(on))
+
+
+def pair_model_means(
+    m: DataFrame, p: DataFrame, value: str = "growth_pct", on: Sequence[str] = ("species_latin",)
+) -> DataFrame:
+    """Mean per species in both models, for models whose plots do not correspond."""
+    left = m.groupBy(*on).agg(F.avg(value).alias("value_m"))
+    right = p.groupBy(*on).agg(F.avg(value).alias("value_p"))
+    return left.join(right, list(on))

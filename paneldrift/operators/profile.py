@@ -35,6 +35,11 @@ def level_codes(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(f"{name}_code", F.try_element_at(codes, F.col(name)))
 
 
+def complete_rows(df: DataFrame) -> DataFrame:
+    """Rows without any missing value."""
+    return df.na.drop("any")
+
+
 def frequency(df: DataFrame, name: str) -> DataFrame:
     return df.groupBy(name).agg(F.count("*").alias("n"))
 

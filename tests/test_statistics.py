@@ -304,3 +304,17 @@ def test_bootstrap_matches_brute_force(spread, monkeypatch, bound):
         lo, hi = np.nanquantile(part["diff"], [0.025, 0.975])
         assert [ci[g]["ci_lower"], ci[g]["ci_upper"], ci[g]["mean_diff"]] == pytest.approx([lo, hi, part["diff"].mean()])
         assert ci[g]["significant"] == (lo > 0 or hi < 0)
+
+
+# Fuel use of 32 cars (a classic public data set) and the statistic printed for it in textbooks.
+MILES = (21.0, 21.0, 22.8, 21.4, 18.7, 18.1, 14.3, 24.4, 22.8, 19.2, 17.8, 16.4, 17.3, 15.2, 10.4, 10.4,
+         14.7, 32.4, 30.4, 33.9, 21.5, 15.5, 15.2, 13.3, 19.2, 27.3, 26.0, 30.4, 15.8, 19.7, 15.0, 21.4)
+
+
+def test_shapiro_wilk(spark):
+    df = spark.createDataFrame(list(enumerate(MILES)), "id int, y double")
+    r = linear.shapiro_wilk(df, "y", ["id"]).first()
+    assert (r.n, round(r.w, 5), round(r.p_value, 4)) == (32, 0.94756, 0.1229)
+    assert linear.shapiro_wilk(df, "y", ["id"], n=5).first().w is None
+    with pytest.raises(ValueError):
+        linear.shapiro_wilk(df, "y", ["id"], n=6000)
