@@ -81,22 +81,26 @@ def densify(
 ) -> DataFrame:
     """Panel with an explicit zero for every species and date of every plot.
 
-    The zero rows are added to the panel and folded in by one aggregate per cell, after one shuffle by
-    plot; the output itself is plots x species x dates by definition. ``species`` and ``years`` are the
-    level lists of the panel.
+    The zero rows are added to the panel and folded in by one aggregate per cell; the output itself is
+    plots x species x dates by definition. ``species`` and ``years`` are the level lists of the panel.
+
+    Both sides are placed by plot in a fixed number of partitions: sized by the few plot rows, as Spark
+    would do by itself, a partition would be far too large once they have been multiplied.
     """
     cell = [*keys, "species", "year"]
+    parts = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     zeros = (
         panel.select(*keys)
         .distinct()
+        .repartition(parts, keys[0])
         .withColumn("species", F.explode(F.array(*[F.lit(s) for s in species])))
         .withColumn("year", F.explode(F.array(*[F.lit(y) for y in years])))
         .withColumns({"value": F.lit(None).cast("double"), "_rows": F.lit(0)})
     )
     known = restrict(panel, years=years, species=species).select(*cell, "value").withColumn("_rows", F.lit(1))
     folded = (
-        known.unionByName(zeros)
-        .repartition(keys[0])
+        known.repartition(parts, keys[0])
+        .unionByName(zeros)
         .groupBy(*cell)
         .agg(F.max("value").alias("value"), F.sum("_rows").alias("_rows"))
     )
