@@ -63,6 +63,7 @@ def analysed(spark, sf, scenario=SCENARIO, attributes=("grade",)) -> DataFrame:
         panel,
         START,
         END,
+        scenario,
         graded=src.with_grades(panel),
         attributes=attributes,
         missing="zero",
@@ -137,6 +138,7 @@ def analysis_table(spark, sf):
         panel,
         START,
         END,
+        SCENARIO,
         site=src.sites(spark, sf),
         graded=src.with_grades(panel),
         attributes=("grade", "species_latin"),
@@ -151,6 +153,7 @@ def analysis_table_smoothed(spark, sf):
         panel,
         START,
         END,
+        SCENARIO,
         site=src.sites(spark, sf),
         graded=src.with_grades(panel),
         smooth=WINDOW,

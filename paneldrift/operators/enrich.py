@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions.columns import once
-from .reshape import PLOT, drop_absent, restrict
+from .reshape import PLOT, restrict
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -42,29 +42,24 @@ def grade_lookup(
     """
     at = {"ini": F.col("year") == start, "fin": F.col("year") == end}
     # With one scenario chosen it is constant; naming it lets Spark share the panel's own shuffle.
-    keys = ["plot", "species"] if scenario is None else ["plot", "scenario", "species"]
-    pairs = (
+    pair = ["plot", "species"] if scenario is None else ["plot", "scenario", "species"]
+    found = (
         restrict(graded, scenario, (start, end))
-        .groupBy(*keys)
+        .groupBy(*pair, *attributes)
         .agg(
             *[F.max(F.when(cond, F.col("value"))).alias(n) for n, cond in at.items()],
             *[F.count_if(cond).alias(f"_{n}") for n, cond in at.items()],
-            *[F.max(a).alias(a) for a in attributes],
-            *[(F.min(a) != F.max(a)).cast("int").alias(f"_differs_{a}") for a in attributes],
-            *[F.count(a).alias(f"_known_{a}") for a in attributes],
-            F.count("*").alias("_rows"),
         )
+        .withColumn("_variants", F.count("*").over(W.partitionBy(*pair)))
     )
     if missing == "zero":
-        pairs = pairs.withColumns({n: F.when(F.col(f"_{n}") == 0, 0.0).otherwise(F.col(n)) for n in at})
-    unique = {
-        a: F.when(
-            (F.col(f"_differs_{a}") == 1) | ((F.col(f"_known_{a}") > 0) & (F.col(f"_known_{a}") < F.col("_rows"))),
-            F.raise_error(F.lit(f"more than one {a} for a plot and species")),
-        ).otherwise(F.col(a))
-        for a in attributes
-    }
-    return drop_absent(pairs).select("plot", "species", *[c.alias(a) for a, c in unique.items()])
+        found = found.withColumns({n: F.when(F.col(f"_{n}") == 0, 0.0).otherwise(F.col(n)) for n in at})
+    unique = [
+        once(F.col(a), F.col("_variants"), f"more than one {a} for a plot and species").alias(a) for a in attributes
+    ]
+    return found.where(~((F.col("ini") == 0) & (F.col("fin") == 0)) | (F.col("_variants") > 1)).select(
+        "plot", "species", *unique
+    )
 
 
 def grade_at(graded: DataFrame, date: int, key: str = "plot", species: str = "species") -> DataFrame:

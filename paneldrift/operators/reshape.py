@@ -81,31 +81,40 @@ def densify(
 ) -> DataFrame:
     """Panel with an explicit zero for every species and date of every plot.
 
-    The zero rows are added to the panel and folded in by one aggregate per cell; the output itself is
+    The first row of each plot also stands for the grid of its empty cells; grid and known rows are then
+    folded per cell, all of it where the plot lies, in one reading of the panel. The output itself is
     plots x species x dates by definition. ``species`` and ``years`` are the level lists of the panel.
 
-    Both sides are placed by plot in a fixed number of partitions: sized by the few plot rows, as Spark
-    would do by itself, a partition would be far too large once they have been multiplied.
+    The number of partitions is fixed: sized by the rows that come in, as Spark would do by itself, a
+    partition would be far too large once they have been multiplied.
     """
-    cell = [*keys, "species", "year"]
+    cell = ["species", "year"]
     parts = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    zeros = (
-        panel.select(*keys)
-        .distinct()
-        .repartition(parts, keys[0])
-        .withColumn("species", F.explode(F.array(*[F.lit(s) for s in species])))
-        .withColumn("year", F.explode(F.array(*[F.lit(y) for y in years])))
-        .withColumns({"value": F.lit(None).cast("double"), "_rows": F.lit(0)})
+    first = F.row_number().over(W.partitionBy(*keys).orderBy(*cell)) == 1
+    known = F.array(F.struct("species", "year", "value", F.lit(1).alias("rows")))
+    empty = F.flatten(
+        F.transform(
+            F.array(*[F.lit(s) for s in species]),
+            lambda s: F.transform(
+                F.array(*[F.lit(y) for y in years]),
+                lambda y: F.struct(
+                    s.alias("species"), y.alias("year"), F.lit(None).cast("double").alias("value"), F.lit(0).alias("rows")
+                ),
+            ),
+        )
     )
-    known = restrict(panel, years=years, species=species).select(*cell, "value").withColumn("_rows", F.lit(1))
     folded = (
-        known.repartition(parts, keys[0])
-        .unionByName(zeros)
-        .groupBy(*cell)
-        .agg(F.max("value").alias("value"), F.sum("_rows").alias("_rows"))
+        panel.select(*keys, *cell, "value")
+        .repartition(parts, keys[0])
+        .withColumn("_first", first)
+        .select(*keys, F.explode(F.when(F.col("_first"), F.concat(known, empty)).otherwise(known)).alias("_cell"))
+        .select(*keys, "_cell.*")
+        .where(F.col("species").isin(list(species)) & F.col("year").isin(list(years)))
+        .groupBy(*keys, *cell)
+        .agg(F.max("value").alias("value"), F.sum("rows").alias("_rows"))
     )
     value = F.coalesce(once(F.col("value"), F.col("_rows"), "duplicate cell in the panel"), F.lit(0.0))
-    return folded.select(*cell, value.alias("value"))
+    return folded.select(*keys, *cell, value.alias("value"))
 
 
 def shares(panel: DataFrame, by: Sequence[str] = (*PLOT, "year")) -> DataFrame:

@@ -39,18 +39,18 @@ def _shipped_in(years) -> Column:
 
 
 def cells(spark: SparkSession, folder: str, scenario: str | None = None, years=None) -> DataFrame:
-    """Sparse panel, one row per shipped combination, laid out by plot.
+    """Sparse panel, one row per shipped combination of a known plot and species, laid out by plot.
 
     Quantities are added up before the shuffle, so a supplier with very many shipments sends few rows.
     After it, a plot holds at most scenarios x species x dates rows and can be placed whole: the
     repartition by plot serves every later plot-wise aggregate and window.
     """
-    lines = table(spark, folder, "lineitem")
+    lines = table(spark, folder, "lineitem").where(F.col("l_suppkey").isNotNull())
     if scenario is not None:
         lines = lines.where(F.col("l_returnflag") == scenario)
     if years is not None:
         lines = lines.where(_shipped_in(years))
-    parts = table(spark, folder, "part").select("p_partkey", "p_brand")
+    parts = table(spark, folder, "part").where(F.col("p_brand").isNotNull())
     return (
         lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy(

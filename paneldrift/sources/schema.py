@@ -58,6 +58,7 @@ NAMES_P = {
     "speciesName": "species",
     "basalAreaSum": "value",
     "Nom_latin": "species_latin",
+    "Code_climessence": "grade_code",
     "valeurs_climessence": "grade",
 }
 NAMES_SITE = {
