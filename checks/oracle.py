@@ -664,4 +664,18 @@ SELECT species, {r('total')}, CAST(row_number() OVER (ORDER BY total, species) A
         f"SELECT belt, stand_type, {r('rho')}, {label} AS label, {colours(labels.RELATION_COLOURS, 'relation')} AS colour, "
         "CAST(row_number() OVER (PARTITION BY belt ORDER BY rho ASC NULLS LAST, stand_type) AS INT) AS sort_key FROM assoc"
     )
+    q["picked_bars"] = (
+        f"WITH {ANALYSED},{association('growths', 'species, stand_type')} SELECT species, stand_type, {r('rho')} FROM assoc "
+        "QUALIFY row_number() OVER (ORDER BY species, stand_type) IN (9, 10, 19, 20)"
+    )
+    q["view_window"] = (
+        f"WITH {SITE} SELECT plot, {rr('lon', 'lat')} FROM site WHERE lon BETWEEN -5.5 AND 10 AND lat BETWEEN 41 AND 52"
+    )
+    q["delimited_source"] = (
+        f"WITH {PANEL} SELECT CAST(plot AS VARCHAR) AS plot, scenario, year, species, {r('value')} FROM cell WHERE scenario = 'N'"
+    )
+    q["stored_result"] = (
+        f"WITH {PANEL},{IND} SELECT plot, species, {rr('growth_pct', 'share_shift')}, stand_type FROM ind"
+    )
+    q["minimum_presence"] = f"WITH {PANEL},{IND} SELECT plot, species, {rr('ini', 'growth_pct')} FROM ind WHERE ini > 1"
     return q

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,9 @@ from paneldrift.operators import (
     spatial,
 )
 from paneldrift.plans import analyses
+from paneldrift.session import shared_folder
 from paneldrift.sources import order_tables as src
+from paneldrift.sources import schema, tables
 
 SCENARIO, START, END = "N", 1995, 2001
 WINDOW, LAG, DOMINANCE = 3, 3, 0.15
@@ -511,6 +515,45 @@ def correlation_bars(spark, sf):
     )
 
 
+def picked_bars(spark, sf):
+    """Bars at stated positions of the table of species and stand types, as one chart of the analyses does."""
+    found = analyses.grade_association(growths(spark, sf), None, ("species", "stand_type"))
+    return charts.pick_bars(found, ["species", "stand_type"], [9, 10, 19, 20]).select("species", "stand_type", "rho")
+
+
+def view_window(spark, sf):
+    return spatial.in_box(src.sites(spark, sf), spatial.VIEW).select("plot", "lon", "lat")
+
+
+# --- sources and sinks -----------------------------------------------------------------------------
+
+
+def _scratch(spark, name):
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def delimited_source(spark, sf):
+    """The panel written as tab-separated text under the names of the source files, and read by name."""
+    path = _scratch(spark, "delimited")
+    names = {new: old for old, new in schema.NAMES_P.items()}
+    sparse(spark, sf, years=None).withColumnsRenamed(names).write.option("sep", "\t").option("header", True).csv(path)
+    return tables.read_delimited(spark, path, schema.PANEL_P, schema.NAMES_P)
+
+
+def stored_result(spark, sf):
+    """Indicators written by scenario and read back with the scenario as a partition filter."""
+    path = _scratch(spark, "result")
+    both = measured(spark, sf).unionByName(measured(spark, sf, MODEL_M))
+    tables.write_table(both, path, ("scenario",))
+    stored = reshape.restrict(tables.read_table(spark, path), SCENARIO)
+    return stored.select("plot", "species", "growth_pct", "share_shift", "stand_type")
+
+
+def minimum_presence(spark, sf):
+    """Growth of species that start with more than one unit."""
+    return measured(spark, sf).where(F.col("ini") > 1).select("plot", "species", "ini", "growth_pct")
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -527,7 +570,8 @@ QUERIES = {
         ols_offset, ols_pair, anova_oneway, tukey_pairs, tukey_intervals, kruskal, dunn_bh, wilcoxon_pairs,
         jarque_bera, shapiro_sample, lm_diagnostics, lm_pair_diagnostics, bootstrap_rho_diff, bootstrap_ci, bbox_crop,
         unlocated_sites, point_in_polygon, clipped_growth, map_value, map_agreement, series_table,
-        ordered_bars, correlation_bars,
+        ordered_bars, correlation_bars, picked_bars, view_window, delimited_source, stored_result,
+        minimum_presence,
     )
 }
 QUERIES |= {
