@@ -41,9 +41,10 @@ def bootstrap_diff(
     every = stored(numbered(known.select(group, side, *key, value, grade), [group, side], order_hash(*key)))
     sizes = [F.max(F.when(F.col(side) == s, F.col("group_size"))) for s in sides]
     enough = every.groupBy(group).agg(*[n.alias(f"_n{i}") for i, n in enumerate(sizes)])
-    enough = enough.where((F.col("_n0") >= least) & (F.col("_n1") >= least)).select(group)
+    # One row per group; stored, its size is known and the rows need not be shuffled by a few large groups.
+    enough = stored(enough.where((F.col("_n0") >= least) & (F.col("_n1") >= least)).select(group))
     rows = every.join(enough, group, "left_semi")
-    largest = rows.agg(F.max("group_size")).first()[0] or 0
+    largest = every.agg(F.max("group_size")).first()[0] or 0
 
     # A stored table of few rows would be read by few tasks; the draws made from it need all of them.
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -280,7 +280,8 @@ def factor_diagnostics(df: DataFrame, y: str, level: str, keys: Sequence[str]) -
     )
     leverage = safe_div(F.lit(1.0), F.col("_n").cast("double"))
     resid = F.col(y) - F.col("fitted")
-    rows = stored(
+    # Row arithmetic on stored tables gives the same bits each time, so these rows need not be stored.
+    rows = (
         known.join(fit, F.col(level) == F.col("_level"))
         .withColumns({"resid": resid, "leverage": leverage})
         .withColumn(

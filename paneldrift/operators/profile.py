@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import safe_div
 from ..session import stored
 from .enrich import join_null_safe
-from .ordering import quantiles_of, value_positions
+from .ordering import quantiles_of, value_positions, with_positions
 
 MAX_LEVELS = 10_000
 
@@ -77,8 +77,11 @@ def grade_means(df: DataFrame, value: str, grade: str, grades: Sequence, by: Seq
 
 def numeric_profile(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Minimum, quartiles, mean, maximum and number of missing values."""
-    missing = df.groupBy(*by).agg(F.count_if(F.col(value).isNull()).alias("n_missing"))
-    positions = value_positions(df, value, by)
+    # Folded and stored once; missing values and positions both come from it.
+    folded = stored(df.groupBy(*by, value).agg(F.count("*").alias("n")))
+    absent = F.sum(F.when(F.col(value).isNull(), F.col("n")))
+    missing = folded.groupBy(*by).agg(F.coalesce(absent, F.lit(0)).alias("n_missing"))
+    positions = with_positions(folded.where(F.col(value).isNotNull()), value, by, ["n"])
     mean = safe_div(F.sum(F.col(value) * F.col("n")), F.sum("n")).alias("mean")
     spread = quantiles_of(
         positions,

@@ -56,8 +56,15 @@ def test_plot_operators_share_one_layout(spark, name):
 
 
 def test_filters_and_columns_reach_the_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     text = plan(QUERIES["two_date_indicators"](spark, SF))
     scan = next(line for line in text.splitlines() if "FileScan parquet" in line and "l_suppkey" in line)
     assert "EqualTo(l_returnflag,N)" in scan and "l_extendedprice" not in scan and "l_shipdate" in scan
     assert re.search(r"PushedFilters: .*GreaterThanOrEqual\(l_shipdate", scan)
 
+
+def test_graded_table_reads_the_rows_once(spark):
+    """Panel and grades of one source share its scan and shuffles, and join where they lie."""
+    text = plan(QUERIES["agreement_flag"](spark, SF))
+    assert "ReusedExchange" in text and text.count("l_shipdate#") and text.count("FileScan parquet [l_partkey") == 1
+
