@@ -55,7 +55,8 @@ def main() -> None:
     for name in names or queries:
         if name not in sqls:
             begun = time.time()
-            print(f"{name}: no SQL, {len(queries[name](spark, folder).collect())} rows, {time.time() - begun:.2f}s", flush=True)
+            rows = len(queries[name](spark, folder).collect())
+            print(f"{name}: no SQL, {rows} rows, {time.time() - begun:.2f}s", flush=True)
             continue
         try:
             result, spent = compare(spark, con, folder, queries[name], sqls[name])

@@ -52,8 +52,10 @@ def grade_lookup(
         )
         .withColumn("_variants", F.count("*").over(W.partitionBy(*pair)))
     )
+    values = {n: once(F.col(n), F.col(f"_{n}"), "duplicate cell in the panel") for n in at}
     if missing == "zero":
-        found = found.withColumns({n: F.when(F.col(f"_{n}") == 0, 0.0).otherwise(F.col(n)) for n in at})
+        values = {n: F.when(F.col(f"_{n}") == 0, 0.0).otherwise(v) for n, v in values.items()}
+    found = found.withColumns(values)
     unique = [
         once(F.col(a), F.col("_variants"), f"more than one {a} for a plot and species").alias(a) for a in attributes
     ]
@@ -97,7 +99,9 @@ def attach_totals(panel: DataFrame, start: int, end: int, keys: Sequence[str] =
     return totals.withColumns({f"{n}_value": F.coalesce(f"_{n}", F.lit(0.0)) for n in held}).drop("_start", "_end")
 
 
-def pair_models(m: DataFrame, p: DataFrame, value: str = "growth_pct", on: Sequence[str] = ("plot", "species_latin")) -> DataFrame:
+def pair_models(
+    m: DataFrame, p: DataFrame, value: str = "growth_pct", on: Sequence[str] = ("plot", "species_latin")
+) -> DataFrame:
     """The same plot and species in both models, matched by key through the Latin name."""
     left = m.select(*on, F.col(value).alias("value_m"))
     right = p.select(*on, F.col(value).alias("value_p"))

@@ -105,18 +105,22 @@ def ols_line(df: DataFrame, y: str, x: str) -> DataFrame:
         (F.covar_pop(x, y) * F.count("*")).alias("_sxy"),
     )
     free = (F.col("n") - 2).cast("double")
+    rest = F.col("_syy") - F.col("slope") * F.col("_sxy")
     fitted = (
         sums.withColumn("slope", safe_div("_sxy", "_sxx"))
         .withColumn("intercept", F.col("_my") - F.col("slope") * F.col("_mx"))
         .withColumn("r_squared", safe_div(F.col("_sxy") * F.col("_sxy"), F.col("_sxx") * F.col("_syy")))
         .withColumn(
             "sigma",
-            F.sqrt(safe_div(F.greatest(F.lit(0.0), F.col("_syy") - F.col("slope") * F.col("_sxy")), F.when(free > 0, free))),
+            F.sqrt(safe_div(F.greatest(F.lit(0.0), rest), F.when(free > 0, free))),
         )
         .withColumn("slope_se", safe_div("sigma", F.sqrt("_sxx")))
         .withColumn(
             "intercept_se",
-            F.col("sigma") * F.sqrt(safe_div(F.lit(1.0), F.col("n").cast("double")) + safe_div(F.col("_mx") * F.col("_mx"), "_sxx")),
+            F.col("sigma")
+            * F.sqrt(
+                safe_div(F.lit(1.0), F.col("n").cast("double")) + safe_div(F.col("_mx") * F.col("_mx"), "_sxx")
+            ),
         )
         .withColumn("slope_t", safe_div("slope", "slope_se"))
         .withColumn("intercept_t", safe_div("intercept", "intercept_se"))

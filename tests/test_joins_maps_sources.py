@@ -29,6 +29,12 @@ def test_ambiguous_grade_is_an_error(spark, other):
         enrich.grade_lookup(df, 1, 2).collect()
 
 
+def test_repeated_grade_row_is_an_error(spark):
+    df = _graded(spark, [("1", "s", "a", 1, 1.0, 2), ("1", "s", "a", 1, 1.0, 2)])
+    with pytest.raises(Exception, match="duplicate cell"):
+        enrich.grade_lookup(df, 1, 2).collect()
+
+
 def test_grade_join_keeps_rows(panel, spark):
     df = change.indicators(panel([("1", "a", 1, 1), ("1", "a", 2, 2), ("1", "b", 1, 1), ("1", "b", 2, 2)]), 1, 2)
     graded = _graded(spark, [("1", "s", "a", 2, 1.0, 3), ("1", "s", "a", 1, 1.0, 1)])
