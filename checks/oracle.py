@@ -16,7 +16,7 @@ BOOT_ITER, BOOT_SEED = 60, 7
 
 def r(expr: str, name: str | None = None, digits: int = 6) -> str:
     """Rounded by plain arithmetic, as on the other side of the comparison."""
-    return f"CAST(floor(({expr}) * 1e{digits} + 0.5) / 1e{digits} AS DOUBLE) AS {name or expr}"
+    return f"CAST(floor(({expr}) * 1e{digits} + 0.5001) / 1e{digits} AS DOUBLE) AS {name or expr}"
 
 
 def rr(*names: str) -> str:
