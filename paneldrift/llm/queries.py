@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneldrift.llm import chat, mixing
+from paneldrift.llm import chat, mixing, packing, simple8b
+from paneldrift.session import shared_folder
+
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 #: A conversation whose texts hold control strings of chat templates.
 ODD_CHAT = (
@@ -23,6 +30,18 @@ def op1_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.format_chats(chat.to_turns(rows)))
 
 
+def op2_simple8b(spark: SparkSession, folder: str) -> DataFrame:
+    files = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
+    simple8b.write_tokens(table(spark, folder, "documents"), files, WORDS, spaced=False, end_id=2)
+    rows = simple8b.read_tokens(spark, files)
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op3_curve_packing(spark: SparkSession, folder: str) -> DataFrame:
+    rows = packing.pack(table(spark, folder, "documents"), BYTES, spaced=True, end_id=0)
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     rows = mixing.shares(table(spark, folder, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
