@@ -42,18 +42,22 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     grid[:n] = ids
     size = np.full(blocks, BLOCK)
     size[-1] = n - (blocks - 1) * BLOCK
-    # How many ids a word takes from each place on: the largest count whose width holds all of them.
-    take = np.zeros(len(grid), np.int64)  # 0: escape
-    left = np.repeat(size, BLOCK) - np.tile(np.arange(BLOCK), blocks)
-    for count in reversed(COUNTS[1:]):
-        wide = (grid >> np.uint64(60 // count)) != 0
-        if count == 1:
-            take[~wide] = 1
-            continue
-        bad = np.concatenate(([0], np.cumsum(wide)))
-        fits = np.zeros(len(grid), bool)
-        fits[: len(grid) - count + 1] = bad[count:] == bad[:-count]
-        take[fits & (left >= count)] = count
+    # How many ids a word takes from each place on: the largest count whose width holds all of them; 0 is an escape.
+    bits = np.frexp(grid.astype(np.float64))[1].astype(np.uint8)  # number of binary digits, exact below 2**53
+    large = np.flatnonzero(bits > 52)
+    bits[large] = [int(x).bit_length() for x in grid[large]]
+    narrow = int(bits.min())
+    take = (bits <= 60).astype(np.uint8)
+    left = np.repeat(size, BLOCK).astype(np.int16) - np.tile(np.arange(BLOCK, dtype=np.int16), blocks)
+    for count in reversed(COUNTS[1:-1]):
+        if narrow > 60 // count:
+            break  # nor does any larger count fit anywhere
+        bad = np.zeros(len(grid) + 1, np.int32)
+        np.cumsum(bits > 60 // count, dtype=np.int32, out=bad[1:])
+        fits = bad[count:] == bad[:-count]
+        fits &= left[: len(fits)] >= count
+        np.copyto(take[: len(fits)], np.uint8(count), where=fits)
+    take = take.astype(np.int64)
     at, base = np.zeros(blocks, np.int64), np.arange(blocks) * BLOCK
     selector = np.zeros(61, np.uint64)
     selector[list(COUNTS[1:])] = np.arange(1, len(COUNTS))

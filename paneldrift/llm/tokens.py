@@ -18,15 +18,16 @@ from array import array
 
 import numpy as np
 
-#: Distinct pieces that a worker keeps; about 150 bytes each. Beyond it the cache starts anew.
-CACHE = 600_000
+#: Distinct pieces that a worker keeps; about 300 bytes each with their parts. Beyond it the cache starts anew.
+CACHE = 1_000_000
 
 _ODD = re.compile("[\x1c-\x1f]")
-_RUN = re.compile(r"\s\s|^\s|\s$")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+_RUNS = ("  ", "\n\n", " \n", "\n ")
 _BEFORE_SPACE = re.compile(r" (?=\S)")
 _ASCII_SPACE = re.compile(r"[\t-\r ]+")
-_TAIL = re.compile(r"( ?[^\W\d_]+)([.,!%&*#$|]+)")
-_LETTERS = re.compile(r" ?[^\W\d_]+")
+#: No token pattern joins a letter and one of these behind it.
+_TAIL = ".,!%&*#$|"
 
 _encoders: dict = {}
 
@@ -51,7 +52,7 @@ class Encoder:
     def cut(self, text: str) -> list[str]:
         if not self.spaced:
             return [x for x in _ASCII_SPACE.split(text) if x] if _ODD.search(text) else text.split()
-        if _RUN.search(text):
+        if any(run in text for run in _RUNS) or text[:1].isspace() or text[-1:].isspace() or _OTHER_SPACE.search(text):
             first, *rest = _BEFORE_SPACE.split(text)
             return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
         out: list[str] = []
@@ -65,9 +66,11 @@ class Encoder:
 
     def _encode(self, words: list[str]) -> None:
         """Fill `cores`. Words of letters go to the tokenizer in runs of many, told apart by their number."""
-        plain = [w for w in words if _LETTERS.fullmatch(w) and (w[0] == " ") == self.spaced]
-        seen = set(plain)
-        other = [w for w in words if w not in seen]
+        if self.spaced:
+            plain = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        else:
+            plain = [w for w in words if w.isalpha()]
+        other = list(set(words).difference(plain))
         for i in range(0, len(plain), 1000):
             run = plain[i : i + 1000]
             got = self.tokenizer.encode(("" if self.spaced else " ").join(run), add_special_tokens=False)
@@ -86,11 +89,22 @@ class Encoder:
         if len(self.pieces) > CACHE:
             self.pieces, self.cores = {}, {}
         cut = [self.cut(t) for t in texts]
-        missing = [(w, _TAIL.fullmatch(w)) for w in set().union(*cut) - self.pieces.keys()]
-        need = {x for w, m in missing for x in (m.groups() if m else (w,))} - self.cores.keys()
-        self._encode(list(need))
-        for w, m in missing:
-            self.pieces[w] = self.cores[m[1]] + self.cores[m[2]] if m else self.cores[w]
+        pieces, cores, need, made = self.pieces, self.cores, set(), []
+        missing = set().union(*cut).difference(pieces)
+        for w in missing:
+            core = w.rstrip(_TAIL)
+            if len(core) < len(w) and core[1:].isalpha() and (core[0] == " " or core[0].isalpha()):
+                tail = w[len(core) :]
+                made += w, core, tail
+                need.add(core)
+                need.add(tail)
+            else:
+                need.add(w)
+        self._encode(list(need.difference(cores)))
+        for w in need.intersection(missing):
+            pieces[w] = cores[w]
+        for w, core, tail in zip(made[::3], made[1::3], made[2::3]):
+            pieces[w] = cores[core] + cores[tail]
         return [b"".join(map(self.pieces.__getitem__, c)) for c in cut]
 
 
