@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneldrift.llm import chat, knn, mixing, packing, secrets, simple8b
+from paneldrift.llm import chat, knn, mixing, packing, quality, secrets, simple8b
 from paneldrift.session import shared_folder
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -55,6 +55,10 @@ def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, folder, "documents")))
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
