@@ -6,7 +6,7 @@ tokens a sequence ends, so neighbours on the curve, which share much of their wo
 the end of a partition is cut in sequences whose lengths are powers of two, which need no padding.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed each; null doc_ids are kept; equal keys
-are ordered by doc_id, then tokens; extra columns are ignored; an empty table gives an empty one.
+are ordered by doc_id, then a hash of the tokens; extra columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from paneldrift.llm import tokens
 from paneldrift.session import stored
@@ -131,6 +132,6 @@ def pack(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, length: int
             yield batch(full)
 
     # Stored, so that ranging does not tokenize twice.
-    rows = stored(keyed(docs, tokenizer, spaced, end_id))
-    ordered = rows.repartitionByRange("key", "doc_id", "ids").sortWithinPartitions("key", "doc_id", "ids")
+    rows = stored(keyed(docs, tokenizer, spaced, end_id)).withColumn("tie", F.xxhash64("ids"))
+    ordered = rows.repartitionByRange("key", "doc_id", "tie").sortWithinPartitions("key", "doc_id", "tie").drop("tie")
     return ordered.mapInArrow(packed, "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
