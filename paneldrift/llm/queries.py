@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneldrift.llm import chat, jaccard, knn, mixing, packing, quality, secrets, simple8b
+from paneldrift.llm import chat, jaccard, knn, mixing, packing, perplexity, quality, secrets, simple8b
 from paneldrift.session import shared_folder
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -55,6 +55,11 @@ def op6_voronoi_knn(spark: SparkSession, folder: str) -> DataFrame:
     return knn.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op7_perplexity_rules(spark: SparkSession, folder: str) -> DataFrame:
+    rows = perplexity.judged(table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits", "least_bits", "most_bits")
+
+
 def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, folder, "documents")))
 

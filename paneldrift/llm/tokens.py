@@ -22,7 +22,8 @@ import numpy as np
 CACHE = 1_000_000
 
 _ODD = re.compile("[\x1c-\x1f]")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+_OTHER_SPACE = re.compile(r"[^\S \n]|\0")
+_AS_IS = "\0"
 _RUNS = ("  ", "\n\n", " \n", "\n ")
 _BEFORE_SPACE = re.compile(r" (?=\S)")
 _ASCII_SPACE = re.compile(r"[\t-\r ]+")
@@ -50,19 +51,19 @@ class Encoder:
         self.cores: dict[str, bytes] = {}
 
     def cut(self, text: str) -> list[str]:
+        """Keys of the pieces of a text. Where words carry a space, a key alone means the word behind a space, one that begins
+        with a line feed means itself, and one that begins with _AS_IS means what follows."""
         if not self.spaced:
             return [x for x in _ASCII_SPACE.split(text) if x] if _ODD.search(text) else text.split()
         if any(run in text for run in _RUNS) or text[:1].isspace() or text[-1:].isspace() or _OTHER_SPACE.search(text):
             first, *rest = _BEFORE_SPACE.split(text)
-            return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
-        out: list[str] = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            if out:
-                out.append("\n")
-            out.append(first)
-            out += [" " + x for x in rest]
-        return out if text else []
+            return [_AS_IS + first, *(_AS_IS + " " + x for x in rest)]
+        return (_AS_IS + text).replace("\n", " \n").split(" ")
+
+    def _piece(self, key: str) -> str:
+        if not self.spaced or key[0] == "\n":
+            return key
+        return key[1:] if key[0] == _AS_IS else " " + key
 
     def _encode(self, words: list[str]) -> None:
         """Fill `cores`. Words of letters go to the tokenizer in runs of many, told apart by their number."""
@@ -92,19 +93,20 @@ class Encoder:
         pieces, cores, need, made = self.pieces, self.cores, set(), []
         missing = set().union(*cut).difference(pieces)
         for w in missing:
-            core = w.rstrip(_TAIL)
-            if len(core) < len(w) and core[1:].isalpha() and (core[0] == " " or core[0].isalpha()):
-                tail = w[len(core) :]
+            piece = self._piece(w)
+            core = piece.rstrip(_TAIL)
+            if len(core) < len(piece) and core[1:].isalpha() and (core[0] == " " or core[0].isalpha()):
+                tail = piece[len(core) :]
                 made += w, core, tail
                 need.add(core)
                 need.add(tail)
             else:
-                need.add(w)
+                made += w, piece, ""
+                need.add(piece)
+        cores[""] = b""
         self._encode(list(need.difference(cores)))
-        for w in need.intersection(missing):
-            pieces[w] = cores[w]
         for w, core, tail in zip(made[::3], made[1::3], made[2::3]):
-            pieces[w] = cores[core] + cores[tail]
+            pieces[w] = cores[core] + cores[tail] if tail else cores[core]
         return [b"".join(map(self.pieces.__getitem__, c)) for c in cut]
 
 
