@@ -5,7 +5,8 @@ A document is the set of its 4-word shingles (64-bit hashes; sets are told apart
 * Orders: shingles go by how common they are (counts of a fixed-size sketch over all documents), equally common ones by one of
   ORDERS different hashes. Two sets that are alike enough share a shingle among the first n - ceil(0.85 n) + 1 of each, in every order.
 * The first order brings candidates together; the others are filters: a candidate must share prefix shingles in all of them.
-* Before any set is moved, a pair must pass by size, and by 512 parities, which bound the difference of two sets from below.
+* Before any set is moved, a pair must pass by size and by parities (of how many shingles fall in each of 512 groups, and of as many groups
+  as shingles for larger sets), which bound the difference of two sets from below.
 * Copies are not expanded to pairs. In a first pass each prefix shingle links its sets only to the first and to the neighbouring
   one; links verified there make components. In a second pass all pairs of sets that share a prefix shingle and are not yet in one
   component are tested, in blocks, so no group is held by one task. Both passes verify on whole sets.
@@ -64,12 +65,17 @@ def class_of(x: np.ndarray) -> int:
     return int(np.array(xxhash.xxh3_64_intdigest(x.tobytes()), np.uint64).astype(np.int64))
 
 
-def parities(x: np.ndarray) -> np.ndarray:
-    """For each of PARITIES groups of shingles, whether their number is odd; as 64-bit words."""
-    odd = np.bincount((mix(x + np.uint64(77)) % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+def parities(x: np.ndarray, groups: int = PARITIES) -> np.ndarray:
+    """For each group of shingles, whether their number is odd; as 64-bit words. The halves' exclusive or is that of half as many groups."""
+    odd = np.bincount((mix(x + np.uint64(77)) & np.uint64(groups - 1)).astype(np.int64), minlength=groups) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide(x: np.ndarray) -> np.ndarray:
+    """Parities of at least as many groups as shingles: sets of alike sizes differ in this by a factor of two at most."""
+    return parities(x, max(PARITIES, 1 << (len(x) - 1).bit_length()))
+
+
 def places(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -109,7 +115,7 @@ def _summaries(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
         import zstandard
 
-        schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("parities", pa.list_(pa.int64())),
+        schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("parities", pa.list_(pa.int64())), ("wide", pa.list_(pa.int64())),
                             ("place", pa.int32()), ("counts", pa.binary())])
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for frame in frames:
@@ -119,13 +125,13 @@ def _summaries(docs: DataFrame) -> DataFrame:
                 none = pa.nulls(len(sets))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), piece.column("tid"), pa.array([class_of(x) if len(x) else None for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()),
-                     pa.array([parities(x) if len(x) else None for x in sets], pa.list_(pa.int64())), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+                     *(pa.array([f(x) if len(x) else None for x in sets], pa.list_(pa.int64())) for f in (parities, wide)), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         zip_ = zstandard.ZstdCompressor(level=1)
         rows_ = [{"place": k, "counts": zip_.compress(c.tobytes())} for k, c in enumerate(counts.reshape(-1, PLACES)) if c.any()]
         if rows_:
             yield pa.RecordBatch.from_pylist(rows_, schema=schema)
 
-    kinds = "doc_id bigint, tid bigint, cid bigint, n bigint, parities array<bigint>, place int, counts binary"
+    kinds = "doc_id bigint, tid bigint, cid bigint, n bigint, parities array<bigint>, wide array<bigint>, place int, counts binary"
     return stored(docs.mapInArrow(rows, kinds))
 
 
@@ -240,10 +246,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, texts: DataFrame, counts) -> Da
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(texts, "cid").select("tid").distinct()
     found = docs.join(stored(asked), "tid", "left_semi").select("text").mapInArrow(sets, "cid bigint, x binary")
-    found = stored(found.groupBy("cid").agg(F.first("x").alias("x")))
+    found = stored(found)  # one row per class, but for repeated rows
     left = found.select(F.col("cid").alias("a"), "x")
     right = found.select(F.col("cid").alias("b"), F.col("x").alias("y"))
-    return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tested, "a bigint, b bigint"))
+    return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tested, "a bigint, b bigint").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -266,12 +272,18 @@ def components(edges: DataFrame) -> DataFrame:
 def _near(p: str, q: str, n: str, m: str):
     """Size and parities allow the pair: the difference of alike sets is at most (OF - NEED) / (OF + NEED) of their sizes."""
     sizes = F.least(n, m) * OF >= F.greatest(n, m) * NEED
-    odd = F.aggregate(F.zip_with(p, q, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return sizes & (odd * (OF + NEED) <= (F.col(n) + F.col(m)) * (OF - NEED))
+    words = F.least(F.size(p), F.size(q))
+
+    def folded(x):
+        return F.when(F.size(x) == words, F.col(x)).otherwise(F.zip_with(F.slice(x, F.lit(1), words), F.slice(x, words + 1, words), lambda u, v: u.bitwiseXOR(v)))
+
+    odd = F.aggregate(F.zip_with(folded(p), folded(q), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return F.when(sizes, odd * (OF + NEED) <= (F.col(n) + F.col(m)) * (OF - NEED))
 
 
 def _cross_pairs(frames):
-    """Pairs of rows with one key but different roots (and different blocks, where two meet) that size and parities allow."""
+    """Pairs of rows with one key but different roots (and different blocks, where two meet) that size and parities allow: each row's
+    class with the list of its larger partners."""
     import pyarrow as pa
 
     held = None
@@ -293,6 +305,7 @@ def _cross_pairs(frames):
         bits = ready.column("parities").flatten().to_numpy().reshape(len(cid), -1)
         group = np.cumsum(np.concatenate(([0], ((token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])).astype(np.int64))))
         last = np.searchsorted(group, group, "right")
+        made = [], []
         for d in range(1, int((last - np.arange(len(cid))).max())):
             i = np.flatnonzero(np.arange(len(cid)) + d < last)
             j = i + d
@@ -301,8 +314,14 @@ def _cross_pairs(frames):
             if len(i):
                 odd = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1).astype(np.int64)
                 fits = odd * (OF + NEED) <= (n[i] + n[j]) * (OF - NEED)
-                a, b = np.minimum(cid[i[fits]], cid[j[fits]]), np.maximum(cid[i[fits]], cid[j[fits]])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                made[0].append(np.minimum(cid[i[fits]], cid[j[fits]]))
+                made[1].append(np.maximum(cid[i[fits]], cid[j[fits]]))
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in made)
+        if len(a):  # a pair that shares several shingles here is told once
+            a, b = np.unique(np.stack([a, b]), axis=1)
+            first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(a)).astype(np.int32)), pa.array(b))
+            yield pa.RecordBatch.from_arrays([pa.array(a[first]), lists], ["a", "partners"])
 
 
 def _with_end(frames):
@@ -313,16 +332,16 @@ def _with_end(frames):
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach) for every row."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("tid"))
+    texts = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text", "doc_id").alias("tid"))
     summaries = _summaries(texts)
     rows = summaries.where("place is null")
     counts = spark.sparkContext.broadcast(_sketch(summaries))
-    classes = stored(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("tid").alias("tid"), F.first("n").alias("n"), F.first("parities").alias("p")))
+    classes = stored(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("tid").alias("tid"), F.first("n").alias("n"), F.first("parities").alias("parities"), F.first("wide").alias("wide")))
     shared = _shared(texts.select("text"), counts)
 
     def told(pairs: DataFrame) -> DataFrame:
-        left = classes.select(F.col("cid").alias("a"), "p", "n")
-        right = classes.select(F.col("cid").alias("b"), F.col("p").alias("q"), F.col("n").alias("m"))
+        left = classes.select(F.col("cid").alias("a"), F.col("wide").alias("p"), "n")
+        right = classes.select(F.col("cid").alias("b"), F.col("wide").alias("q"), F.col("n").alias("m"))
         return pairs.join(left, "a").join(right, "b").where(_near("p", "q", "n", "m")).select("a", "b")
 
     stars = shared.select(*_ordered("first", "cid")).unionByName(shared.select(*_ordered("before", "cid"))).where("a <> b").distinct()
@@ -331,14 +350,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = stored(components(links))
 
     # Second pass: what shares a prefix shingle over the components so far.
-    known = classes.select("cid", "n", F.col("p").alias("parities")).join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    known = classes.select("cid", "n", "parities").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     many = stored(shared.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > BLOCK).select("token", F.ceil(F.col("sets") / BLOCK).alias("blocks")))
     dealt = shared.select("token", "cid").join(stored(known), "cid").join(many, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", "n", "root", "parities")
     dealt = dealt.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
-    rest = stored(dealt.mapInArrow(_cross_pairs, "a bigint, b bigint").distinct())
-    more = _verified(texts, rest, names, counts)
+    lists = dealt.mapInArrow(_cross_pairs, "a bigint, partners array<bigint>")
+    # The lists of a class from all its shingles hold the same partners again and again: joined before they become rows.
+    rest = lists.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners")).select("a", F.explode("partners").alias("b"))
+    more = _verified(texts, stored(told(rest)), names, counts)
     edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     final = components(edges).withColumnRenamed("node", "cid")
     grouped = classes.select("cid", "least").join(final, "cid", "left").withColumn("root", F.coalesce("root", "cid"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneldrift.llm import chat, jaccard, knn, mixing, packing, perplexity, quality, secrets, simple8b
+from paneldrift.llm import chat, jaccard, knn, licenses, mixing, packing, perplexity, quality, secrets, simple8b
 from paneldrift.session import shared_folder
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -68,6 +68,10 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.digests(licenses.find_licenses(table(spark, folder, "documents")))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

@@ -79,6 +79,9 @@ def test_filters_lose_no_pair(n, more, other, seed):
     if similar:
         odd = int(np.bitwise_count(jaccard.parities(x) ^ jaccard.parities(y)).sum())
         assert odd * 185 <= (len(x) + len(y)) * 15
+    large = rng.integers(0, 2**63, 1500, dtype=np.uint64)
+    halves = jaccard.wide(large).reshape(2, -1)
+    assert (halves[0] ^ halves[1] == jaccard.parities(large, 1024)).all()
 
 
 def test_query_against_all_pairs(spark):
@@ -106,6 +109,8 @@ def test_planted_groups(spread, monkeypatch, block):
         rows.append((200 + k, " ".join(chain)))
     passage = " ".join(word() for _ in range(60))
     rows += [(300 + k, passage + " " + " ".join(word() for _ in range(rng.randint(2, 40)))) for k in range(40)]
+    long_ = [word() for _ in range(1026)]  # sets on either side of a power of two
+    rows += [(500 + k, " ".join(long_[: 1020 + k] + ["end"] * (k % 2))) for k in range(6)] + [(510, " ".join(word() for _ in range(1026)))]
     rows += [(400 + k, "a copy of which there are many " * 3) for k in range(30)]
     rng.shuffle(rows)
     docs = spread.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, cid string, root int").repartition(5)
