@@ -1,27 +1,57 @@
 """A corpus from raw documents to packed sequences, in five stages.
 
 Every stage takes what the one before it kept, written as Parquet and read again. All but the last return the columns of
-`documents`.
+`documents`:
+
+* quality classifier: documents that are predicted bad go;
+* n-gram Jaccard join: of each group of near duplicates the document with the least id stays;
+* secret scans: found secrets, plain or encoded, are replaced in the text, and n_chars follows;
+* mixing: each document comes as often as the mix of sources takes it;
+* packing: sequences of tokens along a space-filling curve, one row per piece.
 """
 
 from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paneldrift.llm import mixing
+from paneldrift.llm import jaccard, mixing, packing, quality, secrets
 from paneldrift.session import shared_folder
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.one_of_each(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs).withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
     return mixing.mix(docs)
 
 
-STAGES = [("mix sources", mix_sources)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), spaced=True, end_id=0)
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("near duplicates", near_duplicates),
+    ("secret scans", secret_scans),
+    ("mix sources", mix_sources),
+    ("pack sequences", pack_sequences),
+]
 
-#: Tokenizers and trained weights have no SQL.
+#: Trained weights, decoded layers and tokenizers have no SQL.
 ORACLE_SQL = None
 
 
