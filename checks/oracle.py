@@ -677,5 +677,46 @@ SELECT species, {r('total')}, CAST(row_number() OVER (ORDER BY total, species) A
     q["stored_result"] = (
         f"WITH {PANEL},{IND} SELECT plot, species, {rr('growth_pct', 'share_shift')}, stand_type FROM ind"
     )
+    q["series_for_species"] = f"""WITH {PANEL} SELECT plot, species, year, {r('value')} FROM cell
+WHERE scenario = 'N' AND plot IN (1, 2, 3, 5, 8) AND species IN ('Brand#11', 'Brand#13', 'Brand#25')"""
+    q["distribution_for_species"] = f"""WITH {PANEL},
+one AS (SELECT year, value FROM cell WHERE scenario = 'N' AND species = 'Brand#13'),
+{box("one", "value", "year")}
+SELECT year, {BOX_COLUMNS} FROM box_stats"""
+    q["dominant_species"] = f"""WITH {PANEL},
+two AS (SELECT plot, species, value AS ini FROM cell WHERE scenario = 'N' AND year = 1995 AND value > 0),
+top AS (SELECT plot, species, ini, SUM(ini) OVER (PARTITION BY plot) AS total,
+               row_number() OVER (PARTITION BY plot ORDER BY ini DESC, species) AS place FROM two)
+SELECT plot, species AS dominant, {r('ini / total', 'max_share')},
+       CASE WHEN ini / total >= 0.15 THEN 'monospecifique' ELSE 'plurispecifique' END AS stand_type FROM top WHERE place = 1"""
+    q["empty_column"] = f"WITH {PANEL},{IND} SELECT plot, species, {r('growth_pct')}, CAST(NULL AS DOUBLE) AS fertility FROM ind"
+    q["category_cast"] = f"""WITH {PANEL},{IND},{GRADE}
+SELECT CAST(grade AS VARCHAR) AS grade, COUNT(*) AS n, MIN(CAST(ind.plot AS VARCHAR)) AS first_plot
+FROM ind LEFT JOIN grade g ON g.plot = ind.plot AND g.species = ind.species GROUP BY grade"""
+    ends = "pos AS (SELECT grade, ln(growth_pct) AS ly FROM growths WHERE growth_pct > 0 AND grade <> 2)"
+    q["ols_log_subset"] = (
+        f"WITH {ANALYSED},{ends},{factor_model('pos', 'ly')} SELECT {COEF}, {r('r_squared')}, "
+        "(SELECT COUNT(*) FROM growths WHERE growth_pct <= 0 AND grade <> 2) AS n_dropped FROM coef"
+    )
+    q["ols_pair_subset"] = q["ols_pair"].replace(MODELS, f"""{PANEL},{SITE},{indicator_ctes("A", name="im")},{indicator_ctes("R", name="ip")},
+within AS (SELECT plot FROM site WHERE {inside_ring()}),
+pairs AS (
+  SELECT m.growth_pct AS value_m, p.growth_pct AS value_p FROM im m JOIN ip p ON m.plot = p.plot AND m.species = p.species
+  WHERE m.plot IN (SELECT plot FROM within) AND m.species IN ('Brand#12', 'Brand#13', 'Brand#14'))""")
+    # The normal distribution function by its series around zero, which needs no library.
+    series = "list_sum(list_transform(range(0, 120), lambda k: coalesce(list_product(list_transform(range(1, k + 1), lambda j: z * z / (2 * j + 1))), 1.0) * z))"
+    phi = f"CASE WHEN abs(z) > 8 THEN CASE WHEN z > 0 THEN 1.0 ELSE 0.0 END ELSE 0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * {series} END"
+    limit = "list_sum(list_transform(range(1, 60), lambda k: (CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END) * exp(-2.0 * k * k * n * distance * distance)))"
+    q["ks_normality"] = f"""WITH {PANEL},{IND},
+x AS (SELECT share_shift AS v FROM ind WHERE share_shift IS NOT NULL),
+m AS (SELECT COUNT(*) AS n, AVG(v) AS mean, stddev_samp(v) AS sd FROM x),
+d AS (SELECT v, COUNT(*) AS c FROM x GROUP BY v),
+e AS (SELECT v, c, SUM(c) OVER (ORDER BY v) AS upto FROM d),
+p AS (SELECT upto, c, n, (v - mean) / sd AS z FROM e CROSS JOIN m),
+f AS (SELECT *, {phi} AS phi FROM p),
+g AS (SELECT MAX(n) AS n, MAX(greatest(upto / n - phi, phi - (upto - c) / n)) AS distance FROM f)
+SELECT n, {r('distance')}, {r(f'least(1.0, {limit})', 'p_value')} FROM g"""
+    q["site_source"] = f"WITH {SITE} SELECT CAST(plot AS VARCHAR) AS plot, greco, ser, {rr('alt', 'lon', 'lat')} FROM site"
+    q["region_source"] = f"WITH {SITE} SELECT plot, {rr('lon', 'lat')} FROM site WHERE {inside_ring()}"
     q["minimum_presence"] = f"WITH {PANEL},{IND} SELECT plot, species, {rr('ini', 'growth_pct')} FROM ind WHERE ini > 1"
     return q

@@ -30,6 +30,9 @@ WINDOW, LAG, DOMINANCE = 3, 3, 0.15
 GRADES = (1, 2, 3)
 MODEL_M, MODEL_P = "A", "R"
 BOOT_ITER, BOOT_SEED = 60, 7
+# Plots and species of the charts, and the species listed in either model of the pairing.
+PLOTS, SPECIES = (1, 2, 3, 5, 8), ("Brand#11", "Brand#13", "Brand#25")
+LISTED_M, LISTED_P = ("Brand#11", "Brand#12", "Brand#13", "Brand#14"), ("Brand#12", "Brand#13", "Brand#14", "Brand#21")
 
 
 # Sums of squares have nine digits before the point, which leaves fewer behind it.
@@ -175,7 +178,7 @@ def drop_all_zero_groups(spark, sf):
 
 
 def densify_panel(spark, sf):
-    return dense(spark, sf, src.YEARS, None)
+    return dense(spark, sf, None, None)
 
 
 def share_composition(spark, sf):
@@ -391,6 +394,12 @@ def ols_log(spark, sf):
     return linear.ols_factor_log(growths(spark, sf), "growth_pct", "grade")
 
 
+def ols_log_subset(spark, sf):
+    """Only the first and the last grade."""
+    rows = growths(spark, sf)
+    return linear.ols_factor_log(rows.where(F.col("grade").isin(GRADES[0], GRADES[-1])), "growth_pct", "grade")
+
+
 def ols_offset(spark, sf):
     return linear.ols_factor_offset(growths(spark, sf), "fin", "ini", "grade")
 
@@ -433,6 +442,10 @@ def shapiro_sample(spark, sf):
     return linear.shapiro_wilk(measured(spark, sf), "share_shift", ("plot", "species"), seed=2)
 
 
+def ks_normality(spark, sf):
+    return linear.ks_normality(measured(spark, sf), "share_shift")
+
+
 def lm_diagnostics(spark, sf):
     return linear.factor_diagnostics(growths(spark, sf), "growth_pct", "grade", ("plot", "species"))
 
@@ -480,10 +493,23 @@ def point_in_polygon(spark, sf):
     return inside.select("plot", "lon", "lat")
 
 
+def _inside(spark, sf, rows: DataFrame) -> DataFrame:
+    """The rows of plots inside the outline: one test per plot, not per row."""
+    return rows.join(spatial.within_rings(src.sites(spark, sf), src.polygon(spark)).select("plot"), "plot", "left_semi")
+
+
 def clipped_growth(spark, sf):
     """Indicators of the plots inside the outline."""
-    rows = enrich.attach_site(measured(spark, sf), src.sites(spark, sf), ["lon", "lat"])
-    return spatial.within_rings(rows, src.polygon(spark)).select("plot", "species", "growth_pct")
+    return _inside(spark, sf, measured(spark, sf)).select("plot", "species", "growth_pct")
+
+
+def ols_pair_subset(spark, sf):
+    """One model against the other for listed species inside the outline: clip, keep the species, pair by key, fit."""
+    m, p = (
+        _inside(spark, sf, reshape.restrict(measured(spark, sf, model), species=listed))
+        for model, listed in ((MODEL_M, LISTED_M), (MODEL_P, LISTED_P))
+    )
+    return linear.ols_line(enrich.pair_models(m, p, on=("plot", "species")), "value_m", "value_p")
 
 
 def _layer(name):
@@ -507,6 +533,29 @@ def series_table(spark, sf):
     return panel.select("plot", "species", "year", "value").orderBy("plot", "species", "year")
 
 
+def series_for_species(spark, sf):
+    return charts.series(sparse(spark, sf, years=None), SCENARIO, PLOTS, SPECIES)
+
+
+def distribution_for_species(spark, sf):
+    return charts.distribution_by_year(sparse(spark, sf, years=None), SPECIES[1])[0]
+
+
+def dominant_species(spark, sf):
+    pairs = reshape.two_dates(sparse(spark, sf), START, END, missing="zero")
+    return change.dominant_species(pairs, ("plot",), DOMINANCE)
+
+
+def empty_column(spark, sf):
+    rows = schema.with_empty(measured(spark, sf), "fertility")
+    return rows.select("plot", "species", "growth_pct", "fertility")
+
+
+def category_cast(spark, sf):
+    rows = schema.as_category(analysed(spark, sf), "grade", "plot")
+    return rows.groupBy("grade").agg(F.count("*").alias("n"), F.min("plot").alias("first_plot"))
+
+
 def ordered_bars(spark, sf):
     totals = profile.group_totals(sparse(spark, sf, years=None), "species")
     return charts.ordered_bars(totals, "species", "total")
@@ -537,13 +586,32 @@ def _scratch(spark, name):
 
 
 def delimited_source(spark, sf):
-    """The panel written as tab-separated text under the names of the source files, and read by name."""
+    """The panel written as tab-separated files in two orders of columns under the names of the source files, read by name."""
     path = _scratch(spark, "delimited")
     names = {new: old for old, new in schema.NAMES_P.items()}
-    sparse(spark, sf, years=None).withColumnsRenamed(names).write.option("sep", "\t").option("header", True).csv(path)
+    rows = sparse(spark, sf, years=None)
+    for part, columns in ((rows.where("plot % 2 = 0"), rows.columns), (rows.where("plot % 2 <> 0"), rows.columns[::-1])):
+        renamed = part.select(*columns).withColumnsRenamed(names)
+        renamed.write.mode("append").option("sep", "\t").option("header", True).csv(path)
     return tables.read_delimited(spark, path, schema.PANEL_P, schema.NAMES_P)
 
 
+def site_source(spark, sf):
+    """The site table written as delimited text under the names of its source, and read by name."""
+    path = _scratch(spark, "site")
+    names = {new: old for old, new in schema.NAMES_SITE.items()}
+    src.sites(spark, sf).withColumnsRenamed(names).write.option("header", True).csv(path)
+    return tables.read_site(spark, path)
+
+
+def region_source(spark, sf):
+    """Plots inside one region of a stored polygon table."""
+    path = _scratch(spark, "regions")
+    other = src.polygon(spark).withColumns({"region": F.lit("elsewhere"), "lon": F.col("lon") + 100})
+    src.polygon(spark).unionByName(other).write.parquet(path)
+    return spatial.within_rings(src.sites(spark, sf), tables.read_region(spark, path, "area")).select("plot", "lon", "lat")
+
+
 def stored_result(spark, sf):
     """Indicators written by scenario and read back with the scenario as a partition filter."""
     path = _scratch(spark, "result")
@@ -575,7 +643,8 @@ QUERIES = {
         jarque_bera, shapiro_sample, lm_diagnostics, lm_pair_diagnostics, bootstrap_rho_diff, bootstrap_ci, bbox_crop,
         unlocated_sites, point_in_polygon, clipped_growth, map_value, map_agreement, series_table,
         ordered_bars, correlation_bars, picked_bars, view_window, delimited_source, stored_result,
-        minimum_presence,
+        minimum_presence, series_for_species, distribution_for_species, dominant_species, empty_column, category_cast,
+        ols_log_subset, ols_pair_subset, ks_normality, site_source, region_source,
     )
 }
 QUERIES |= {

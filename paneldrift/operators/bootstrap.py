@@ -1,8 +1,9 @@
 """Bootstrap of a difference of rank correlations between two sides of every group.
 
-Rows are numbered within (group, side). In each iteration every row stands for one draw, whose hash picks
-the number of the row drawn, so draws are spread like the rows themselves and nothing about them depends
-on partitioning, order or retries. The draws are folded to counts before ranking.
+Rows are numbered within (group, side) and ranged by value once. In each iteration every row stands for one draw,
+whose hash picks the number of the row drawn, so draws are spread like the rows themselves and nothing about them
+depends on partitioning, order or retries. A draw inherits value and range from the row it picks: placed by (group,
+side, iteration, range), every resample is ranked where its draws lie, and none is gathered.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import labels
 from ..functions.columns import draw_hash, order_hash
 from ..session import stored
-from .ordering import SMALL_GROUP, numbered
+from .ordering import numbered
 from .rank_tests import spearman
 
 
@@ -43,8 +44,8 @@ def bootstrap_diff(
     enough = every.groupBy(group).agg(*[n.alias(f"_n{i}") for i, n in enumerate(sizes)])
     # One row per group; stored, its size is known and the rows need not be shuffled by a few large groups.
     enough = stored(enough.where((F.col("_n0") >= least) & (F.col("_n1") >= least)).select(group))
-    rows = every.join(enough, group, "left_semi")
-    largest = every.agg(F.max("group_size")).first()[0] or 0
+    ranged = every.join(enough, group, "left_semi").repartitionByRange(group, side, value)
+    rows = stored(ranged.withColumn("_part", F.spark_partition_id()))
 
     # A stored table of few rows would be read by few tasks; the draws made from it need all of them.
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -58,11 +59,9 @@ def bootstrap_diff(
         .select(group, side, "iteration", "number")
     )
     resample = [group, side, "iteration"]
-    drawn = draws.join(rows.select(group, side, "number", value, grade), [group, side, "number"])
-    if largest <= SMALL_GROUP:
-        # A resample has no more rows than its group: placed whole, it is folded and ranked where it is.
-        drawn = drawn.repartition(tasks, *resample)
-    rho = spearman(drawn, value, grade, grades, resample, largest_group=largest)
+    drawn = draws.join(rows.select(group, side, "number", value, grade, "_part"), [group, side, "number"])
+    drawn = drawn.repartition(*resample, "_part")
+    rho = spearman(drawn, value, grade, grades, resample, part="_part")
     first, second = sides
     return rho.groupBy(group, "iteration").agg(
         (

@@ -59,6 +59,21 @@ def indicators(
     return with_indicators(two_dates(panel, start, end, keys, missing), by, dominance)
 
 
+def dominant_species(two_date: DataFrame, by: Sequence[str] = PLOT, dominance: float = labels.DOMINANCE) -> DataFrame:
+    """Per plot the species with the largest start value, its share, and the stand type; of equal ones the first by name.
+
+    Plots without any known start value have no dominant species. A plot has one row per species, so the aggregate's state
+    is one row.
+    """
+    known = two_date.where(F.col("ini") > 0)
+    found = known.groupBy(*by).agg(
+        F.min(F.struct((-F.col("ini")).alias("_less"), "species")).alias("_first"), F.sum("ini").alias("_total")
+    )
+    found = found.select(*by, F.col("_first.species").alias("dominant"), (-F.col("_first._less")).alias("_top"), "_total")
+    share = safe_div("_top", "_total")
+    return found.select(*by, "dominant", share.alias("max_share"), labels.stand_type(share, dominance).alias("stand_type"))
+
+
 def smoothed_dates(
     panel: DataFrame,
     start: int,
@@ -71,7 +86,7 @@ def smoothed_dates(
 
     Several start rows of one key give several results. With ``missing="zero"`` the panel is read as if
     it held a zero wherever a cell is absent: keys without a start row then start at zero, and the mean
-    runs over all ``window`` dates.
+    runs over all ``window`` dates but those whose stored value is missing.
 
     Rows are added up per key and start value before they are brought together, so many equal cells
     cost no more than one.
@@ -86,11 +101,12 @@ def smoothed_dates(
             F.count("*").alias("_copies"),
             F.sum(F.when(tail, value)).alias("_sum"),
             F.count(F.when(tail, value)).alias("_n"),
+            F.count_if(tail & value.isNull()).alias("_unknown"),
         )
     )
     w = W.partitionBy(*keys)
     if missing == "zero":
-        mean = F.coalesce(F.sum("_sum").over(w), F.lit(0.0)) / F.lit(window)
+        mean = safe_div(F.coalesce(F.sum("_sum").over(w), F.lit(0.0)), F.lit(window) - F.sum("_unknown").over(w))
         starts = F.bool_or("_start").over(w)
         first = F.row_number().over(w.orderBy("_start"))
         filled = summed.withColumns({"fin": mean, "_has": starts, "_first": first})

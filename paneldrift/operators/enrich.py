@@ -15,12 +15,29 @@ from .reshape import PLOT, restrict
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Equi-join in which a missing key matches a missing key."""
+    """Equi-join in which a missing key matches a missing key. Without keys, ``right`` is one row for all."""
+    if not keys:
+        row = right.select(F.struct("*")).scalar()
+        return left.withColumns({c: row[c] for c in right.columns})
     other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     tests = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
     return left.join(other, reduce(lambda a, b: a & b, tests), how).drop(*[f"_right_{k}" for k in keys])
 
 
+# Parts that the rows of one key are spread over where a key may hold most rows.
+SPREAD = 16
+
+
+def join_spread(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left null-safe join with a table that has one row per key, for keys that hold very many rows of ``left``.
+
+    Rows of one key go to SPREAD tasks, by a hash of the whole row, and each row of ``right`` goes to all of these.
+    """
+    part = F.pmod(F.xxhash64(*left.columns), F.lit(SPREAD)).cast("int")
+    every = right.withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return join_null_safe(left.withColumn("_spread", part), every, (*keys, "_spread")).drop("_spread")
+
+
 def attach_site(df: DataFrame, site: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Left join of plot attributes. The site table grows with the plots, so Spark picks the strategy."""
     wanted = site if columns is None else site.select("plot", *columns)

@@ -6,6 +6,7 @@ partial aggregate and a level holding most rows costs nothing extra.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +24,7 @@ from ..functions.distributions import (
     student_p,
 )
 from ..session import stored
-from .enrich import join_null_safe
+from .enrich import join_spread
 from .ordering import mid_rank, sample_rows, value_positions
 from .rank_tests import _pairs
 
@@ -194,6 +195,26 @@ def jarque_bera(df: DataFrame, y: str) -> DataFrame:
     return one.withColumn("jb", statistic).withColumn("p_value", chi2_p(F.col("jb"), F.lit(2.0)))
 
 
+def ks_normality(df: DataFrame, y: str) -> DataFrame:
+    """Kolmogorov-Smirnov distance of the whole table from the normal distribution with its mean and deviation.
+
+    Equal values are one step of the distribution. The p-value is the asymptotic one of a given distribution, as the mean
+    and deviation are taken from the table it is a bound from above. A constant column has no distance.
+    """
+    known = stored(df.where(F.col(y).isNotNull()).select(y))
+    moments = known.agg(F.avg(y).alias("mean"), F.stddev_samp(y).alias("sd")).select(F.struct("*")).scalar()
+    z = safe_div(F.col(y) - moments["mean"], moments["sd"])
+    below, upto, n = F.col("below_n"), F.col("below_n") + F.col("n"), F.col("total_n")
+    at = value_positions(known, y).withColumn("_p", 1 - normal_upper(z))
+    gap = F.greatest(safe_div(upto.cast("double"), n) - F.col("_p"), F.col("_p") - safe_div(below.cast("double"), n))
+    one = at.agg(F.coalesce(F.max("total_n"), F.lit(0)).alias("n"), F.max(gap).alias("distance"))
+    reach = F.sqrt("n") * F.col("distance")
+    # Two series for the same limit, each of a few terms where it is used.
+    small = F.sqrt(F.lit(2 * math.pi)) / reach * sum((F.exp(-((2 * k - 1) ** 2) * math.pi**2 / (8 * reach * reach)) for k in range(1, 5)), F.lit(0.0))
+    large = 2 * sum(((-1.0) ** (k - 1) * F.exp(-2.0 * k * k * reach * reach) for k in range(1, 9)), F.lit(0.0))
+    return one.withColumn("p_value", F.when(reach < 1, 1 - small).otherwise(large))
+
+
 # --- Fixed values: polynomial coefficients of the published Shapiro-Wilk approximation AS R94 ---
 
 LAST_WEIGHT = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056)
@@ -217,7 +238,7 @@ def shapiro_wilk(df: DataFrame, y: str, key: Sequence[str], n: int = 4999, seed:
     """Normality of a reproducible sample, for samples of 12 to 5000 rows; null outside that range.
 
     The test is defined for small samples only, so the ordered sample is at most 5000 rows. Use
-    ``jarque_bera`` for the whole table.
+    ``ks_normality`` or ``jarque_bera`` for the whole table.
     """
     if n > SHAPIRO_MOST:
         raise ValueError(f"the test is defined for at most {SHAPIRO_MOST} rows")
@@ -326,4 +347,4 @@ def with_theoretical_quantile(rows: DataFrame, value: str) -> DataFrame:
     a = F.when(n <= 10, 0.375).otherwise(0.5)
     position = (mid_rank() - a) / (n + 1 - 2 * a)
     placed = value_positions(rows, value).select(value, normal_quantile(position).alias("theoretical"))
-    return join_null_safe(rows, placed, (value,))
+    return join_spread(rows, placed, (value,))

@@ -20,28 +20,33 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col, order_hash
 from ..session import stored
-from .enrich import join_null_safe
-
-# Up to this many rows a group is ranked by one task's window; a fixed bound, not a share of the data.
-SMALL_GROUP = 1_000_000
+from .enrich import join_spread
 
 
 def with_positions(
-    rows: DataFrame, value: str, by: Sequence[str], counts: Sequence[str], largest_group: int | None = None
+    rows: DataFrame, value: str, by: Sequence[str], counts: Sequence[str], part: str | None = None
 ) -> DataFrame:
     """Add ``below_<c>`` and ``total_<c>`` for every count column ``c``.
 
     ``rows`` must hold each value once per group. ``below_<c>`` sums ``c`` over smaller values of the
-    group, ``total_<c>`` over the group. If the caller knows that no group has more than SMALL_GROUP rows
-    it can say so with ``largest_group``; a window per group then does.
+    group, ``total_<c>`` over the group. Rows that inherit ranges of the value from a table ranged before
+    name the column with the range's number in ``part``; placed by (group, part), they stay where they are.
+    Groups then must be known.
     """
-    if largest_group is not None and largest_group <= SMALL_GROUP:
-        whole = W.partitionBy(*by)
-        before = whole.orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-        return rows.withColumns(
-            {f"below_{c}": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in counts}
-            | {f"total_{c}": F.sum(c).over(whole) for c in counts}
+    if part is not None:
+        earlier = W.partitionBy(*by).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+        sums = rows.groupBy(*by, part).agg(*[F.sum(c).alias(f"_{c}") for c in counts])
+        heads = sums.select(
+            *by,
+            part,
+            *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}") for c in counts],
+            *[F.sum(f"_{c}").over(W.partitionBy(*by)).alias(f"total_{c}") for c in counts],
+        )
+        before = W.partitionBy(*by, part).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+        running = rows.join(heads, [*by, part]).withColumns(
+            {f"below_{c}": F.col(f"_{c}") + F.coalesce(F.sum(c).over(before), F.lit(0)) for c in counts}
         )
+        return running.select(*rows.columns, *[f"{kind}_{c}" for kind in ("below", "total") for c in counts])
 
     ranged = stored(rows.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()))
 
@@ -73,12 +78,13 @@ def value_positions(
     value: str,
     by: Sequence[str] = (),
     counts: Mapping[str, Column] | None = None,
-    largest_group: int | None = None,
+    part: str | None = None,
 ) -> DataFrame:
     """Distinct known values of each group with counts, counts below and group totals."""
     counts = dict(counts or {"n": F.count("*")})
-    folded = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*[c.alias(n) for n, c in counts.items()])
-    return with_positions(folded, value, by, list(counts), largest_group)
+    held = [part] if part else []
+    folded = df.where(F.col(value).isNotNull()).groupBy(*by, *held, value).agg(*[c.alias(n) for n, c in counts.items()])
+    return with_positions(folded, value, by, list(counts), part)
 
 
 def mid_rank(n: str | Column = "n", below: str | Column = "below_n") -> Column:
@@ -93,7 +99,7 @@ def with_mid_rank(df: DataFrame, value: str, by: Sequence[str] = (), name: str =
     """
     kept = stored(df)
     ranks = value_positions(kept, value, by).select(*by, value, mid_rank().alias(name))
-    return join_null_safe(kept, ranks, (value, *by))
+    return join_spread(kept, ranks, (value, *by))
 
 
 def numbered(df: DataFrame, by: Sequence[str], order: Column, name: str = "number") -> DataFrame:
@@ -137,8 +143,10 @@ def exact_quantiles(
 def top_with_ties(df: DataFrame, value: str, n: int) -> DataFrame:
     """The n largest rows and all rows tied with the last of them; missing values come last.
 
-    The n-th value is found by a distributed top-n, the rows by a filter: no global ranking.
+    The n-th value is found by a distributed top-n, the rows by a filter: no global ranking. The rows are stored
+    first, so that both see the same bits of the value.
     """
+    df = stored(df)
     last = (
         df.select(value)
         .orderBy(F.desc_nulls_last(value))

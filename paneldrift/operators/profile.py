@@ -10,18 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import safe_div
 from ..session import stored
-from .enrich import join_null_safe
+from .enrich import join_null_safe, join_spread
 from .ordering import quantiles_of, value_positions, with_positions
 
-MAX_LEVELS = 10_000
-
 
 def levels_of(df: DataFrame, name: str) -> list:
-    """Sorted levels of a categorical column. More than MAX_LEVELS is not a categorical column."""
-    rows = df.select(name).where(F.col(name).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"{name} has more than {MAX_LEVELS} levels")
-    return sorted(r[0] for r in rows)
+    """Sorted levels of a categorical column, for wide tables, whose columns they become."""
+    return sorted(r[0] for r in df.select(name).where(F.col(name).isNotNull()).distinct().collect())
 
 
 def distinct_values(df: DataFrame, *names: str) -> DataFrame:
@@ -30,9 +25,9 @@ def distinct_values(df: DataFrame, *names: str) -> DataFrame:
 
 def level_codes(df: DataFrame, name: str) -> DataFrame:
     """Each level of a categorical column with its position in the level order."""
-    levels = levels_of(df, name)
-    codes = F.create_map(*[x for i, v in enumerate(levels, 1) for x in (F.lit(v), F.lit(i))])
-    return df.withColumn(f"{name}_code", F.try_element_at(codes, F.col(name)))
+    levels = df.select(name).where(F.col(name).isNotNull()).distinct().withColumn("_one", F.lit(1).cast("bigint"))
+    codes = with_positions(levels, name, (), ["_one"]).select(name, (F.col("below__one") + 1).cast("int").alias(f"{name}_code"))
+    return join_spread(df, codes, (name,))
 
 
 def complete_rows(df: DataFrame) -> DataFrame:
@@ -114,6 +109,7 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str], limits: tuple[float,
             }
         )
     )
+    by = list(by)
     placed = join_null_safe(positions.select(*by, value, F.col("n").alias("_copies")), box, by, "inner")
     inside = F.col(value).between(F.col("_low"), F.col("_high"))
     stats = placed.groupBy(*by, "n", "q1", "median", "q3").agg(

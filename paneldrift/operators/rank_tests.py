@@ -31,12 +31,12 @@ def level_positions(
     level: str,
     levels: Sequence,
     by: Sequence[str] = (),
-    largest_group: int | None = None,
+    part: str | None = None,
 ) -> DataFrame:
     """Distinct values with ``n0, n1, ...`` rows per level, the same below and in total."""
     known = df.where(F.col(level).isin(list(levels)))
     counts = {f"n{i}": F.count_if(F.col(level) == v) for i, v in enumerate(levels)}
-    placed = value_positions(known, value, by, counts, largest_group)
+    placed = value_positions(known, value, by, counts, part)
     k = range(len(levels))
     return placed.withColumns(
         {
@@ -53,10 +53,10 @@ def spearman(
     level: str,
     levels: Sequence,
     by: Sequence[str] = (),
-    largest_group: int | None = None,
+    part: str | None = None,
 ) -> DataFrame:
     """Rank correlation per group, null where either side is constant, and the mean value per level."""
-    placed = level_positions(df, value, level, levels, by, largest_group)
+    placed = level_positions(df, value, level, levels, by, part)
     k = range(len(levels))
     centre = (F.col("total") + 1) / 2
     dx = F.col("rank") - centre

@@ -77,13 +77,16 @@ def drop_absent(two_date: DataFrame, ini: str = "ini", fin: str = "fin") -> Data
 
 
 def densify(
-    panel: DataFrame, species: Sequence[str], years: Sequence[int], keys: Sequence[str] = PLOT
+    panel: DataFrame, species: Sequence[str], years: Sequence[int] | None = None, keys: Sequence[str] = PLOT
 ) -> DataFrame:
-    """Panel with an explicit zero for every species and date of every plot.
+    """Panel with an explicit zero for every absent species and date of every plot.
+
+    ``species`` and ``years`` list the cells that must be there; the dates are those of the panel if none are
+    given. Cells outside the lists are kept, and a stored missing value stays missing.
 
     The first row of each plot also stands for the grid of its empty cells; grid and known rows are then
     folded per cell, all of it where the plot lies, in one reading of the panel. The output itself is
-    plots x species x dates by definition. ``species`` and ``years`` are the level lists of the panel.
+    plots x species x dates by definition.
 
     The number of partitions is fixed: sized by the rows that come in, as Spark would do by itself, a
     partition would be far too large once they have been multiplied.
@@ -91,12 +94,14 @@ def densify(
     cell = ["species", "year"]
     parts = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = F.row_number().over(W.partitionBy(*keys).orderBy(*cell)) == 1
+    # One value per date, whatever the number of plots.
+    dates = panel.agg(F.sort_array(F.collect_set("year"))).scalar() if years is None else F.array(*[F.lit(y) for y in years])
     known = F.array(F.struct("species", "year", "value", F.lit(1).alias("rows")))
     empty = F.flatten(
         F.transform(
             F.array(*[F.lit(s) for s in species]),
             lambda s: F.transform(
-                F.array(*[F.lit(y) for y in years]),
+                F.col("_dates"),
                 lambda y: F.struct(
                     s.alias("species"), y.alias("year"), F.lit(None).cast("double").alias("value"), F.lit(0).alias("rows")
                 ),
@@ -106,14 +111,14 @@ def densify(
     folded = (
         panel.select(*keys, *cell, "value")
         .repartition(parts, keys[0])
-        .withColumn("_first", first)
+        .withColumns({"_first": first, "_dates": dates})
         .select(*keys, F.explode(F.when(F.col("_first"), F.concat(known, empty)).otherwise(known)).alias("_cell"))
         .select(*keys, "_cell.*")
-        .where(F.col("species").isin(list(species)) & F.col("year").isin(list(years)))
         .groupBy(*keys, *cell)
         .agg(F.max("value").alias("value"), F.sum("rows").alias("_rows"))
     )
-    value = F.coalesce(once(F.col("value"), F.col("_rows"), "duplicate cell in the panel"), F.lit(0.0))
+    known_value = once(F.col("value"), F.col("_rows"), "duplicate cell in the panel")
+    value = F.when(F.col("_rows") == 0, F.lit(0.0)).otherwise(known_value)
     return folded.select(*keys, *cell, value.alias("value"))
 
 

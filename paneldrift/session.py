@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,19 +27,25 @@ def local_session(cores: int | str = "*", app: str = "paneldrift", memory: str =
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can read: the one the cluster names in spark.checkpoint.dir.
+    """Folder every executor can read: the one the session names in spark.checkpoint.dir.
 
-    Only a local[...] session, where driver and executors are one process, may fall back to a
-    temporary folder of its own.
+    Only where a local[...] session names none, where driver and executors are one process, a folder in its
+    warehouse becomes its checkpoint folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    folder = tempfile.mkdtemp(prefix="paneldrift-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Remove what this application has stored; for the end of a run, when no table read from it is needed any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -49,7 +54,7 @@ def stored(df: DataFrame) -> DataFrame:
     Later passes scan the stored columns instead of re-running the plan above, survive the loss of
     executors, and all see the same bits: re-running a floating-point sum may change its last digit,
     which would break a later join on the value. The tables of a run share one folder named after the
-    application; it may go when the run is over.
+    application, which `clear_stored` removes.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/table-{uuid.uuid4().hex}"

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import schema as S
@@ -17,20 +19,29 @@ def read_delimited(
     names: Mapping[str, str] | None = None,
     sep: str = "\t",
 ) -> DataFrame:
-    """Delimited text with a header line.
+    """Delimited text with a header line, one file or a folder of them.
 
-    ``schema`` holds canonical names; ``names`` maps the header of the file to them. The file's own
-    header decides which column is which, so the column order does not matter.
+    ``schema`` holds canonical names; ``names`` maps the headers of the files to them. Every file's own
+    header decides which column is which: files are read by header and put together by name, and a column that
+    a file lacks is missing there. A number or date that cannot be read is an error, NA is a missing value.
     """
     names = dict(names or {})
     types = {f.name: f.dataType for f in schema.fields}
-    header = spark.read.option("sep", sep).option("header", True).csv(path).columns
-    as_read = T.StructType(
-        [T.StructField(h, types.get(names.get(h, h), T.StringType())) for h in header]
-    )
-    raw = spark.read.schema(as_read).option("sep", sep).option("header", True).option("nullValue", "NA").csv(path)
-    known = S.canonical(raw, names)
-    return S.clean(known.select([f.name for f in schema.fields if f.name in known.columns]))
+    # The first line of every file: rows of a file's first block are read in order by one task.
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("place"))
+    heads = lines.where("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "place").alias("head"))
+    by_head = heads.groupBy("head").agg(F.sort_array(F.collect_list("file_path")).alias("files")).orderBy("head").collect()
+    parts = []
+    for row in by_head:  # as many as there are different headers
+        header = [h.strip().strip('"') for h in row["head"].lstrip("\ufeff").split(sep)]
+        as_read = T.StructType([T.StructField(h, types.get(names.get(h, h), T.StringType())) for h in header])
+        options = {"sep": sep, "header": True, "nullValue": "NA", "mode": "FAILFAST", "enforceSchema": False}
+        raw = spark.read.schema(as_read).options(**options).csv(row["files"])
+        known = S.canonical(raw, names)
+        parts.append(S.clean(known.select([f.name for f in schema.fields if f.name in known.columns])))
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_table(
@@ -47,7 +58,7 @@ def read_site(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 
 def read_region(spark: SparkSession, path: str, region: str) -> DataFrame:
     """Rings of one region of the polygon table."""
-    return spark.read.schema(S.POLYGON).parquet(path).where(S.F.col("region") == region)
+    return spark.read.schema(S.POLYGON).parquet(path).where(F.col("region") == region)
 
 
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:

@@ -65,6 +65,21 @@ def test_start_date_inside_trailing_window(panel):
     assert [(r.ini, r.fin) for r in got] == [(4, 6)]
 
 
+def test_stored_missing_value_is_no_zero(panel):
+    df = panel([("1", "a", 1, 2), ("1", "a", 2, None), ("1", "a", 3, 4), ("1", "b", 1, 1), ("1", "z", 1, 5)])
+    for m in ("zero", "null"):
+        assert as_dicts(change.smoothed_dates(df, 1, 3, 3, missing=m), "species")["a"]["fin"] == 3
+    cells = as_dicts(reshape.densify(df, ["a", "b"]), "species", "year")
+    assert cells["a", 2]["value"] is None and cells["b", 2]["value"] == 0 and cells["z", 1]["value"] == 5
+    assert len(cells) == 7 and reshape.two_dates(df, 1, 2, missing="zero").where("species = 'a'").first().fin is None
+
+
+def test_dominant_species(panel):
+    df = panel([("1", "b", 1, 3), ("1", "a", 1, 3), ("1", "c", 1, 2), ("2", "a", 1, 0), ("2", "b", 1, None)])
+    got = change.dominant_species(reshape.two_dates(df, 1, 2), ("plot",), 0.5).collect()
+    assert [(r.plot, r.dominant, r.max_share, r.stand_type) for r in got] == [("1", "a", 0.375, labels.PLURI)]
+
+
 def test_zero_reading_of_sparse_panel_equals_dense_panel(panel):
     sparse = panel([("1", "a", 1, 5), ("1", "b", 3, 2), ("1", "c", 2, 9), ("2", "a", 1, 1), ("2", "a", 3, 4)])
     dense = reshape.densify(sparse, ["a", "b", "c"], [1, 2, 3])

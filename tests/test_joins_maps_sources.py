@@ -162,6 +162,34 @@ def test_delimited_source_by_name(spark, tmp_path):
     assert [tuple(r) for r in df.orderBy("year").collect()] == [("007", "x", 2001, "QRob", 1.5), ("007", "x", 2100, "QRob", None)]
 
 
+def test_delimited_files_with_other_headers_and_bad_numbers(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "a.tsv").write_text("Year\tIDP\tspeciesName\tbasalAreaSum\tScenario\n2001\t1\tQRob\t1.5\tx\n")
+    (folder / "b.tsv").write_text("speciesName\tIDP\tYear\textra\n" + "FSyl\t2\t2002\tz\n" * 50)
+    df = tables.read_delimited(spark, str(folder), schema.PANEL_P, schema.NAMES_P)
+    assert {tuple(r) for r in df.collect()} == {("1", "x", 2001, "QRob", 1.5), ("2", None, 2002, "FSyl", None)} and df.count() == 51
+    (folder / "c.tsv").write_text("Year\tIDP\tspeciesName\tbasalAreaSum\tScenario\n2001\t1\tQRob\t1,5\tx\n")
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ"):
+        tables.read_delimited(spark, str(folder), schema.PANEL_P, schema.NAMES_P).collect()
+
+
+def test_hot_key_is_spread(spark):
+    """Half of the rows share one value: no task gets much more than its part of them."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        left = spark.range(8000).select("id", F.when(F.col("id") % 2 == 0, -100.0).otherwise(F.col("id").cast("double")).alias("v"))
+        right = left.groupBy("v").agg(F.count("*").alias("n"))
+        joined = enrich.join_spread(left, right, ("v",))
+        assert joined.where("v = -100").agg(F.min("n"), F.count("*")).first() == (4000, 4000)
+        parts = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert max(parts) < 3 * 8000 / 8
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_site_source(spark, tmp_path):
     path = tmp_path / "site.csv"
     path.write_text("IDP,Lat,Lon,GRECO,N_GB,Fertility_score\n1,45.5,2.5,A,3,high\n")

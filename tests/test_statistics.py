@@ -277,11 +277,7 @@ def _boot(data, n_iter, seed, least):
     return pd.DataFrame(rows, columns=["g", "iteration", "diff"])
 
 
-@pytest.mark.parametrize("bound", [ordering.SMALL_GROUP, 5])
-def test_bootstrap_matches_brute_force(spread, monkeypatch, bound):
-    """Both ways of ranking the resamples: a group known to be small, and one beyond the bound."""
-    monkeypatch.setattr(ordering, "SMALL_GROUP", bound)
-    monkeypatch.setattr(bootstrap, "SMALL_GROUP", bound)
+def test_bootstrap_matches_brute_force(spread):
     rng = np.random.default_rng(2)
     data = pd.DataFrame(
         {
@@ -318,3 +314,18 @@ def test_shapiro_wilk(spark):
     assert linear.shapiro_wilk(df, "y", ["id"], n=5).first().w is None
     with pytest.raises(ValueError):
         linear.shapiro_wilk(df, "y", ["id"], n=6000)
+
+
+def test_ks_normality(spark):
+    rng = np.random.default_rng(4)
+    values = [*rng.normal(3, 2, 80).round(1).tolist(), 3.0, 3.0, 9.9, None]
+    r = linear.ks_normality(spark.createDataFrame([(v,) for v in values], "y double").repartition(4), "y").first()
+    x = np.sort([v for v in values if v is not None])
+    z = (x - x.mean()) / x.std(ddof=1)
+    p = np.array([0.5 * (1 + math.erf(v / math.sqrt(2))) for v in z])
+    upto = np.searchsorted(x, x, "right") / len(x)
+    below = np.searchsorted(x, x, "left") / len(x)
+    assert r.n == len(x) and r.distance == pytest.approx(max((upto - p).max(), (p - below).max()), abs=1e-9)
+    t = math.sqrt(len(x)) * r.distance
+    assert r.p_value == pytest.approx(2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * t * t) for k in range(1, 200)), abs=1e-9)
+    assert linear.ks_normality(spark.createDataFrame([(1.0,), (1.0,)], "y double"), "y").first().distance is None
