@@ -11,7 +11,7 @@ from paneldrift.functions import labels
 from paneldrift.operators import linear
 
 BRANDS = [f"Brand#{i}" for i in range(1, 26)]
-BOOT_ITER, BOOT_SEED = 60, 7
+BOOT_ITER, BOOT_SEED = 5000, 7
 
 
 def r(expr: str, name: str | None = None, digits: int = 6) -> str:

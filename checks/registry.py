@@ -29,7 +29,7 @@ SCENARIO, START, END = "N", 1995, 2001
 WINDOW, LAG, DOMINANCE = 3, 3, 0.15
 GRADES = (1, 2, 3)
 MODEL_M, MODEL_P = "A", "R"
-BOOT_ITER, BOOT_SEED = 60, 7
+BOOT_ITER, BOOT_SEED = 5000, 7
 # Plots and species of the charts, and the species listed in either model of the pairing.
 PLOTS, SPECIES = (1, 2, 3, 5, 8), ("Brand#11", "Brand#13", "Brand#25")
 LISTED_M, LISTED_P = ("Brand#11", "Brand#12", "Brand#13", "Brand#14"), ("Brand#12", "Brand#13", "Brand#14", "Brand#21")
