@@ -60,9 +60,9 @@ def targets(sources: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     used = F.coalesce(F.sum("source_size").over(before), F.lit(0)) * most
     rest = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     level = (F.sum("source_size").over(every) - used) / rest
-    rows = rows.withColumn("level", level)
+    rows = rows.withColumns({"level": level, "place": F.row_number().over(by_limit)})
     free = F.col("level") * F.col("weight") <= F.col("source_size") * most
-    rows = rows.withColumn("stop", F.min(F.when(free, F.col("level"))).over(every))
+    rows = rows.withColumn("stop", F.min_by("level", F.when(free, F.col("place"))).over(every))
     target = F.least(F.col("stop") * F.col("weight"), (F.col("source_size") * most).cast("double"))
     return rows.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
@@ -78,7 +78,7 @@ def shares(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED,
     # Cells of a source are bounded: some 100 classes x PARTS. Their sums place every cell in its source.
     name = F.when(F.col("key") != "", F.substring("key", 2, 1 << 30)).alias("source")
     wanted = targets(cells.groupBy("key").agg(F.sum("words").alias("source_size")).select(name, "source_size"), weights, most)
-    wanted = wanted.select(key.alias("key"), "source", "source_size", "target")
+    wanted = wanted.select(key.alias("key"), "source_size", "target")
     order = W.partitionBy("key").orderBy("class", "part")
     start = F.coalesce(F.sum("rows").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = cells.select("key", "class", "part", start.alias("start")).join(wanted, "key")
@@ -86,7 +86,7 @@ def shares(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED,
     rows = sized.withColumn("number", number).join(placed, ["key", "class", "part"])
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # A multiple of 2**-20, so that adding it to a whole number is exact.
-    offset = (_hash(F.concat_ws("|", F.lit(str(seed)), F.coalesce("source", F.lit("")))) % (1 << 20)) / float(1 << 20)
+    offset = (_hash(F.concat_ws("|", F.lit(str(seed)), F.substring("key", 2, 1 << 30))) % (1 << 20)) / float(1 << 20)
     upto = lambda n: F.floor(n * F.col("expected") + F.col("offset"))
     place = F.col("start") + F.col("number")
     rows = rows.withColumns({"expected": expected, "offset": offset})

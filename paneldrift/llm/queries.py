@@ -104,13 +104,13 @@ WITH d AS (
 ), x AS (
   SELECT *, row_number() OVER (ORDER BY source_size / weight, source IS NULL, source) AS i FROM w
 ), l AS (
-  SELECT a.source, a.source_size, a.weight,
+  SELECT a.i, a.source, a.source_size, a.weight,
     ((SELECT sum(source_size) FROM x) - 3 * coalesce(sum(b.source_size), 0))::DOUBLE
       / ((SELECT sum(weight) FROM x) - coalesce(sum(b.weight), 0)) AS level
   FROM x a LEFT JOIN x b ON b.i < a.i GROUP BY ALL
 ), t AS (
   SELECT source, source_size, coalesce(least(
-      (SELECT min(level) FROM l WHERE level * weight <= 3 * source_size) * weight, 3.0::DOUBLE * source_size), 0) AS target
+      (SELECT arg_min(level, i) FROM l WHERE level * weight <= 3 * source_size) * weight, 3.0::DOUBLE * source_size), 0) AS target
   FROM l
 ), n AS (
   SELECT d.*, source_size, target,
