@@ -40,9 +40,9 @@ def _hash(text: Column) -> Column:
 
 
 def _size_class(size: Column) -> Column:
-    """Rises with size: its number of binary digits, then the two digits after the first."""
+    """Rises with size: its number of binary digits, then the four digits after the first, so sizes of a class differ by a 16th."""
     digits = F.char_length(F.bin(size))
-    return digits * 4 + F.call_function("shiftright", size, F.greatest(digits - 3, F.lit(0))).bitwiseAND(F.lit(3)).cast("int")
+    return digits * 16 + F.call_function("shiftright", size, F.greatest(digits - 5, F.lit(0))).bitwiseAND(F.lit(15)).cast("int")
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
@@ -75,7 +75,7 @@ def shares(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED,
     sized = docs.select("doc_id", key.alias("key"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"), part.alias("part"), *keep)
     sized = sized.withColumn("class", _size_class(F.col("size")))
     cells = sized.groupBy("key", "class", "part").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words"))
-    # Cells of a source are bounded: some 100 classes x PARTS. Their sums place every cell in its source.
+    # Cells of a source are bounded: some 300 classes x PARTS. Their sums place every cell in its source.
     name = F.when(F.col("key") != "", F.substring("key", 2, 1 << 30)).alias("source")
     wanted = targets(cells.groupBy("key").agg(F.sum("words").alias("source_size")).select(name, "source_size"), weights, most)
     wanted = wanted.select(key.alias("key"), "source_size", "target")

@@ -115,7 +115,7 @@ WITH d AS (
 ), n AS (
   SELECT d.*, source_size, target,
     row_number() OVER (PARTITION BY d.source ORDER BY
-      length(bin(size)) * 4 + ((size >> greatest(length(bin(size)) - 3, 0)) & 3), part, size, doc_id NULLS FIRST) AS i,
+      length(bin(size)) * 16 + ((size >> greatest(length(bin(size)) - 5, 0)) & 15), part, size, doc_id NULLS FIRST) AS i,
     (('0x' || substr(md5('20240|' || coalesce(d.source, '')), 1, 8))::BIGINT % 1048576) / 1048576.0::DOUBLE AS u,
     CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS e
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
