@@ -6,10 +6,39 @@ treats absent cells as zero, equal results show that the two readings agree.
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from paneldrift.functions import distributions as dist
-from paneldrift.functions import labels
 from paneldrift.operators import linear
 
+# --- Fixed values: labels and colours that results must carry, written out again so that a slip in the library shows ---
+
+labels = SimpleNamespace(
+    MONO="monospecifique",
+    PLURI="plurispecifique",
+    QUARTILE_LABELS=("0–25%", "25–50%", "50–75%", "75–100%"),
+    RELATION_GOOD="Forte (bonne note → haute croissance)",
+    RELATION_BAD="Forte (bonne note → basse croissance)",
+    RELATION_WEAK="Faible / Non significative",
+    TEXT_UNDEFINED="Non calculable (trop peu de notes distinctes)",
+    TEXT_NO_LINK="Aucun lien significatif entre note et croissance",
+    TEXT_EXPECTED="Relation attendue : les bonnes notes sont associées à une meilleure croissance",
+    TEXT_REVERSED="Relation inversée : les mauvaises notes montrent une croissance plus forte",
+    TEXT_OTHER="Cas particulier",
+    LOSS_COLOURS={"0–25%": "white", "25–50%": "#ffcccc", "50–75%": "#ff6666", "75–100%": "red"},
+    APPEAR_COLOURS={"0–25%": "white", "25–50%": "#ccffcc", "50–75%": "#66cc66", "75–100%": "green"},
+    PRESENCE_COLOURS={"presence": "green", "absence": "red"},
+    LIKELIHOOD_COLOURS={"faible": "red", "moyen": "orange", "fort": "green"},
+    AGREEMENT_COLOURS={"OK": "green", "pasOK": "red"},
+    RELATION_COLOURS={
+        "Forte (bonne note → haute croissance)": "#2E8B57",
+        "Forte (bonne note → basse croissance)": "#E74C3C",
+        "Faible / Non significative": "lightgrey",
+    },
+)
+
+# --- End of fixed values ---
+
 BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 BOOT_ITER, BOOT_SEED = 5000, 7
 

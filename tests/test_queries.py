@@ -22,16 +22,16 @@ def test_names():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, con, name):
-    plans = []
+    made = []
 
     def query(spark, sf):
-        df = QUERIES[name](spark, sf)
-        plans.append(df._jdf.queryExecution().executedPlan().toString())
-        return df
+        made.append(QUERIES[name](spark, sf))
+        return made[0]
 
     result, _ = compare.compare(spark, con, SF, query, SQL[name])
     assert result.startswith("ok"), result
-    assert "CartesianProduct" not in plans[0] and "NestedLoop" not in plans[0]
+    ran = made[0]._jdf.queryExecution().executedPlan().toString()  # the plan as it ran
+    assert "CartesianProduct" not in ran and "NestedLoop" not in ran
 
 
 def test_entry(spark):
@@ -41,6 +41,23 @@ def test_entry(spark):
     assert set(entry.queries()) >= set(QUERIES) and set(entry.oracle_sql()) >= set(SQL)
 
 
+@pytest.mark.parametrize("name,order", [("series_table", ("plot", "species", "year")), ("series_for_species", ("plot", "species", "year")), ("ordered_bars", ("sort_key",))])
+def test_sorted_results_come_in_order(spark, name, order):
+    rows = [tuple(r[c] for c in order) for r in QUERIES[name](spark, SF).collect()]
+    assert rows == sorted(rows) and rows
+
+
+def test_stored_tables_can_be_removed(spark):
+    from paneldrift import session
+
+    stored = session.stored(spark.range(3))
+    assert stored.count() == 3
+    folder = spark.newSession()
+    session.clear_stored(folder)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|FileNotFound|FAILED_READ"):
+        spark.read.parquet(stored.inputFiles()[0]).collect()
+
+
 def plan(df):
     df.collect()
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
