@@ -39,7 +39,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: N-grams of value 1 at the end of a text's features.
 SHARES = 2
 #: Distinct words whose hashes a worker keeps.
-CACHE = 500_000
+CACHE = 150_000
 
 
 def shape(word: str) -> str:

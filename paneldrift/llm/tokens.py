@@ -18,8 +18,9 @@ from array import array
 
 import numpy as np
 
-#: Distinct pieces that a worker keeps; about 300 bytes each with their parts. Beyond it the cache starts anew.
-CACHE = 1_000_000
+#: Distinct pieces that a worker keeps, about 200 bytes each, and distinct words and tails that new pieces are made of.
+#: Beyond either number that cache starts anew.
+CACHE, CORES = 600_000, 200_000
 
 _ODD = re.compile("[\x1c-\x1f]")
 _OTHER_SPACE = re.compile(r"[^\S \n]|\0")
@@ -88,7 +89,9 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.pieces) > CACHE:
-            self.pieces, self.cores = {}, {}
+            self.pieces = {}
+        if len(self.cores) > CORES:
+            self.cores = {}
         cut = [self.cut(t) for t in texts]
         pieces, cores, need, made = self.pieces, self.cores, set(), []
         missing = set().union(*cut).difference(pieces)
