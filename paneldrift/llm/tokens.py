@@ -20,7 +20,7 @@ import numpy as np
 
 #: Distinct pieces that a worker keeps, about 200 bytes each, and distinct words and tails that new pieces are made of.
 #: Beyond either number that cache starts anew.
-CACHE, CORES = 600_000, 200_000
+CACHE, CORES = 300_000, 100_000
 
 _ODD = re.compile("[\x1c-\x1f]")
 _OTHER_SPACE = re.compile(r"[^\S \n]|\0")
