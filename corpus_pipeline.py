@@ -21,13 +21,16 @@ from pyspark.sql import functions as F
 from paneldrift.llm import jaccard, mixing, packing, quality, secrets
 from paneldrift.session import shared_folder
 
+#: Shingles of five words, similarity 0.8: the stage's own rule, not that of op4.
+NEAR = jaccard.Rule(5, 80, 100)
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, NEAR)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

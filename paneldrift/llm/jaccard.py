@@ -1,9 +1,10 @@
 """N-gram Jaccard join with several global token orders, and the components of its links.
 
-A document is the set of its 4-word shingles (64-bit hashes; sets are told apart by 64-bit hashes too). Equal sets are one class.
+A document is the set of its shingles of `rule.shingle` words (64-bit hashes; sets are told apart by 64-bit hashes too). Equal sets are one
+class. OWN is the rule of op4, four words and 0.85; callers may give another similarity of at least a half.
 
 * Orders: shingles go by how common they are (counts of a fixed-size sketch over all documents), equally common ones by one of
-  ORDERS different hashes. Two sets that are alike enough share a shingle among the first n - ceil(0.85 n) + 1 of each, in every order.
+  ORDERS different hashes. Two sets that are alike enough share a shingle among the first n - ceil(similarity x n) + 1 of each, in every order.
 * The first order brings candidates together; the others are filters: a candidate must share prefix shingles in all of them.
 * Before any set is moved, a pair must pass by size and by parities (of how many shingles fall in each of 512 groups, and of as many groups
   as shingles for larger sets), which bound the difference of two sets from below.
@@ -11,13 +12,15 @@ A document is the set of its 4-word shingles (64-bit hashes; sets are told apart
   one; links verified there make components. In a second pass all pairs of sets that share a prefix shingle and are not yet in one
   component are tested, in blocks, so no group is held by one task. Both passes verify on whole sets.
 
-Defined results: nulls, texts without words: no shingles and no links; fewer than four words: the whole sequence is one shingle;
+Defined results: nulls, texts without words: no shingles and no links; fewer words than a shingle: the whole sequence is one shingle;
 repeated rows are copies; rows without doc_id are linked like others and have the component of their copies, null where these have no id either;
 other columns are ignored by `near_duplicates` and kept by `one_of_each`; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +28,16 @@ from pyspark.sql import functions as F
 from paneldrift.llm.words import mix, words_of
 from paneldrift.session import stored
 
-SHINGLE = 4
-#: Similarity as a fraction.
-NEED, OF = 85, 100
+
+class Rule(NamedTuple):
+    """Words of a shingle, and the similarity as a fraction."""
+
+    shingle: int
+    need: int
+    of: int
+
+
+OWN = Rule(4, 85, 100)
 ORDERS = 3
 #: The sketch counts shingles in 2**SKETCH_BITS places, whatever the size of the corpus; it is sent to the tasks.
 SKETCH_BITS = 20
@@ -36,23 +46,23 @@ PARITIES = 512
 #: Sets of one shingle that are compared in one go; more are dealt out as pairs of blocks.
 BLOCK = 512
 
-_FACTORS = mix(np.arange(901, 901 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
-
 
-def sets_of(texts) -> list[np.ndarray]:
+def sets_of(texts, rule: Rule = OWN) -> list[np.ndarray]:
     """Sorted distinct shingles of each text."""
+    shingle = rule.shingle
+    factors = mix(np.arange(901, 901 + shingle, dtype=np.uint64)) | np.uint64(1)
     words = words_of(texts)
     hashes = words.hashes(fold=True)
     out = []
     long_ = np.zeros(0, np.uint64)
-    if len(hashes) >= SHINGLE:
-        last = len(hashes) - SHINGLE + 1
-        long_ = mix(sum((hashes[k : last + k] * _FACTORS[k] for k in range(SHINGLE)), np.zeros(last, np.uint64)))
+    if len(hashes) >= shingle:
+        last = len(hashes) - shingle + 1
+        long_ = mix(sum((hashes[k : last + k] * factors[k] for k in range(shingle)), np.zeros(last, np.uint64)))
     for a, b in zip(words.firsts, words.firsts[1:]):
-        if b - a >= SHINGLE:
-            out.append(np.unique(long_[a : b - SHINGLE + 1]))
+        if b - a >= shingle:
+            out.append(np.unique(long_[a : b - shingle + 1]))
         elif b > a:
-            short = hashes[a:b] * _FACTORS[: b - a]
+            short = hashes[a:b] * factors[: b - a]
             out.append(mix(np.array([short.sum(dtype=np.uint64) + np.uint64(b - a)], np.uint64)))
         else:
             out.append(np.zeros(0, np.uint64))
@@ -80,20 +90,20 @@ def places(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def prefix(x: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
+def prefix(x: np.ndarray, counts: np.ndarray, order: int, rule: Rule = OWN) -> np.ndarray:
     """First shingles of a set in an order: enough that sets which are alike share one."""
     n = len(x)
-    k = n + (-n * NEED) // OF + 1
+    k = n + (-n * rule.need) // rule.of + 1
     return x[np.lexsort((mix(x + np.uint64(order + 1)), counts[places(x)]))[:k]]
 
 
-def alike(x: np.ndarray, y: np.ndarray, counts: np.ndarray, orders: int = ORDERS) -> bool:
+def alike(x: np.ndarray, y: np.ndarray, counts: np.ndarray, orders: int = ORDERS, rule: Rule = OWN) -> bool:
     """The filters of all orders, then the exact similarity."""
     for order in range(orders):
-        if not len(np.intersect1d(prefix(x, counts, order), prefix(y, counts, order), assume_unique=True)):
+        if not len(np.intersect1d(prefix(x, counts, order, rule), prefix(y, counts, order, rule), assume_unique=True)):
             return False
     both = len(np.intersect1d(x, y, assume_unique=True))
-    return OF * both >= NEED * (len(x) + len(y) - both)
+    return rule.of * both >= rule.need * (len(x) + len(y) - both)
 
 
 def _slices(frame, most: int = 1 << 21):
@@ -108,7 +118,7 @@ def _slices(frame, most: int = 1 << 21):
         at = upto
 
 
-def _summaries(docs: DataFrame) -> DataFrame:
+def _summaries(docs: DataFrame, rule: Rule) -> DataFrame:
     """Rows of documents (doc_id, tid, cid, n, parities), and rows of the sketch (place, counts)."""
 
     def rows(frames):
@@ -120,7 +130,7 @@ def _summaries(docs: DataFrame) -> DataFrame:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for frame in frames:
             for piece in _slices(frame):
-                sets = sets_of(piece.column("text"))
+                sets = sets_of(piece.column("text"), rule)
                 np.add.at(counts, places(np.concatenate(sets)), 1)
                 none = pa.nulls(len(sets))
                 yield pa.RecordBatch.from_arrays(
@@ -164,7 +174,7 @@ def _sketch(summaries: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _shared(docs: DataFrame, counts) -> DataFrame:
+def _shared(docs: DataFrame, counts, rule: Rule) -> DataFrame:
     """token, cid, first, before: prefix shingles of the first order that several classes have; `first` and `before` are the
     first class with that shingle and the one before this."""
 
@@ -175,10 +185,10 @@ def _shared(docs: DataFrame, counts) -> DataFrame:
         for frame in frames:
             for piece in _slices(frame):
                 new = {}
-                for x in sets_of(piece.column("text")):
+                for x in sets_of(piece.column("text"), rule):
                     if len(x) and (c := class_of(x)) not in seen:
                         seen.add(c)
-                        new[c] = prefix(x, counts.value, 0)
+                        new[c] = prefix(x, counts.value, 0, rule)
                 if new:
                     yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(list(new.values())).astype(np.int64)),
                                                       "cid": pa.array(np.repeat(np.array(list(new), np.int64), [len(x) for x in new.values()]))})
@@ -223,7 +233,7 @@ def _ordered(a: str, b: str):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, texts: DataFrame, counts) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, texts: DataFrame, counts, rule: Rule) -> DataFrame:
     """The pairs (a, b) of classes that are alike. Only texts of the classes asked for are moved."""
 
     def sets(frames):
@@ -232,7 +242,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, texts: DataFrame, counts) -> Da
         seen = set()
         for frame in frames:
             for piece in _slices(frame):
-                made = {c: x for x in sets_of(piece.column("text")) if len(x) and (c := class_of(x)) not in seen}
+                made = {c: x for x in sets_of(piece.column("text"), rule) if len(x) and (c := class_of(x)) not in seen}
                 seen.update(made)
                 if made:
                     yield pa.RecordBatch.from_pydict({"cid": pa.array(list(made), pa.int64()), "x": pa.array([x.tobytes() for x in made.values()], pa.binary())})
@@ -241,7 +251,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, texts: DataFrame, counts) -> Da
         import pyarrow as pa
 
         for frame in frames:
-            keep = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), counts.value) for x, y in zip(frame.column("x"), frame.column("y"))]
+            keep = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), counts.value, rule=rule) for x, y in zip(frame.column("x"), frame.column("y"))]
             yield frame.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(texts, "cid").select("tid").distinct()
@@ -269,23 +279,25 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _near(p: str, q: str, n: str, m: str):
-    """Size and parities allow the pair: the difference of alike sets is at most (OF - NEED) / (OF + NEED) of their sizes."""
-    sizes = F.least(n, m) * OF >= F.greatest(n, m) * NEED
+def _near(p: str, q: str, n: str, m: str, rule: Rule):
+    """Size and parities allow the pair: the difference of alike sets is at most (of - need) / (of + need) of their sizes."""
+    _, need, of = rule
+    sizes = F.least(n, m) * of >= F.greatest(n, m) * need
     words = F.least(F.size(p), F.size(q))
 
     def folded(x):
         return F.when(F.size(x) == words, F.col(x)).otherwise(F.zip_with(F.slice(x, F.lit(1), words), F.slice(x, words + 1, words), lambda u, v: u.bitwiseXOR(v)))
 
     odd = F.aggregate(F.zip_with(folded(p), folded(q), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return F.when(sizes, odd * (OF + NEED) <= (F.col(n) + F.col(m)) * (OF - NEED))
+    return F.when(sizes, odd * (of + need) <= (F.col(n) + F.col(m)) * (of - need))
 
 
-def _cross_pairs(frames):
+def _cross_pairs(frames, rule: Rule):
     """Pairs of rows with one key but different roots (and different blocks, where two meet) that size and parities allow: each row's
     class with the list of its larger partners."""
     import pyarrow as pa
 
+    _, need, of = rule
     held = None
     for frame in _with_end(frames):
         if frame is not None:
@@ -309,11 +321,11 @@ def _cross_pairs(frames):
         for d in range(1, int((last - np.arange(len(cid))).max())):
             i = np.flatnonzero(np.arange(len(cid)) + d < last)
             j = i + d
-            fits = (root[i] != root[j]) & ((low[i] == high[i]) | (block[i] != block[j])) & (np.minimum(n[i], n[j]) * OF >= np.maximum(n[i], n[j]) * NEED)
+            fits = (root[i] != root[j]) & ((low[i] == high[i]) | (block[i] != block[j])) & (np.minimum(n[i], n[j]) * of >= np.maximum(n[i], n[j]) * need)
             i, j = i[fits], j[fits]
             if len(i):
                 odd = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1).astype(np.int64)
-                fits = odd * (OF + NEED) <= (n[i] + n[j]) * (OF - NEED)
+                fits = odd * (of + need) <= (n[i] + n[j]) * (of - need)
                 made[0].append(np.minimum(cid[i[fits]], cid[j[fits]]))
                 made[1].append(np.maximum(cid[i[fits]], cid[j[fits]]))
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in made)
@@ -329,24 +341,26 @@ def _with_end(frames):
     yield None
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, rule: Rule = OWN) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach) for every row."""
+    if not rule.of <= 2 * rule.need <= 2 * rule.of:
+        raise ValueError("the similarity must be from a half to one")
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text", "doc_id").alias("tid"))
-    summaries = _summaries(texts)
+    summaries = _summaries(texts, rule)
     rows = summaries.where("place is null")
     counts = spark.sparkContext.broadcast(_sketch(summaries))
     classes = stored(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("tid").alias("tid"), F.first("n").alias("n"), F.first("parities").alias("parities"), F.first("wide").alias("wide")))
-    shared = _shared(texts.select("text"), counts)
+    shared = _shared(texts.select("text"), counts, rule)
 
     def told(pairs: DataFrame) -> DataFrame:
         left = classes.select(F.col("cid").alias("a"), F.col("wide").alias("p"), "n")
         right = classes.select(F.col("cid").alias("b"), F.col("wide").alias("q"), F.col("n").alias("m"))
-        return pairs.join(left, "a").join(right, "b").where(_near("p", "q", "n", "m")).select("a", "b")
+        return pairs.join(left, "a").join(right, "b").where(_near("p", "q", "n", "m", rule)).select("a", "b")
 
     stars = shared.select(*_ordered("first", "cid")).unionByName(shared.select(*_ordered("before", "cid"))).where("a <> b").distinct()
     names = classes.select("cid", "tid")
-    links = _verified(texts, stored(told(stars)), names, counts)
+    links = _verified(texts, stored(told(stars)), names, counts, rule)
     roots = stored(components(links))
 
     # Second pass: what shares a prefix shingle over the components so far.
@@ -356,10 +370,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", "n", "root", "parities")
     dealt = dealt.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
-    lists = dealt.mapInArrow(_cross_pairs, "a bigint, partners array<bigint>")
+    lists = dealt.mapInArrow(lambda frames: _cross_pairs(frames, rule), "a bigint, partners array<bigint>")
     # The lists of a class from all its shingles hold the same partners again and again: joined before they become rows.
     rest = lists.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners")).select("a", F.explode("partners").alias("b"))
-    more = _verified(texts, stored(told(rest)), names, counts)
+    more = _verified(texts, stored(told(rest)), names, counts, rule)
     edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     final = components(edges).withColumnRenamed("node", "cid")
     grouped = classes.select("cid", "least").join(final, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -369,9 +383,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, rule: Rule = OWN) -> DataFrame:
     """docs without the documents that have a smaller doc_id in their component. Rows without an id or without words stay, and so do
     repeated rows of the kept doc_id."""
-    found = near_duplicates(docs)
+    found = near_duplicates(docs, rule)
     drop = found.where((F.col("component_id") < F.col("doc_id")) & (F.col("n_shingles") > 0)).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(stored(drop), docs["doc_id"].cast("bigint") == F.col("_id"), "left_anti")

@@ -46,6 +46,45 @@ def test_near_duplicates(steps):
     assert {r["doc_id"] for r in steps[2][2]} == want and len(steps[2][2]) == len(want)
 
 
+def brute_components(rows, k, need, of):
+    """doc_id and least linked doc_id, by comparing all pairs of sets of k-word shingles."""
+    words = [re.findall("[^\x20\x09-\x0d]+", (t or "").lower()) for _, t in rows]
+    sets = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or {tuple(w)} - {()} for w in words]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(x & sets[j])
+            if both and of * both >= need * (len(x) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)), key=lambda r: rows[r][0])
+                root[b] = a
+    return {d: rows[find(i)][0] for i, (d, _) in enumerate(rows)}
+
+
+def test_near_duplicates_by_the_rule_of_the_stage(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    rows = [(1, "four words make one"), (2, "four words make one"), (3, "four words make one more"), (4, "four words make one More")]
+    for family in range(12):  # edits that leave similarities on both sides of 0.8
+        base = [word() for _ in range(90)]
+        rows.append((100 * family + 10, " ".join(base)))
+        for k in range(12):
+            w = list(base)
+            for at in rng.choice(90, k % 4, replace=False):
+                w[at] = word()
+            rows.append((100 * family + 11 + k, " ".join(w)))
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, source string").repartition(4)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
+    stage = {d for d, c in brute_components(rows, 5, 80, 100).items() if d == c}
+    assert kept == stage
+    assert stage < {d for d, c in brute_components(rows, 4, 85, 100).items() if d == c}
+
+
 def test_secrets(steps):
     before = {r["doc_id"]: r for r in steps[2][2]}
     assert len(steps[3][2]) == len(before)
