@@ -1,9 +1,9 @@
 """License scans by conditional compression.
 
 Places where a text speaks of licensing (SIGNS) are gathered to blocks with the words around them. A block is compressed alone and
-with each license template as zstandard raw dictionary; templates are ranked by how much smaller the dictionary makes it. The best few are
-aligned with the block word by word, and the one with the fewest different words is confirmed if they are at most MOST_DIFFERENT
-of the template's words. What is left of the block on either side is scanned again.
+with each license template as zstandard raw dictionary; templates are ranked by how much smaller the dictionary makes it. In this order all that
+can be confirmed are aligned with the block word by word, at every place that shares a stretch long enough, and the one with the fewest different
+words is confirmed if they are at most MOST_DIFFERENT of the template's words; the rank decides between equals. What is left of the block on either side is scanned again.
 
 Defined results: a null or empty text has no finds; spans are in code points, end exclusive, from the first to the last word that the
 template shares; several licenses of a document come in order; repeated rows are scanned each; other columns do not matter; an
@@ -53,8 +53,7 @@ SIGNS = ("licens", "licenc", "permission", "redistribut", "copyright")
 
 #: Words before the first and behind the last sign of a block; signs nearer than their sum are one block.
 BEFORE, BEHIND = 24, 40
-#: Templates, by rank of compression, that are aligned; and the largest share of different words.
-RANKED = 4
+#: The largest share of different words.
 MOST_DIFFERENT = 0.2
 WINDOW = 2000
 
@@ -79,27 +78,35 @@ class Templates:
         """Share by which each template's dictionary makes the words smaller, largest first."""
         data = " ".join(words).encode()
         size = len(self.alone.compress(data))
-        return sorted(((1 - len(c.compress(data)) / size, name, own) for name, own, c in self.each), key=lambda x: (-x[0], x[1], x[2]))[:RANKED]
+        return sorted(((1 - len(c.compress(data)) / size, name, own) for name, own, c in self.each), key=lambda x: (-x[0], x[1], x[2]))
 
     def best(self, words: list[str]):
         """(first word, last word + 1, name, reduction, missing, added) of the confirmed template, or None."""
-        found = []
+        found, has = [], set(words)
         for reduction, name, own in self.ranked(words):
+            most = int(MOST_DIFFERENT * len(own))
+            if sum(w not in has for w in own) > most:
+                continue  # these words are missing wherever it is aligned
             matcher = SequenceMatcher(None, words, own, autojunk=False)
-            core = matcher.find_longest_match()
-            if not core.size:
-                continue
-            # The longest common stretch fixes the place; the template's other words are looked for around it.
-            low, high = max(core.a - 2 * core.b - 2, 0), core.a + core.size + 2 * (len(own) - core.b - core.size) + 2
-            same = [m for m in SequenceMatcher(None, words[low:high], own, autojunk=False).get_matching_blocks() if m.size]
-            a, b = low + same[0].a, low + same[-1].a + same[-1].size
-            kept_a = {low + k for m in same for k in range(m.a, m.a + m.size)}
-            kept_b = {k for m in same for k in range(m.b, m.b + m.size)}
-            missing = [w for k, w in enumerate(own) if k not in kept_b]
-            added = [words[k] for k in range(a, b) if k not in kept_a]
-            share = (len(missing) + len(added)) / len(own)
-            if share <= MOST_DIFFERENT:
-                found.append((share, -len(own), -reduction, name, a, b, missing, added))
+            work = [(0, len(words))]
+            while work:
+                begin, end = work.pop()
+                core = matcher.find_longest_match(begin, end, 0, len(own))
+                if core.size * (most + 1) < len(own) - most:
+                    continue  # so few different words leave a longer stretch
+                # The longest common stretch fixes the place; the template's other words are looked for around it.
+                low, high = max(core.a - 2 * core.b - 2, 0), core.a + core.size + 2 * (len(own) - core.b - core.size) + 2
+                same = [m for m in SequenceMatcher(None, words[low:high], own, autojunk=False).get_matching_blocks() if m.size]
+                a, b = low + same[0].a, low + same[-1].a + same[-1].size
+                kept_a = {low + k for m in same for k in range(m.a, m.a + m.size)}
+                kept_b = {k for m in same for k in range(m.b, m.b + m.size)}
+                missing = [w for k, w in enumerate(own) if k not in kept_b]
+                added = [words[k] for k in range(a, b) if k not in kept_a]
+                share = (len(missing) + len(added)) / len(own)
+                if share <= MOST_DIFFERENT:
+                    found.append((share, -len(own), -reduction, name, a, b, missing, added))
+                    break
+                work += [(begin, core.a), (core.a + core.size, end)]
         if not found:
             return None
         _, _, reduction, name, a, b, missing, added = min(found)

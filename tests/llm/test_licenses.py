@@ -1,5 +1,6 @@
 """License scans: planted notices, edits of them, look-alikes, and the notices of the test table."""
 
+import random
 import re
 
 import pytest
@@ -25,6 +26,26 @@ def test_every_template_in_prose(templates, name):
         assert found[0]["reduction"] > 0
 
 
+@pytest.mark.parametrize("text", [x for texts in licenses.TEMPLATES.values() for x in texts])
+def test_notice_in_varied_prose(templates, text):
+    name = next(n for n, texts in licenses.TEMPLATES.items() if text in texts)
+    prose = re.findall("[a-z]+", " ".join(sum((list(x.__doc__.split()) for x in (re, random, random.Random, dict, str, bytes, int) if x.__doc__), [])).lower())
+    prose = [w for w in prose if not any(s in w for s in licenses.SIGNS)]
+    for seed in range(20):
+        words = random.Random(seed).sample(prose, 64)
+        whole = " ".join(words[:24]) + f". {text} " + " ".join(words[24:])
+        assert [f["license"] for f in licenses.find(whole, templates)] == [name], (seed, text)
+
+
+def test_notice_beside_texts_that_differ_too_much(templates):
+    long_ = [(n, t) for n, texts in licenses.TEMPLATES.items() for t in texts if len(t.split()) > 30 and n != "MIT"]
+    gaps = [" ".join(w for k, w in enumerate(t.split()) if k % 4 != 3) for _, t in long_]
+    for i, x in enumerate(gaps):
+        for y in gaps[:i]:
+            found = [f["license"] for f in licenses.find(f"{x} Licensed under the MIT License. {y}", templates)]
+            assert found.count("MIT") == 1, (x, y, found)
+
+
 def test_edits_are_told(templates):
     text = licenses.TEMPLATES["MIT"][2].replace("free of charge", "free of any charge").replace("modify, merge, publish,", "modify, publish,")
     (found,) = licenses.find(FILL + text + FILL, templates)
