@@ -50,6 +50,14 @@ def wrap(*ways):
             text = "".join(f"&#{ord(c)};" for c in text)
         elif way == "base64":
             text = base64.b64encode(text.encode()).decode()
+        elif way in ("double", "nul", "members", "utf16", "utf16be", "binary", "lines", "crlf"):
+            data = text.encode()
+            data = {"double": lambda: gzip.compress(gzip.compress(data)), "nul": lambda: gzip.compress(b"\0\x01 " + data + b"\0\0"),
+                    "members": lambda: gzip.compress(b"nothing ") + gzip.compress(data), "utf16": lambda: text.encode("utf-16"),
+                    "utf16be": lambda: text.encode("utf-16-be"), "binary": lambda: b"\xff\xfe\0\x80 " + data + b" \xff"}.get(way, lambda: gzip.compress(data))()
+            text = base64.b64encode(data).decode()
+            if way in ("lines", "crlf"):
+                text = ("\r\n" if way == "crlf" else "\n").join(text[i : i + 40] for i in range(0, len(text), 40))
         else:
             pack = {"gzip": gzip.compress, "zlib": zlib.compress, "zstd": zstandard.compress}[way]
             text = base64.b64encode(pack(text.encode())).decode()
@@ -57,7 +65,8 @@ def wrap(*ways):
 
 
 WAYS = [("percent",), ("unicode",), ("entity",), ("base64",), ("gzip",), ("zlib",), ("zstd",), ("base64", "base64"), ("base64", "url"), ("unicode", "base64"),
-        ("percent", "base64", "unicode"), ("base64", "base64", "base64", "base64"), ("gzip", "url", "base64"), ("zstd", "zlib"), ("url", "unicode", "gzip", "percent")]
+        ("percent", "base64", "unicode"), ("base64", "base64", "base64", "base64"), ("gzip", "url", "base64"), ("zstd", "zlib"), ("url", "unicode", "gzip", "percent"), ("double",), ("nul",), ("members",), ("utf16",), ("utf16be",),
+        ("binary",), ("lines",), ("crlf",), ("double", "lines"), ("utf16", "gzip"), ("zstd", "members"), ("base64", "nul", "double")]
 
 
 @pytest.mark.parametrize("ways", WAYS)
