@@ -422,7 +422,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 def cleaned(text: str, mark: str) -> str:
     out, last = [], 0
     finds, unread = _unwrap(text)
-    for a, b in sorted([(a, b) for _, a, b, _ in finds]):
+    for a, b in sorted([(a, b) for _, a, b, _ in finds] + unread):
         if a > last or not out:
             out += [text[last:a], mark]
         last = max(last, b)
@@ -454,4 +454,4 @@ def digests(finds: DataFrame) -> DataFrame:
     plain = F.filter("finds", lambda x: x["layers"] == F.lit(""))
     told = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     counts = [F.size(F.filter(plain, _of_kind(k))).cast("bigint").alias(f"n_{k}") for k in KINDS]
-    return finds.select("doc_id", *counts, F.sha2(told(plain), 256).alias("base_sha256"), told(F.col("finds")).alias("spans"))
+    return finds.select("doc_id", *counts, F.sha2(told(plain), 256).alias("base_sha256"), told(F.col("finds")).alias("spans"), "complete")

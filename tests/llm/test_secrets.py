@@ -123,3 +123,21 @@ def test_query(spark):
         told = [f"{k}:{a}:{b}" for k, a, b in want]
         assert r["base_sha256"] == hashlib.sha256(",".join(told).encode()).hexdigest()
         assert set(told) <= set(r["spans"].split(",")) | {""}
+
+
+def test_large_blobs_are_scanned_to_their_end_and_hide_no_other(monkeypatch):
+    monkeypatch.setattr(secrets, "MOST_DECODED", 10_000)
+    pack = lambda t: base64.b64encode(zlib.compress(t.encode())).decode()
+    late = pack("é a " * 50_000 + f" {KEY} " + "a " * 50_000)
+    text = f"{late} then {pack(f'b {KEY}')}"
+    finds, complete = secrets.find(text)
+    assert not complete and [f[:3] for f in finds if f[0] == "access"] == [("access", 0, len(late)), ("access", len(late) + 6, len(text))]
+    bomb = pack("é" * 100_000)
+    assert secrets.find(f"x {bomb} y") == ([], False) and secrets.cleaned(f"x {bomb} y", "[secret]") == "x [secret] y"
+
+
+def test_complete_is_told_and_secrets_in_layers_of_bytes_go(spark):
+    rows = [(k, f"before {wrap(*ways)} after") for k, ways in enumerate(WAYS)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r["complete"] and "access" in r["spans"] for r in secrets.digests(secrets.find_secrets(docs)).collect())
+    assert all("[secret]" in r["text"] for r in secrets.redact(docs).collect())
