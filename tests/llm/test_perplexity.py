@@ -1,6 +1,7 @@
 """Base counts and the n-gram model against plain Python, odd rows, and the path without a sent model."""
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -106,3 +107,19 @@ def test_query(spark):
     assert sum(good) >= 0.99 * len(good)
     odd = spark.createDataFrame([(i, "aeiou lorem ipsum dolor " * 10 if i else "zqxj kvbw pfgh xxqz wvkj " * 8, "en") for i in range(50)], "doc_id long, text string, lang string")
     assert [r["doc_id"] for r in perplexity.scored(odd, perplexity.model(perplexity.counted(odd))).orderBy("bits").collect()][-1] == 0
+
+
+def test_lower_band_rejects_planted_text_of_each_language(spark):
+    rng = random.Random(7)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rows = [(r["text"] or "", r["lang"]) for r in docs.collect()]
+    planted, told = [], {}
+    for lang in sorted({x for _, x in rows}):
+        common = [w for w, _ in Counter(w for t, x in rows if x == lang for w in WORD.findall(t)).most_common(4)]
+        for size in (120, 400):
+            planted.append((-1 - len(planted), " ".join(rng.choice(common) for _ in range(size)), lang))
+            told[planted[-1][0]] = (lang, size)
+    got = {r["doc_id"]: r for r in perplexity.judged(docs.unionByName(spark.createDataFrame(planted, docs.schema)).repartition(4)).where("doc_id < 0").collect()}
+    assert {x for x, _ in told.values()} >= {"de", "en", "es", "fr"}
+    for d, case in told.items():
+        assert not got[d]["base_failed"] and got[d]["bits"] < got[d]["least_bits"] and not got[d]["kept"], (case, got[d])
