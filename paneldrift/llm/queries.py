@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneldrift.llm import chat, jaccard, knn, licenses, mixing, packing, perplexity, quality, secrets, simple8b
+from paneldrift.llm import chat, jaccard, knn, licenses, mixing, packing, periods, perplexity, quality, secrets, simple8b
 from paneldrift.session import shared_folder
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -72,6 +72,10 @@ def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.digests(licenses.find_licenses(table(spark, folder, "documents")))
 
 
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periods.digests(periods.find_runs(periods.with_planted_runs(table(spark, folder, "documents"))))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -134,6 +138,48 @@ WITH v AS (
   SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s
 )
 SELECT * FROM r WHERE rank <= 5""",
+    # Windows of six words that come again q words later, in unbroken rows: every run has one of six at least.
+    "op13_periodic_runs": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+), h AS (
+  SELECT *, len(words) AS n, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))) AS h FROM d
+), a AS (
+  SELECT *, (h // 10) % greatest(n, 1) AS a, h % 10 = 0 AND n > 0 AS planted FROM h
+), p AS (
+  SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a
+), t AS (
+  SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE words END AS w FROM p
+), g AS (
+  SELECT doc_id, i, hash(w[i + 1:i + 6]) AS gram FROM (SELECT doc_id, w, unnest(range(n - 5)) AS i FROM t WHERE n >= 12)
+), e AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.gram = y.gram AND x.i < y.i
+), s AS (
+  SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e
+), c AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + 5 + q AS length FROM s GROUP BY doc_id, q, island HAVING count(*) + 5 + q >= greatest(12, 2 * q)
+), r AS (
+  SELECT * FROM c WHERE NOT EXISTS (
+    SELECT 1 FROM c b WHERE b.doc_id = c.doc_id AND b.q < c.q AND b.start <= c.start AND b.start + b.length >= c.start + c.length)
+), k AS (
+  SELECT doc_id, count(*) AS n_runs, max_by({start: start, length: length, period: q}, {l: length, s: -start, p: -q}) AS top,
+    string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS told,
+    list_sort(list({a: start + q, b: start + length})) AS gone
+  FROM r GROUP BY doc_id
+), o AS (
+  SELECT doc_id, list_distinct(flatten(list_transform(gone, lambda x: range(x.a, x.b)))) AS dropped FROM k
+), l AS (
+  SELECT t.doc_id, coalesce(string_agg(word, ' ' ORDER BY i), '') AS left_words
+  FROM (SELECT t.doc_id, unnest(w) AS word, unnest(range(n)) AS i FROM t JOIN o USING (doc_id)) t
+  LEFT JOIN (SELECT doc_id, unnest(dropped) AS i, 1 AS out FROM o) u USING (doc_id, i)
+  WHERE u.out IS NULL GROUP BY t.doc_id
+)
+SELECT t.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top.start::BIGINT AS start, top.length::BIGINT AS length, top.period::BIGINT AS period,
+  (1000 * top.length // top.period)::BIGINT AS exponent_milli, sha256(coalesce(told, '')) AS runs_sha256,
+  sha256(CASE WHEN k.doc_id IS NULL THEN array_to_string(w, ' ') ELSE coalesce(left_words, '') END) AS collapsed_sha256
+FROM t LEFT JOIN k USING (doc_id) LEFT JOIN l USING (doc_id)""",
 }
 
 
