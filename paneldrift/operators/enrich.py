@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,6 +38,31 @@ def join_spread(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataF
     return join_null_safe(left.withColumn("_spread", part), every, (*keys, "_spread")).drop("_spread")
 
 
+# Rows of one key that a task takes, and keys at most that are spread. The list of these goes to all tasks.
+BLOCK, HEAVY = 1 << 17, 1000
+
+
+def join_weighted(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], n: str, place: Column | None = None, block: int = BLOCK
+) -> DataFrame:
+    """Left null-safe join with a table of one row per key that counts the rows of ``left`` with the key in ``n``.
+
+    A key with more rows than a block is spread over as many parts as it has blocks, and its row of ``right`` is repeated
+    for each; all other rows stay single. A block is ``block`` rows, or more where that would make over HEAVY heavy keys.
+    ``place`` spreads the rows of a key; by default their position does, and ``left`` must be a stored table then.
+    ``right`` should be stored too: it is read three times.
+    """
+    total = right.agg(F.coalesce(F.sum(n), F.lit(0)).cast("bigint")).scalar()
+    size = F.greatest(F.lit(block), F.ceil(total / F.lit(HEAVY)))
+    heavy = right.where(F.col(n) > size).select(*keys, F.ceil(F.col(n) / size).cast("int").alias("_parts"))
+    parts = join_null_safe(left, F.broadcast(heavy), keys).withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    where = F.monotonically_increasing_id() if place is None else place
+    dealt = parts.withColumn("_spread", F.pmod(where, F.col("_parts")).cast("int")).drop("_parts")
+    last = F.when(F.col(n) > size, F.ceil(F.col(n) / size)).otherwise(1).cast("int") - 1
+    every = right.withColumn("_spread", F.explode(F.sequence(F.lit(0), last)))
+    return join_null_safe(dealt, every, (*keys, "_spread")).drop("_spread")
+
+
 def attach_site(df: DataFrame, site: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Left join of plot attributes. The site table grows with the plots, so Spark picks the strategy."""
     wanted = site if columns is None else site.select("plot", *columns)
