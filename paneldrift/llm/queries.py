@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneldrift.llm import chat, jaccard, knn, licenses, mixing, packing, periods, perplexity, quality, secrets, simple8b
+from paneldrift.llm import chat, jaccard, knn, licenses, mixing, packing, periods, perplexity, quality, secrets, simple8b, warc, whitening
 from paneldrift.session import shared_folder
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -72,6 +72,17 @@ def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.digests(licenses.find_licenses(table(spark, folder, "documents")))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, folder, "embeddings"), components=8, scale=1024, shift=100_000)
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archive = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/warc-{uuid.uuid4().hex}"
+    files = warc.write_warc(table(spark, folder, "pages"), archive)
+    return warc.digests(warc.read_warc(files, payloads=False))
+
+
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periods.digests(periods.find_runs(periods.with_planted_runs(table(spark, folder, "documents"))))
 
@@ -138,6 +149,15 @@ WITH v AS (
   SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s
 )
 SELECT * FROM r WHERE rank <= 5""",
+    "op12_warc": """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), h AS (
+  SELECT payload_digest, payload_bytes, max(page_id) AS head FROM p WHERE payload_bytes >= 1000 GROUP BY ALL
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN page_id <> head THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> head THEN head END AS refers_to
+FROM p LEFT JOIN h USING (payload_digest, payload_bytes)""",
     # Windows of six words that come again q words later, in unbroken rows: every run has one of six at least.
     "op13_periodic_runs": r"""
 WITH d AS (
