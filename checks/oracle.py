@@ -306,6 +306,11 @@ al AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n FROM growths)"""
 TUKEY = f"""{ANALYSED},{factor_model("growths", "growth_pct")}"""
 
 
+def bits(x: str) -> str:
+    """The lowest 64 bits of a wide number."""
+    return f"CAST(({x}) % 18446744073709551616 AS UBIGINT)"
+
+
 def bootstrap() -> str:
     side = {"mono": labels.MONO, "pluri": labels.PLURI}
     by = "species, stand_type, iteration"
@@ -316,14 +321,20 @@ ok AS (
      AND COUNT(CASE WHEN stand_type = '{side["pluri"]}' THEN 1 END) >= 10),
 num AS (
   SELECT species, stand_type, growth_pct, grade,
-         row_number() OVER (PARTITION BY species, stand_type ORDER BY md5(CAST(plot AS VARCHAR))) AS rn,
+         row_number() OVER (PARTITION BY species, stand_type ORDER BY growth_pct, grade) AS rn,
          COUNT(*) OVER (PARTITION BY species, stand_type) AS gs
   FROM growths WHERE species IN (SELECT species FROM ok)),
-draw AS (
+seed AS (
   SELECT species, stand_type, CAST(iteration AS INT) AS iteration,
-         CAST('0x' || substr(md5(concat_ws('|', '{BOOT_SEED}', species, stand_type,
-              CAST(iteration AS VARCHAR), CAST(rn AS VARCHAR))), 1, 15) AS BIGINT) % gs + 1 AS pick
-  FROM num CROSS JOIN range(1, {BOOT_ITER + 1}) t(iteration)),
+         CAST(CAST('0x' || substr(md5(concat_ws('|', '{BOOT_SEED}', species, stand_type, CAST(iteration AS VARCHAR), '0')), 1, 16)
+              AS UBIGINT) AS UHUGEINT) AS s
+  FROM (SELECT DISTINCT species, stand_type FROM num) CROSS JOIN range(1, {BOOT_ITER + 1}) t(iteration)),
+h0 AS (
+  SELECT n.species, n.stand_type, iteration, gs, {bits("s + CAST(rn AS UHUGEINT) * 11400714819323198485")} AS x
+  FROM num n JOIN seed d ON d.species = n.species AND d.stand_type = n.stand_type),
+h1 AS (SELECT * REPLACE ({bits("CAST(xor(x, x >> 30) AS UHUGEINT) * 13787848793156543929")} AS x) FROM h0),
+h2 AS (SELECT * REPLACE ({bits("CAST(xor(x, x >> 27) AS UHUGEINT) * 10723151780598845931")} AS x) FROM h1),
+draw AS (SELECT species, stand_type, iteration, CAST(xor(x, x >> 31) % CAST(gs AS UBIGINT) AS BIGINT) + 1 AS pick FROM h2),
 got AS (
   SELECT d.species, d.stand_type, d.iteration, n.growth_pct, n.grade
   FROM draw d JOIN num n ON n.species = d.species AND n.stand_type = d.stand_type AND n.rn = d.pick),

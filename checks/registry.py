@@ -463,7 +463,6 @@ def _replicates(spark, sf):
         "growth_pct",
         "grade",
         GRADES,
-        ("plot",),
         n_iter=BOOT_ITER,
         seed=BOOT_SEED,
     )

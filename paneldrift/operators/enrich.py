@@ -24,20 +24,6 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(other, reduce(lambda a, b: a & b, tests), how).drop(*[f"_right_{k}" for k in keys])
 
 
-# Parts that the rows of one key are spread over where a key may hold most rows.
-SPREAD = 16
-
-
-def join_spread(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left null-safe join with a table that has one row per key, for keys that hold very many rows of ``left``.
-
-    Rows of one key go to SPREAD tasks, by a hash of the whole row, and each row of ``right`` goes to all of these.
-    """
-    part = F.pmod(F.xxhash64(*left.columns), F.lit(SPREAD)).cast("int")
-    every = right.withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    return join_null_safe(left.withColumn("_spread", part), every, (*keys, "_spread")).drop("_spread")
-
-
 # Rows of one key that a task takes, and keys at most that are spread. The list of these goes to all tasks.
 BLOCK, HEAVY = 1 << 17, 1000
 

@@ -24,7 +24,7 @@ from ..functions.distributions import (
     student_p,
 )
 from ..session import stored
-from .enrich import join_spread
+from .enrich import join_weighted
 from .ordering import mid_rank, sample_rows, value_positions
 from .rank_tests import _pairs
 
@@ -346,5 +346,5 @@ def with_theoretical_quantile(rows: DataFrame, value: str) -> DataFrame:
     n = F.col("total_n")
     a = F.when(n <= 10, 0.375).otherwise(0.5)
     position = (mid_rank() - a) / (n + 1 - 2 * a)
-    placed = value_positions(rows, value).select(value, normal_quantile(position).alias("theoretical"))
-    return join_spread(rows, placed, (value,))
+    placed = value_positions(rows, value).select(value, normal_quantile(position).alias("theoretical"), F.col("n").alias("_copies"))
+    return join_weighted(rows, stored(placed), (value,), "_copies", F.xxhash64(*rows.columns)).drop("_copies")

@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import safe_div
 from ..session import stored
-from .enrich import join_null_safe, join_spread
-from .ordering import quantiles_of, value_positions, with_positions
+from .enrich import join_null_safe, join_weighted
+from .ordering import quantiles_of, selected_positions, with_positions
 
 
 def levels_of(df: DataFrame, name: str) -> list:
@@ -25,9 +26,11 @@ def distinct_values(df: DataFrame, *names: str) -> DataFrame:
 
 def level_codes(df: DataFrame, name: str) -> DataFrame:
     """Each level of a categorical column with its position in the level order."""
-    levels = df.select(name).where(F.col(name).isNotNull()).distinct().withColumn("_one", F.lit(1).cast("bigint"))
-    codes = with_positions(levels, name, (), ["_one"]).select(name, (F.col("below__one") + 1).cast("int").alias(f"{name}_code"))
-    return join_spread(df, codes, (name,))
+    kept = stored(df)
+    levels = kept.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("_copies"))
+    numbered = with_positions(levels.withColumn("_one", F.lit(1).cast("bigint")), name, (), ["_one"])
+    codes = stored(numbered.select(name, (F.col("below__one") + 1).cast("int").alias(f"{name}_code"), "_copies"))
+    return join_weighted(kept, codes, (name,), "_copies").drop("_copies")
 
 
 def complete_rows(df: DataFrame) -> DataFrame:
@@ -71,23 +74,33 @@ def grade_means(df: DataFrame, value: str, grade: str, grades: Sequence, by: Seq
 
 
 def numeric_profile(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Minimum, quartiles, mean, maximum and number of missing values."""
-    # Folded and stored once; missing values and positions both come from it.
-    folded = stored(df.groupBy(*by, value).agg(F.count("*").alias("n")))
-    absent = F.sum(F.when(F.col(value).isNull(), F.col("n")))
-    missing = folded.groupBy(*by).agg(F.coalesce(absent, F.lit(0)).alias("n_missing"))
-    positions = with_positions(folded.where(F.col(value).isNotNull()), value, by, ["n"])
-    mean = safe_div(F.sum(F.col(value) * F.col("n")), F.sum("n")).alias("mean")
-    spread = quantiles_of(
-        positions,
-        value,
-        by,
-        {"q1": 0.25, "median": 0.5, "q3": 0.75},
-        [F.min(value).alias("min"), F.max(value).alias("max"), mean],
+    """Minimum, quartiles, mean, maximum, number of known and of missing values of each group.
+
+    One pass counts and bounds the groups, and bounds them for the selection of the quartiles; see ``selected_positions``.
+    """
+    kept = stored(df.select(*by, value))
+    groups = stored(
+        kept.groupBy(*by).agg(
+            F.count(value).alias("n"),
+            F.count_if(F.col(value).isNull()).alias("n_missing"),
+            F.min(value).alias("min"),
+            F.avg(value).alias("mean"),
+            F.max(value).alias("max"),
+        )
     )
-    if by:
-        return join_null_safe(missing, spread, by)
-    return spread.withColumn("n_missing", missing.scalar())
+    known = kept.where(F.col(value).isNotNull())
+    quartiles = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    found = quantiles_of(selected_positions(known, value, by, quartiles, groups), value, by, quartiles).drop("n")
+    columns = [*by, "n", "n_missing", "min", "q1", "median", "mean", "q3", "max"]
+    return join_null_safe(groups, found, by).select(*columns)
+
+
+def table_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """The same of all numeric columns (or those named) at once, one row per column: rows are read as (column, value)."""
+    numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+    named = list(columns or numeric)
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in named]).unpivot([], named, "column", "value")
+    return numeric_profile(long, "value", ("column",))
 
 
 def box_stats(df: DataFrame, value: str, by: Sequence[str], limits: tuple[float, float] | None = None):
@@ -98,11 +111,12 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str], limits: tuple[float,
     """
     if limits is not None:
         df = df.where(F.col(value).between(*limits))
-    positions = value_positions(df, value, by)
+    kept = stored(df.where(F.col(value).isNotNull()).select(*by, value))
+    quartiles = {"q1": 0.25, "median": 0.5, "q3": 0.75}
     # One row per category. Stored, its size is known when the join is planned: Spark sends it to the
     # values if it is small, instead of first shuffling the values by a few large categories.
     box = stored(
-        quantiles_of(positions, value, by, {"q1": 0.25, "median": 0.5, "q3": 0.75}).withColumns(
+        quantiles_of(selected_positions(kept, value, by, quartiles), value, by, quartiles).withColumns(
             {
                 "_low": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
                 "_high": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")),
@@ -110,12 +124,12 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str], limits: tuple[float,
         )
     )
     by = list(by)
-    placed = join_null_safe(positions.select(*by, value, F.col("n").alias("_copies")), box, by, "inner")
+    placed = join_null_safe(kept, box, by, "inner")
     inside = F.col(value).between(F.col("_low"), F.col("_high"))
     stats = placed.groupBy(*by, "n", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col(value))).alias("whisker_low"),
         F.max(F.when(inside, F.col(value))).alias("whisker_high"),
-        F.coalesce(F.sum(F.when(~inside, F.col("_copies"))), F.lit(0)).alias("n_outliers"),
+        F.count_if(~inside).alias("n_outliers"),
     )
-    outliers = placed.where(~inside).select(*by, value, F.col("_copies").alias("n"))
+    outliers = placed.where(~inside).groupBy(*by, value).agg(F.count("*").alias("n"))
     return stats, outliers

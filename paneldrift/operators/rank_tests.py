@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import labels
 from ..functions.columns import safe_div
 from ..functions.distributions import chi2_p, normal_p, student_p
+from ..session import stored
 from .ordering import value_positions
 
 
@@ -31,12 +32,11 @@ def level_positions(
     level: str,
     levels: Sequence,
     by: Sequence[str] = (),
-    part: str | None = None,
 ) -> DataFrame:
     """Distinct values with ``n0, n1, ...`` rows per level, the same below and in total."""
-    known = df.where(F.col(level).isin(list(levels)))
+    known = stored(df.where(F.col(level).isin(list(levels)) & F.col(value).isNotNull()).select(*by, value, level))
     counts = {f"n{i}": F.count_if(F.col(level) == v) for i, v in enumerate(levels)}
-    placed = value_positions(known, value, by, counts, part)
+    placed = value_positions(known, value, by, counts)
     k = range(len(levels))
     return placed.withColumns(
         {
@@ -53,10 +53,9 @@ def spearman(
     level: str,
     levels: Sequence,
     by: Sequence[str] = (),
-    part: str | None = None,
 ) -> DataFrame:
     """Rank correlation per group, null where either side is constant, and the mean value per level."""
-    placed = level_positions(df, value, level, levels, by, part)
+    placed = level_positions(df, value, level, levels, by)
     k = range(len(levels))
     centre = (F.col("total") + 1) / 2
     dx = F.col("rank") - centre

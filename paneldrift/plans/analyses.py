@@ -76,13 +76,12 @@ def mixture_effect(
     analysed: DataFrame,
     group: str = "species",
     grades: Sequence = (1, 2, 3),
-    key: Sequence[str] = ("plot",),
     n_iter: int = 5000,
     seed: int = 0,
 ) -> DataFrame:
     """Interval of the difference of correlation between single-species and mixed plots, per species."""
     replicates = bootstrap.bootstrap_diff(
-        analysed, group, "stand_type", "growth_pct", "grade", grades, key, n_iter=n_iter, seed=seed
+        analysed, group, "stand_type", "growth_pct", "grade", grades, n_iter=n_iter, seed=seed
     )
     return bootstrap.bootstrap_summary(replicates, group)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from paneldrift.functions import columns, labels
 from paneldrift.operators import change, charts, enrich, spatial
 from paneldrift.plans import analyses
+from paneldrift.session import stored
 from paneldrift.sources import schema, tables
 
 
@@ -174,20 +175,56 @@ def test_delimited_files_with_other_headers_and_bad_numbers(spark, tmp_path):
         tables.read_delimited(spark, str(folder), schema.PANEL_P, schema.NAMES_P).collect()
 
 
-def test_hot_key_is_spread(spark):
-    """Half of the rows share one value: no task gets much more than its part of them."""
+@pytest.fixture
+def shuffled_joins(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        left = spark.range(8000).select("id", F.when(F.col("id") % 2 == 0, -100.0).otherwise(F.col("id").cast("double")).alias("v"))
-        right = left.groupBy("v").agg(F.count("*").alias("n"))
-        joined = enrich.join_spread(left, right, ("v",))
-        assert joined.where("v = -100").agg(F.min("n"), F.count("*")).first() == (4000, 4000)
-        parts = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
-        assert max(parts) < 3 * 8000 / 8
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    yield spark
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def _joined_parts(spark, value, **options):
+    """Rows per task after the join, rows of the key table that were moved, and the joined rows."""
+    left = stored(spark.range(8000).select("id", value.alias("v")))
+    right = stored(left.groupBy("v").agg(F.count("*").alias("n")))
+    joined = enrich.join_weighted(left, right, ("v",), "n", **options)
+    parts = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    last = F.when(F.col("n") > options["block"], F.ceil(F.col("n") / options["block"])).otherwise(1)
+    return parts, right.agg(F.sum(last)).first()[0], joined
+
+
+def test_heavy_key_is_spread_by_its_weight(shuffled_joins):
+    """Half of the rows share one value: it goes to as many tasks as it has blocks, all other values stay single."""
+    half = F.when(F.col("id") % 2 == 0, -100.0).otherwise(F.col("id").cast("double"))
+    parts, moved, joined = _joined_parts(shuffled_joins, half, block=100)
+    assert joined.where("v = -100").agg(F.min("n"), F.count("*")).first() == (4000, 4000) and joined.count() == 8000
+    assert max(parts) < 3 * 8000 / 8 and moved == 4000 + 40
+
+
+def test_distinct_keys_are_not_multiplied(shuffled_joins):
+    parts, moved, joined = _joined_parts(shuffled_joins, F.col("id"), block=100)
+    assert moved == joined.count() == joined.where("n = 1").count() == 8000 and max(parts) < 3 * 8000 / 8
+
+
+def test_missing_keys_and_keys_without_a_row(shuffled_joins):
+    value = F.when(F.col("id") % 4 == 0, None).otherwise(F.col("id") % 3)
+    left = stored(shuffled_joins.range(800).select("id", value.alias("v")))
+    right = stored(left.where("v IS NULL OR v > 0").groupBy("v").agg(F.count("*").alias("n")))
+    joined = enrich.join_weighted(left, right, ("v",), "n", F.xxhash64("id"), block=10)
+    assert joined.where("v IS NULL").agg(F.min("n"), F.count("*")).first() == (200, 200)
+    assert joined.where("v = 0 AND n IS NULL").count() == left.where("v = 0").count() and joined.count() == 800
+    empty = enrich.join_weighted(left, right.limit(0), ("v",), "n", F.xxhash64("id"))
+    assert empty.where("n IS NULL").count() == 800
+
+
+def test_heavy_keys_are_few(shuffled_joins, monkeypatch):
+    """With more heavy keys than the list may hold, blocks grow."""
+    monkeypatch.setattr(enrich, "HEAVY", 4)
+    left = stored(shuffled_joins.range(900).select("id", (F.col("id") % 9).alias("v")))
+    right = stored(left.groupBy("v").agg(F.count("*").alias("n")))
+    joined = enrich.join_weighted(left, right, ("v",), "n", block=10)
+    assert joined.count() == 900 and joined.where("n <> 100").isEmpty()
 
 
 def test_site_source(spark, tmp_path):

@@ -50,15 +50,36 @@ def test_rank_sum_identity(spread, skewed):
     assert r.s == r.n * (r.n + 1) / 2
 
 
-def test_inherited_ranges_give_the_same_positions(spread, skewed):
-    df = _spark(spread, skewed, "id int, g string, x double").where("g is not null and x is not null")
-    one = ordering.value_positions(df, "x", ("g",)).toPandas()
-    ranged = df.withColumn("part", F.floor(F.col("x") / 2).cast("int")).repartition("g", "part")
-    two = ordering.value_positions(ranged, "x", ("g",), part="part").drop("part").toPandas()
-    key = ["g", "x"]
-    pd.testing.assert_frame_equal(
-        one.sort_values(key).reset_index(drop=True)[list(two.columns)], two.sort_values(key).reset_index(drop=True)
-    )
+@pytest.mark.parametrize("bucket,buckets,chunk", [(100, 1000, 32), (7, 1000, 4), (1, 40, 5)])
+@pytest.mark.parametrize("by", [(), ("g",)])
+def test_buckets_give_the_same_positions(spread, skewed, monkeypatch, bucket, buckets, chunk, by):
+    monkeypatch.setattr(ordering, "BUCKET", bucket)
+    monkeypatch.setattr(ordering, "BUCKETS", buckets)
+    monkeypatch.setattr(ordering, "CHUNK", chunk)
+    df = _spark(spread, skewed, "id int, g string, x double")
+    got = ordering.value_positions(df, "x", by, {"n": F.count("*"), "odd": F.count_if(F.col("id") % 2 == 1)}).toPandas()
+    known = skewed.dropna(subset="x")
+    assert len(got) == len(known.drop_duplicates([*by, "x"]))
+    for g, part in known.groupby("g", dropna=False) if by else [(None, known)]:
+        mine = (got[got["g"].isna()] if pd.isna(g) else got[got["g"] == g]) if by else got
+        mine, x, odd = mine.set_index("x").sort_index(), part["x"], part["id"] % 2
+        want = part.groupby("x")["id"].count()
+        assert list(mine["n"]) == list(want) and set(mine["total_n"]) == {len(part)} and set(mine["total_odd"]) == {odd.sum()}
+        assert list(mine["below_n"]) == [int((x < v).sum()) for v in mine.index]
+        assert list(mine["below_odd"]) == [int(odd[x < v].sum()) for v in mine.index]
+
+
+def test_rows_move_once_to_be_placed(spread, skewed, monkeypatch):
+    """One exchange of rows, dealt by group and bucket; a value that holds a third of all rows does not move."""
+    monkeypatch.setattr(ordering, "BUCKET", 50)
+    df = _spark(spread, skewed, "id int, g string, x double")
+    plan = ordering.value_positions(df, "x", ("g",))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan and "REPARTITION_BY_COL" in plan
+    known, several = ordering._with_bucket(df.where("x is not null"), "x", ("g",))
+    assert several
+    sizes = known.groupBy("g", "_bucket").agg(F.count("*").alias("n"), F.count_distinct("x").alias("values")).toPandas()
+    assert (sizes.loc[sizes["_bucket"] % 2 == 1, "values"] == 1).all()
+    assert sizes.loc[sizes["_bucket"] % 2 == 0, "n"].max() < 150 < sizes.loc[sizes["_bucket"] % 2 == 1, "n"].max()
 
 
 def test_numbering_is_a_bijection(spread, skewed):
@@ -78,6 +99,29 @@ def test_quantiles_match_numpy(spread, skewed):
         np.testing.assert_allclose([row["a"], row["b"], row["c"]], want, atol=1e-12)
 
 
+@pytest.mark.parametrize("bins,bucket", [(4, 10), (4096, 5)])
+@pytest.mark.parametrize("odd", [[], [1e300, -1e300, 1.7e308, -1.7976931348623157e308], [float("inf"), float("-inf"), 1e-300, 2e-300]])
+def test_quantiles_by_repeated_division(spread, skewed, monkeypatch, bins, bucket, odd):
+    monkeypatch.setattr(ordering, "BINS", bins)
+    monkeypatch.setattr(ordering, "BUCKET", bucket)
+    rows = [(None if pd.isna(g) else g, float(x)) for g, x in zip(skewed["g"], skewed["x"]) if not pd.isna(x)][:200]
+    rows += [("odd", x) for x in odd] + [("one", 5.0), ("none", None)]
+    df = spread.createDataFrame(rows, "g string, x double")
+    probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.75, "e": 1.0}
+    kept = df.where("x is not null")
+    got = ordering.quantiles_of(ordering.selected_positions(kept, "x", ("g",), probs), "x", ("g",), probs)
+    want = ordering.quantiles_of(ordering.value_positions(kept, "x", ("g",)), "x", ("g",), probs)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(got.columns).collect()))
+
+
+def test_quantiles_move_few_rows(spread, skewed):
+    """Rows are counted in bins where they lie; only those of the wanted bins are folded, and nothing is sorted as a whole."""
+    df = _spark(spread, skewed, "id int, g string, x double").where("x is not null")
+    found = ordering.selected_positions(df, "x", ("g",), {"m": 0.5})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and found.count() < 30
+
+
 def test_quantile_golden(spark):
     df = spark.createDataFrame([(float(v),) for v in (1, 2, 4, 9, 11)], "x double")
     r = ordering.exact_quantiles(df, "x", {"lo": 0.025, "hi": 0.975}).first()
@@ -129,6 +173,24 @@ def test_profile_and_box(spread, skewed):
     assert clipped.agg(F.sum("n")).first()[0] == ((x >= -3) & (x <= 3)).sum()
 
 
+def test_table_profile(spread, skewed):
+    df = _spark(spread, skewed, "id int, g string, x double")
+    got = as_dicts(profile.table_profile(df), "column")
+    assert set(got) == {"id", "x"}
+    for name, row in got.items():
+        known = skewed[name].dropna()
+        assert (row["n"], row["n_missing"]) == (len(known), len(skewed) - len(known))
+        np.testing.assert_allclose([row[c] for c in ("min", "q1", "median", "mean", "q3", "max")],
+                                   [known.min(), *known.quantile([.25, .5]), known.mean(), known.quantile(.75), known.max()])
+
+
+def test_profile_of_columns_without_values(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, None)], "a double, b double")
+    got = as_dicts(profile.table_profile(df), "column")
+    assert (got["b"]["n"], got["b"]["n_missing"], got["b"]["median"]) == (0, 2, None) and got["a"]["median"] == 1.5
+    assert profile.table_profile(df.limit(0)).collect() == []
+
+
 def test_contingency_and_shares(spark):
     rows = [(1, "exp"), (1, "exp"), (1, "declin"), (2, "disp"), (None, "exp"), (2, None)]
     df = spark.createDataFrame(rows, "g int, e string")

@@ -251,25 +251,29 @@ def test_jarque_bera(df, data):
     assert r.jb == pytest.approx(len(y) / 6 * (s * s + k * k / 4))
 
 
-def _boot(data, n_iter, seed, least):
+def _boot(data, n_iter, seed, least, steps):
     """The same draws, one resample at a time."""
     rows = []
     for species, part in data.groupby("g"):
-        sides = {}
-        for side in (labels.MONO, labels.PLURI):
-            p = part[part.side == side].copy()
-            p["h"] = [hashlib.md5(str(i).encode()).hexdigest() for i in p["id"]]
-            sides[side] = p.sort_values("h").reset_index(drop=True)
+        sides = {s: part[part.side == s].sort_values(["y", "grade"]).reset_index(drop=True) for s in (labels.MONO, labels.PLURI)}
         if min(map(len, sides.values())) < least:
             continue
         for it in range(1, n_iter + 1):
             rho = []
             for side, p in sides.items():
-                n = len(p)
-                picks = [
-                    int(hashlib.md5(f"{seed}|{species}|{side}|{it}|{d}".encode()).hexdigest()[:15], 16) % n
-                    for d in range(1, n + 1)
-                ]
+                key, picks, start = f"{seed}|{species}|{side}", [], 0
+                block = (np.searchsorted(p["y"], p["y"], "left") // steps).astype(int)
+                sizes = [int((block == b).sum()) for b in np.unique(block)]
+                dealt = bootstrap.dealt(key, sizes, range(it, it + 1))[0]
+                assert dealt.sum() == len(p)
+                for b, size, draws in zip(np.unique(block), sizes, dealt):
+                    state = int(hashlib.md5(f"{key}|{it}|{b}".encode()).hexdigest()[:16], 16)
+                    for _ in range(draws):  # splitmix64, one number after another
+                        state = (state + 0x9E3779B97F4A7C15) % 2**64
+                        x = (state ^ (state >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+                        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+                        picks.append(start + (x ^ (x >> 31)) % size)
+                    start += size
                 got = p.iloc[picks]
                 constant = got["y"].nunique() < 2 or got["grade"].nunique() < 2
                 rho.append(np.nan if constant else np.corrcoef(got["y"].rank(), got["grade"].rank())[0, 1])
@@ -277,7 +281,11 @@ def _boot(data, n_iter, seed, least):
     return pd.DataFrame(rows, columns=["g", "iteration", "diff"])
 
 
-def test_bootstrap_matches_brute_force(spread):
+@pytest.mark.parametrize("steps,piece", [(1 << 16, 1 << 21), (16, 50), (1, 7)])
+def test_bootstrap_matches_brute_force(spread, monkeypatch, steps, piece):
+    monkeypatch.setattr(bootstrap, "STEPS", steps)
+    monkeypatch.setattr(bootstrap, "PIECE", piece)
+    monkeypatch.setattr(bootstrap, "ITERATIONS", 4)
     rng = np.random.default_rng(2)
     data = pd.DataFrame(
         {
@@ -290,9 +298,9 @@ def test_bootstrap_matches_brute_force(spread):
     )
     rows = [tuple(v.item() if hasattr(v, "item") else v for v in r) for r in data.itertuples(index=False)]
     df = spread.createDataFrame(rows, "id int, g string, side string, y double, grade int")
-    got = bootstrap.bootstrap_diff(df, "g", "side", "y", "grade", GRADES, ["id"], n_iter=6, least=10, seed=3)
+    got = bootstrap.bootstrap_diff(df, "g", "side", "y", "grade", GRADES, n_iter=6, least=10, seed=3)
     mine = got.toPandas().sort_values(["g", "iteration"]).reset_index(drop=True)
-    want = _boot(data, 6, 3, 10)
+    want = _boot(data, 6, 3, 10, steps)
     assert "rare" not in set(mine["g"]) and len(mine) == len(want) == 12
     np.testing.assert_allclose(mine["diff"].to_numpy(dtype=float), want["diff"].to_numpy(dtype=float), atol=1e-12)
     ci = as_dicts(bootstrap.bootstrap_summary(got, "g"), "g")
