@@ -37,6 +37,31 @@ def test_cached_encoding_is_whole_encoding(spark, name, spaced):
         assert enc.encode(texts) == [u4(x) for x in whole(path, texts)]
 
 
+@pytest.mark.parametrize("name,spaced", CASES)
+def test_small_store_turns_over(spark, name, spaced):
+    """Both generations are dropped many times over, and frequent words still come from the store."""
+    path = public_tokenizers.path(name)
+    texts = [r[0] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    enc = tokens.Encoder(path, spaced, store=200_000)
+    asked = []
+    plain = enc._encode
+    enc._encode = lambda pieces: asked.append(len(pieces)) or plain(pieces)
+    for i in range(0, len(texts), 10):
+        assert enc.encode(texts[i : i + 10]) == [u4(x) for x in whole(path, texts[i : i + 10])]
+        assert enc.young.size() + enc.old.size() < 1_000_000
+    assert enc.old.keys.size and sum(asked) < 0.7 * sum(len(t.split()) for t in texts)
+
+
+def test_a_piece_with_the_hash_of_another_is_not_taken_for_it():
+    store, key = tokens.Store(), np.array([5], np.uint64)
+    data = np.frombuffer(b"abcabd", np.uint8)
+    at = lambda x: (data, np.array([x]), np.array([x + 3]))
+    store.add(key, *at(0), np.array([1, 2], np.uint32), np.array([2]))
+    assert store.find(key, *at(0)).tolist() == [0] and store.find(key, *at(3)).tolist() == [-1]
+    store.add(key, *at(3), np.array([7], np.uint32), np.array([1]))
+    assert store.find(key, *at(0)).tolist() == [0] and [x.tolist() for x in store.get(np.array([0]))] == [[1, 2], [2]]
+
+
 @pytest.mark.parametrize("name,spaced", CASES)
 @settings(max_examples=150, deadline=None)
 @given(text=st.text(alphabet="aB'st re\n\t .,é²1_日\x1c ", max_size=30))
