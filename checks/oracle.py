@@ -8,9 +8,6 @@ from __future__ import annotations
 
 from types import SimpleNamespace
 
-from paneldrift.functions import distributions as dist
-from paneldrift.operators import linear
-
 # --- Fixed values: labels and colours that results must carry, written out again so that a slip in the library shows ---
 
 labels = SimpleNamespace(
@@ -37,6 +34,24 @@ labels = SimpleNamespace(
     },
 )
 
+# Coefficients of the published rational approximation AS 241 (double precision): centre and middle part.
+CENTRE_TOP = (
+    3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4,
+    4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3,
+)
+CENTRE_BOTTOM = (
+    1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3,
+    2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3,
+)
+MIDDLE_TOP = (
+    1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0,
+    1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4,
+)
+MIDDLE_BOTTOM = (
+    1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1,
+    1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9,
+)
+
 # --- End of fixed values ---
 
 BRANDS = [f"Brand#{i}" for i in range(1, 26)]
@@ -202,6 +217,13 @@ def normal_p(z: str) -> str:
     return f"CASE WHEN {z} IS NOT NULL THEN greatest(0.0, 1 - 2 / sqrt(2 * pi()) * {simpson(density, f'abs({z})')}) END"
 
 
+def below_normal(x: str) -> str:
+    """Normal distribution function by the density times a series of positive terms x^(2n+1) / (1 * 3 * ... * (2n+1))."""
+    term = "exp((2 * n + 1) * ln(abs({x})) - lgamma(2 * n + 2) + lgamma(n + 1) + n * ln(2.0))".replace("{x}", x)
+    series = f"exp(-{x} * {x} / 2.0) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 120), lambda n: {term}))"
+    return f"CASE WHEN {x} = 0 THEN 0.5 WHEN {x} > 9 THEN 1.0 WHEN {x} < -9 THEN 0.0 ELSE 0.5 + sign({x}) * {series} END"
+
+
 def horner(x: str, coefficients) -> str:
     value = repr(coefficients[-1])
     for c in reversed(coefficients[:-1]):
@@ -213,8 +235,8 @@ def normal_quantile(p: str) -> str:
     q = f"({p} - 0.5)"
     near = f"(0.180625 - {q} * {q})"
     root = f"sqrt(-ln(least({p}, 1 - {p})))"
-    centre = f"{q} * {horner(near, dist.CENTRE_TOP)} / {horner(near, dist.CENTRE_BOTTOM)}"
-    middle = f"{horner(f'({root} - 1.6)', dist.MIDDLE_TOP)} / {horner(f'({root} - 1.6)', dist.MIDDLE_BOTTOM)}"
+    centre = f"{q} * {horner(near, CENTRE_TOP)} / {horner(near, CENTRE_BOTTOM)}"
+    middle = f"{horner(f'({root} - 1.6)', MIDDLE_TOP)} / {horner(f'({root} - 1.6)', MIDDLE_BOTTOM)}"
     return f"CASE WHEN abs({q}) <= 0.425 THEN {centre} ELSE sign({q}) * {middle} END"
 
 
@@ -351,10 +373,18 @@ boot AS (
 RING = [(-4.5, 48.5), (2.5, 51.0), (8.0, 49.0), (7.0, 43.5), (3.0, 42.5), (-1.5, 43.3)]
 
 
-def inside_ring(lon: str = "lon", lat: str = "lat") -> str:
-    """Even-odd rule, one edge after another."""
+REGIONS = {
+    "area": [RING],
+    "north": [[(-6.0, 46.2), (9.5, 46.2), (9.5, 52.0), (-6.0, 52.0)]],
+    "ringed": [[(-2.0, 43.0), (6.0, 44.0), (5.0, 50.0), (-3.0, 49.0)], [(0.0, 45.0), (3.0, 45.0), (3.0, 47.5), (0.0, 47.5)]],
+    "islands": [[(-5.0, 41.0), (-4.0, 41.0), (-4.5, 42.0)], [(7.0, 41.0), (9.4, 41.2), (8.0, 43.1)]],
+}
+
+
+def inside_ring(lon: str = "lon", lat: str = "lat", rings=(RING,)) -> str:
+    """Even-odd rule, one edge after another; level edges are never crossed."""
     tests = []
-    for (x1, y1), (x2, y2) in zip(RING, RING[1:] + RING[:1]):
+    for (x1, y1), (x2, y2) in (e for ring in rings for e in zip(ring, ring[1:] + ring[:1]) if e[0][1] != e[1][1]):
         tests.append(
             f"CASE WHEN ({y1} > {lat}) <> ({y2} > {lat}) AND {lon} < {x1} + ({lat} - {y1}) * ({x2 - x1}) / ({y2 - y1}) "
             "THEN 1 ELSE 0 END"
@@ -592,6 +622,31 @@ e AS (SELECT DISTINCT df_resid AS df, ssw / df_resid AS msw FROM coef)
 SELECT a.grade AS level_a, b.grade AS level_b, {r('b.m - a.m', 'diff')},
        {r('abs(b.m - a.m) / sqrt(msw / 2 * (1.0 / a.n + 1.0 / b.n))', 'q')}, df
 FROM lev a JOIN lev b ON a.grade < b.grade CROSS JOIN e"""
+    # Studentized range of three means by two nested sums of smooth, fast falling functions on even grids; its quantile by bisection.
+    inner = f"3 * wz * pow(uz - {below_normal('(z - {q} * s)')}, 2)"
+    q["tukey_intervals"] = f"""WITH RECURSIVE {TUKEY},
+e AS (SELECT DISTINCT df_resid AS df, ssw / df_resid AS msw FROM coef),
+pr AS (
+  SELECT a.grade AS level_a, b.grade AS level_b, b.m - a.m AS diff, sqrt(msw / 2 * (1.0 / a.n + 1.0 / b.n)) AS scale, df
+  FROM lev a JOIN lev b ON a.grade < b.grade CROSS JOIN e),
+gs0 AS (SELECT df, 1 + i / 3.0 / sqrt(2.0 * df) AS s FROM e CROSS JOIN range(-27, 28) t(i)),
+gs AS (SELECT s, exp((df - 1) * ln(s) - df * (s * s - 1) / 2.0) AS ws FROM gs0 WHERE s > 0),
+gz AS (SELECT z, 0.2 * exp(-z * z / 2.0) / sqrt(2 * pi()) AS wz, {below_normal('z')} AS uz
+       FROM (SELECT i / 5.0 AS z FROM range(-45, 46) t(i)) g),
+grid AS (SELECT s, z, wz, uz, ws / (SELECT SUM(ws) FROM gs) AS ws FROM gs CROSS JOIN gz),
+bis AS (
+  SELECT 0 AS i, CAST(0 AS DOUBLE) AS lo, CAST(64 AS DOUBLE) AS hi
+  UNION ALL
+  SELECT i + 1, CASE WHEN inside < 0.95 THEN mid ELSE lo END, CASE WHEN inside < 0.95 THEN hi ELSE mid END
+  FROM (SELECT i, lo, hi, mid, SUM(ws * {inner.format(q='mid')}) AS inside
+        FROM (SELECT *, (lo + hi) / 2 AS mid FROM bis WHERE i < 54) b CROSS JOIN grid GROUP BY i, lo, hi, mid) t),
+point AS (SELECT (lo + hi) / 2 AS half FROM bis WHERE i = 54),
+tested AS (
+  SELECT level_a, level_b, greatest(0.0, 1 - SUM(ws * {inner.format(q='(abs(diff) / scale)')})) AS p_adjusted
+  FROM pr CROSS JOIN grid GROUP BY level_a, level_b)
+SELECT pr.level_a, pr.level_b, {r('diff')}, {r('abs(diff) / scale', 'q')}, df, {r('p_adjusted')},
+       {r('diff - half * scale', 'ci_lower')}, {r('diff + half * scale', 'ci_upper')}
+FROM pr JOIN tested t ON t.level_a = pr.level_a AND t.level_b = pr.level_b CROSS JOIN point"""
     q["kruskal"] = f"""WITH {RANKED},
 h AS (SELECT CAST(al.n AS BIGINT) AS n,
              (12 / (al.n * (al.n + 1)) * (SELECT SUM(rs * rs / n) FROM lev) - 3 * (al.n + 1))
@@ -627,19 +682,6 @@ m AS (SELECT COUNT(*) AS n, AVG(d * d) AS m2, AVG(d * d * d) AS m3, AVG(d * d *
 k AS (SELECT n, m3 / pow(m2, 1.5) AS skewness, m4 / (m2 * m2) - 3 AS excess_kurtosis FROM m),
 j AS (SELECT *, n / 6.0 * (skewness * skewness + excess_kurtosis * excess_kurtosis / 4) AS jb FROM k)
 SELECT n, {rr('skewness', 'excess_kurtosis', 'jb')}, {r('exp(-jb / 2)', 'p_value')} FROM j"""
-    order = "md5(concat_ws('|', '2', CAST(plot AS VARCHAR), species)), plot, species"
-    q["shapiro_sample"] = f"""WITH {PANEL},{IND},
-sm AS (SELECT share_shift AS x FROM ind WHERE share_shift IS NOT NULL ORDER BY {order} LIMIT 4999),
-o AS (SELECT x, row_number() OVER (ORDER BY x) AS i, CAST(COUNT(*) OVER () AS DOUBLE) AS n FROM sm),
-m AS (SELECT *, {normal_quantile("((i - 0.375) / (n + 0.25))")} AS m FROM o),
-k AS (SELECT SUM(m * m) AS mm, MAX(m) AS mn, MAX(CASE WHEN i = n - 1 THEN m END) AS mp, MAX(n) AS n, 1 / sqrt(MAX(n)) AS u FROM m),
-e AS (SELECT *, {horner("u", linear.LAST_WEIGHT)} + mn / sqrt(mm) AS an, {horner("u", linear.NEXT_WEIGHT)} + mp / sqrt(mm) AS ap FROM k),
-f AS (SELECT *, sqrt((mm - 2 * mn * mn - 2 * mp * mp) / (1 - 2 * an * an - 2 * ap * ap)) AS fac FROM e),
-a AS (SELECT x, CASE WHEN i = f.n THEN an WHEN i = f.n - 1 THEN ap WHEN i = 1 THEN -an WHEN i = 2 THEN -ap ELSE m / fac END AS a
-      FROM m CROSS JOIN f),
-w AS (SELECT COUNT(*) AS n, pow(SUM(a * x), 2) / (SUM(x * x) - SUM(x) * SUM(x) / COUNT(*)) AS w FROM a),
-z AS (SELECT *, (ln(1 - w) - {horner("ln(n)", linear.LOG_MEAN)}) / exp({horner("ln(n)", linear.LOG_SPREAD)}) AS z FROM w)
-SELECT n, {r('w')}, {r(f"CASE WHEN z > 0 THEN ({normal_p('z')}) / 2 ELSE 1 - ({normal_p('z')}) / 2 END", 'p_value')} FROM z"""
     position = "((rk - 0.5) / n)"
     q["lm_diagnostics"] = f"""WITH {ANALYSED},
 lev AS (SELECT grade, COUNT(*) AS ln, AVG(growth_pct) AS fitted FROM growths GROUP BY grade),
@@ -758,5 +800,24 @@ g AS (SELECT MAX(n) AS n, MAX(greatest(upto / n - phi, phi - (upto - c) / n)) AS
 SELECT n, {r('distance')}, {r(f'least(1.0, {limit})', 'p_value')} FROM g"""
     q["site_source"] = f"WITH {SITE} SELECT CAST(plot AS VARCHAR) AS plot, greco, ser, {rr('alt', 'lon', 'lat')} FROM site"
     q["region_source"] = f"WITH {SITE} SELECT plot, {rr('lon', 'lat')} FROM site WHERE {inside_ring()}"
+    q["regions_of_sites"] = f"WITH {SITE} " + " UNION ALL ".join(
+        f"SELECT plot, '{name}' AS region FROM site WHERE {inside_ring(rings=rings)}" for name, rings in REGIONS.items()
+    )
+    q["inspected"] = f"WITH {PANEL},{IND} SELECT plot, species, {rr('ini', 'fin')} FROM ind ORDER BY plot, species LIMIT 6"
+    q["scenario_results"] = f"""WITH {PANEL},{indicator_ctes("N", name="n")},{indicator_ctes("A", name="a")}
+SELECT 'N' AS scenario, plot, species, {rr('ini', 'growth_pct')} FROM n WHERE ini >= 1
+UNION ALL SELECT 'A', plot, species, {rr('ini', 'growth_pct')} FROM a WHERE ini >= 0"""
+    q["delimited_rejects"] = f"""WITH {PANEL},
+k AS (
+  SELECT year, round(value, 2) AS value, CASE WHEN plot % 13 = 5 THEN 'number of fields' WHEN plot % 11 = 3 THEN 'year'
+         WHEN plot % 7 = 0 THEN 'value' ELSE 'read' END AS outcome FROM cell WHERE scenario = 'N')
+SELECT outcome, year, COUNT(*) AS n, {r('SUM(value)', 'total')} FROM k WHERE outcome = 'read' GROUP BY outcome, year
+UNION ALL SELECT outcome, NULL, COUNT(*), NULL FROM k WHERE outcome <> 'read' GROUP BY outcome"""
+    q["table_profile"] = f"WITH {PANEL},{IND} " + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", COUNT({c}) AS n, COUNT(*) - COUNT({c}) AS n_missing, {r(f'MIN({c})', 'min')},
+       {r(f'quantile_cont({c}, 0.25)', 'q1')}, {r(f'quantile_cont({c}, 0.5)', 'median')}, {r(f'AVG({c})', 'mean')},
+       {r(f'quantile_cont({c}, 0.75)', 'q3')}, {r(f'MAX({c})', 'max')} FROM ind"""
+        for c in ("ini", "fin", "evol", "growth_pct", "share_shift", "max_share")
+    )
     q["minimum_presence"] = f"WITH {PANEL},{IND} SELECT plot, species, {rr('ini', 'growth_pct')} FROM ind WHERE ini > 1"
     return q

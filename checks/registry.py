@@ -59,7 +59,7 @@ def sparse(spark, sf, scenario=SCENARIO, years=(START, END)) -> DataFrame:
 
 
 def dense(spark, sf, years=(START, END), scenario=SCENARIO) -> DataFrame:
-    return reshape.densify(src.cells(spark, sf, scenario, years), src.species_levels(spark, sf), years)
+    return reshape.densify(src.cells(spark, sf, scenario, years), src.species_table(spark, sf), years)
 
 
 def measured(spark, sf, scenario=SCENARIO) -> DataFrame:
@@ -438,10 +438,6 @@ def jarque_bera(spark, sf):
     return linear.jarque_bera(measured(spark, sf), "share_shift")
 
 
-def shapiro_sample(spark, sf):
-    return linear.shapiro_wilk(measured(spark, sf), "share_shift", ("plot", "species"), seed=2)
-
-
 def ks_normality(spark, sf):
     return linear.ks_normality(measured(spark, sf), "share_shift")
 
@@ -620,6 +616,48 @@ def stored_result(spark, sf):
     return stored.select("plot", "species", "growth_pct", "share_shift", "stand_type")
 
 
+def scenario_results(spark, sf):
+    """Results of two scenarios written one after the other, the first then again with fewer rows; both are read back."""
+    path = _scratch(spark, "scenarios")
+    for scenario, least in ((SCENARIO, 0), (MODEL_M, 0), (SCENARIO, 1)):
+        tables.write_table(measured(spark, sf, scenario).where(F.col("ini") >= least), path, ("scenario",))
+    return tables.read_table(spark, path).select("scenario", "plot", "species", "ini", "growth_pct")
+
+
+def delimited_rejects(spark, sf):
+    """Tab-separated files with decimal commas, a missing field and a year that is none: rows read, and rows left by reason."""
+    path = _scratch(spark, "rejects")
+    rows = sparse(spark, sf, years=None).select("plot", "species", "year", "value").withColumn("value", F.round("value", 2).cast("string"))
+    comma = F.when(F.col("plot") % 7 == 0, F.concat(F.floor(F.col("value").cast("double")).cast("string"), F.lit(",5"))).otherwise(F.col("value"))
+    year = F.when(F.col("plot") % 11 == 3, F.concat("year", F.lit("a"))).otherwise(F.col("year").cast("string"))
+    fields = F.concat_ws("\t", F.col("plot").cast("string"), "species", year, comma)
+    lines = rows.select(F.when(F.col("plot") % 13 == 5, F.concat("species", F.lit("\t"), year)).otherwise(fields).alias("value"))
+    head = spark.range(1).select(F.lit("IDP\tspeciesName\tYear\tbasalAreaSum").alias("value"))
+    both = head.withColumn("place", F.lit(0)).union(lines.withColumn("place", F.lit(1)))
+    both.coalesce(1).sortWithinPartitions("place").select("value").write.text(path)
+    good, rejected = tables.read_with_rejects(spark, path, schema.PANEL_P, schema.NAMES_P)
+    kinds = rejected.withColumn("outcome", F.regexp_replace("reason", ":.*", ""))
+    totals = good.groupBy("year").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return totals.select(F.lit("read").alias("outcome"), "year", "n", "total").unionByName(
+        kinds.groupBy("outcome").agg(F.count("*").alias("n")), allowMissingColumns=True
+    )
+
+
+def table_profile(spark, sf):
+    """Every numeric column of the indicators at once."""
+    return profile.table_profile(measured(spark, sf), ["ini", "fin", "evol", "growth_pct", "share_shift", "max_share"])
+
+
+def inspected(spark, sf):
+    """The first six rows of the indicators by plot and species."""
+    return tables.inspect(measured(spark, sf).select("plot", "species", "ini", "fin"), 6, ("plot", "species"))
+
+
+def regions_of_sites(spark, sf):
+    """Every region of a table of overlapping regions, one with a hole, that each site lies in."""
+    return spatial.regions_of(src.sites(spark, sf), src.regions(spark)).select("plot", "region")
+
+
 def minimum_presence(spark, sf):
     """Growth of species that start with more than one unit."""
     return measured(spark, sf).where(F.col("ini") > 1).select("plot", "species", "ini", "growth_pct")
@@ -639,11 +677,12 @@ QUERIES = {
         boxplot_stats, boxplot_outliers, boxplot_stats_clipped, distribution_by_year, top_n_ties, sample_n,
         quantiles, mid_ranks, spearman_by_group, spearman_by_species, grade_means, ols_categorical, ols_log,
         ols_offset, ols_pair, anova_oneway, tukey_pairs, tukey_intervals, kruskal, dunn_bh, wilcoxon_pairs,
-        jarque_bera, shapiro_sample, lm_diagnostics, lm_pair_diagnostics, bootstrap_rho_diff, bootstrap_ci, bbox_crop,
+        jarque_bera, lm_diagnostics, lm_pair_diagnostics, bootstrap_rho_diff, bootstrap_ci, bbox_crop,
         unlocated_sites, point_in_polygon, clipped_growth, map_value, map_agreement, series_table,
         ordered_bars, correlation_bars, picked_bars, view_window, delimited_source, stored_result,
         minimum_presence, series_for_species, distribution_for_species, dominant_species, empty_column, category_cast,
-        ols_log_subset, ols_pair_subset, ks_normality, site_source, region_source,
+        ols_log_subset, ols_pair_subset, ks_normality, site_source, region_source, scenario_results, delimited_rejects,
+        table_profile, regions_of_sites, inspected,
     )
 }
 QUERIES |= {

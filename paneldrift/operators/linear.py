@@ -25,7 +25,7 @@ from ..functions.distributions import (
 )
 from ..session import stored
 from .enrich import join_weighted
-from .ordering import mid_rank, sample_rows, value_positions
+from .ordering import mid_rank, value_positions
 from .rank_tests import _pairs
 
 
@@ -54,7 +54,11 @@ def _fit(moments: DataFrame, level: str) -> DataFrame:
 
 def ols_factor(df: DataFrame, y: str, level: str) -> DataFrame:
     """Least squares on a factor, the first level as baseline: one row per coefficient."""
-    fit = _fit(level_moments(df, y, level), level)
+    return _coefficients(level_moments(df, y, level), level)
+
+
+def _coefficients(moments: DataFrame, level: str, *more: str) -> DataFrame:
+    fit = _fit(moments, level)
     base = F.col(level) == F.col(f"_first.{level}")
     inverse = safe_div(F.lit(1.0), F.col("n").cast("double"))
     base_inverse = safe_div(F.lit(1.0), F.col("_first.n").cast("double"))
@@ -65,6 +69,7 @@ def ols_factor(df: DataFrame, y: str, level: str) -> DataFrame:
         safe_div("ss_between", F.col("ss_between") + F.col("ss_within")).alias("r_squared"),
         F.sqrt("ms_within").alias("sigma"),
         "df_resid",
+        *more,
     )
     return rows.withColumn("t_value", safe_div("estimate", "std_error")).withColumn(
         "p_value", student_p(F.col("t_value"), F.col("df_resid").cast("double"))
@@ -79,10 +84,16 @@ def positive(df: DataFrame, *names: str) -> DataFrame:
 
 
 def ols_factor_log(df: DataFrame, y: str, level: str) -> DataFrame:
-    """The same on log(y); rows with y <= 0 have no logarithm and are counted in ``n_dropped``."""
-    dropped = df.where(F.col(y) <= 0).agg(F.count("*"))
-    logged = positive(df, y).withColumn("_log", F.ln(y))
-    return ols_factor(logged, "_log", level).withColumn("n_dropped", dropped.scalar())
+    """The same on log(y); rows with y <= 0 have no logarithm and are counted in ``n_dropped``, in the pass that adds up."""
+    log = F.ln(y)  # missing where there is none
+    sums = df.groupBy(level).agg(
+        F.count(log).alias("n"),
+        F.avg(log).alias("mean"),
+        (F.var_pop(log) * F.count(log)).alias("ss"),
+        F.count_if(F.col(y) <= 0).alias("_dropped"),
+    )
+    counted = sums.withColumn("n_dropped", F.sum("_dropped").over(W.partitionBy(F.lit(0))))
+    return _coefficients(counted.where((F.col("n") > 0) & F.col(level).isNotNull()).drop("_dropped"), level, "n_dropped")
 
 
 def ols_factor_offset(df: DataFrame, fin: str, ini: str, level: str) -> DataFrame:
@@ -215,81 +226,6 @@ def ks_normality(df: DataFrame, y: str) -> DataFrame:
     return one.withColumn("p_value", F.when(reach < 1, 1 - small).otherwise(large))
 
 
-# --- Fixed values: polynomial coefficients of the published Shapiro-Wilk approximation AS R94 ---
-
-LAST_WEIGHT = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056)
-NEXT_WEIGHT = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
-LOG_MEAN = (-1.5861, -0.31082, -0.083751, 0.0038915)
-LOG_SPREAD = (-0.4803, -0.082676, 0.0030302)
-
-# --- End of fixed values ---
-
-SHAPIRO_LEAST, SHAPIRO_MOST = 12, 5000
-
-
-def _polynomial(x: Column, coefficients: Sequence[float]) -> Column:
-    value = F.lit(coefficients[-1])
-    for c in reversed(coefficients[:-1]):
-        value = value * x + c
-    return value
-
-
-def shapiro_wilk(df: DataFrame, y: str, key: Sequence[str], n: int = 4999, seed: int = 0) -> DataFrame:
-    """Normality of a reproducible sample, for samples of 12 to 5000 rows; null outside that range.
-
-    The test is defined for small samples only, so the ordered sample is at most 5000 rows. Use
-    ``ks_normality`` or ``jarque_bera`` for the whole table.
-    """
-    if n > SHAPIRO_MOST:
-        raise ValueError(f"the test is defined for at most {SHAPIRO_MOST} rows")
-    sample = sample_rows(df.where(F.col(y).isNotNull()).select(*key, y), n, key, seed)
-    whole = W.partitionBy(F.lit(0))
-    ordered = sample.withColumns(
-        {"_i": F.row_number().over(whole.orderBy(y)), "_n": F.count("*").over(whole).cast("double")}
-    ).withColumn("_m", normal_quantile((F.col("_i") - 0.375) / (F.col("_n") + 0.25)))
-
-    def at(c: str, i: Column) -> Column:
-        return F.max(F.when(F.col("_i") == i, F.col(c)))
-
-    size = F.col("_n")
-    one = ordered.groupBy("_n").agg(
-        F.sum(F.col("_m") * F.col("_m")).alias("mm"),
-        F.sum(F.col("_m") * F.col(y)).alias("mx"),
-        (F.var_pop(y) * F.count("*")).alias("ss"),
-        at(y, F.lit(1)).alias("x1"),
-        at(y, F.lit(2)).alias("x2"),
-        at(y, size - 1).alias("xp"),
-        at(y, size).alias("xn"),
-        at("_m", size - 1).alias("mp"),
-        at("_m", size).alias("mn"),
-    )
-    root = 1 / F.sqrt(size)
-    weighted = one.withColumns(
-        {
-            "an": _polynomial(root, LAST_WEIGHT) + F.col("mn") / F.sqrt("mm"),
-            "ap": _polynomial(root, NEXT_WEIGHT) + F.col("mp") / F.sqrt("mm"),
-        }
-    ).withColumn(
-        "scale",
-        F.sqrt(
-            safe_div(
-                F.col("mm") - 2 * (F.col("mn") * F.col("mn") + F.col("mp") * F.col("mp")),
-                1 - 2 * (F.col("an") * F.col("an") + F.col("ap") * F.col("ap")),
-            )
-        ),
-    )
-    last, near = F.col("xn") - F.col("x1"), F.col("xp") - F.col("x2")
-    inner = F.col("mx") - F.col("mn") * last - F.col("mp") * near
-    top = safe_div(inner, "scale") + F.col("an") * last + F.col("ap") * near
-    in_range = size >= SHAPIRO_LEAST
-    tested = weighted.select(
-        size.cast("bigint").alias("n"), F.when(in_range, safe_div(top * top, "ss")).alias("w")
-    )
-    log_n = F.ln(F.col("n").cast("double"))
-    z = safe_div(F.ln(1 - F.col("w")) - _polynomial(log_n, LOG_MEAN), F.exp(_polynomial(log_n, LOG_SPREAD)))
-    return tested.withColumn("z", z).withColumn("p_value", normal_upper(F.col("z"))).drop("z")
-
-
 def factor_diagnostics(df: DataFrame, y: str, level: str, keys: Sequence[str]) -> DataFrame:
     """Per row: fitted value, residual, standardised residual, leverage and normal quantile.
 

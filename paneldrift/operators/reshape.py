@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import once, row_total, safe_div, sum_or_zero
+from ..session import stored
 
 PAIR = ("plot", "scenario", "species")
 PLOT = ("plot", "scenario")
@@ -76,50 +77,72 @@ def drop_absent(two_date: DataFrame, ini: str = "ini", fin: str = "fin") -> Data
     return two_date.where(~((F.col(ini) == 0) & (F.col(fin) == 0)))
 
 
+def _numbered_levels(panel: DataFrame, name: str, given: DataFrame | Sequence | None) -> DataFrame:
+    """Distinct levels of a column with their places 0, 1, ... in level order, as a stored table."""
+    if given is None:
+        given = panel.select(name)
+    elif not isinstance(given, DataFrame):
+        given = panel.sparkSession.createDataFrame([(v,) for v in given], f"{name} {panel.schema[name].dataType.simpleString()}")
+    levels = given.toDF(name).where(F.col(name).isNotNull()).distinct()
+    return stored(levels.withColumn(f"_{name}", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(name)) - 1))
+
+
 def densify(
-    panel: DataFrame, species: Sequence[str], years: Sequence[int] | None = None, keys: Sequence[str] = PLOT
+    panel: DataFrame,
+    species: DataFrame | Sequence[str] | None = None,
+    years: DataFrame | Sequence[int] | None = None,
+    keys: Sequence[str] = PLOT,
 ) -> DataFrame:
     """Panel with an explicit zero for every absent species and date of every plot.
 
-    ``species`` and ``years`` list the cells that must be there; the dates are those of the panel if none are
-    given. Cells outside the lists are kept, and a stored missing value stays missing.
+    ``species`` and ``years`` list the cells that must be there, as a table of one column or a list; by default those of
+    the panel. Cells outside the lists are kept, and a stored missing value stays missing.
 
-    The first row of each plot also stands for the grid of its empty cells; grid and known rows are then
-    folded per cell, all of it where the plot lies, in one reading of the panel. The output itself is
-    plots x species x dates by definition.
+    The levels are a table each, so the plan does not grow with them. A cell's place in the grid is a number; a window along
+    the cells of a plot finds the gaps between one place and the next, and only the empty places in them are made. The
+    panel is read once and placed by plot once. The output itself is plots x species x dates by definition.
 
     The number of partitions is fixed: sized by the rows that come in, as Spark would do by itself, a
     partition would be far too large once they have been multiplied.
     """
-    cell = ["species", "year"]
     parts = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = F.row_number().over(W.partitionBy(*keys).orderBy(*cell)) == 1
-    # One value per date, whatever the number of plots.
-    dates = panel.agg(F.sort_array(F.collect_set("year"))).scalar() if years is None else F.array(*[F.lit(y) for y in years])
-    known = F.array(F.struct("species", "year", "value", F.lit(1).alias("rows")))
-    empty = F.flatten(
-        F.transform(
-            F.array(*[F.lit(s) for s in species]),
-            lambda s: F.transform(
-                F.col("_dates"),
-                lambda y: F.struct(
-                    s.alias("species"), y.alias("year"), F.lit(None).cast("double").alias("value"), F.lit(0).alias("rows")
-                ),
-            ),
-        )
+    levels = {"species": _numbered_levels(panel, "species", species), "year": _numbered_levels(panel, "year", years)}
+    size = {name: table.agg(F.count("*")).scalar() for name, table in levels.items()}
+    grid = size["species"] * size["year"]
+    placed = panel.select(*keys, "species", "year", "value")
+    for name, table in levels.items():
+        placed = placed.join(table, name, "left")
+    placed = placed.withColumn("_at", F.col("_species") * size["year"] + F.col("_year")).repartition(parts, keys[0])
+    along = W.partitionBy(*keys).orderBy(F.asc_nulls_last("_at"), "species", "year")
+    cell = F.struct("species", "year")
+    placed = placed.withColumns(
+        {
+            "_first": F.row_number().over(along) == 1,
+            "_next": F.lead("_at").over(along),
+            "_again": F.lead(cell).over(along).eqNullSafe(cell),
+        }
     )
-    folded = (
-        panel.select(*keys, *cell, "value")
-        .repartition(parts, keys[0])
-        .withColumns({"_first": first, "_dates": dates})
-        .select(*keys, F.explode(F.when(F.col("_first"), F.concat(known, empty)).otherwise(known)).alias("_cell"))
-        .select(*keys, "_cell.*")
-        .groupBy(*keys, *cell)
-        .agg(F.max("value").alias("value"), F.sum("rows").alias("_rows"))
+
+    def between(low: Column, high: Column) -> Column:  # places low .. high - 1
+        return F.when(low < high, F.sequence(low, high - 1))
+
+    none = F.array().cast("array<bigint>")
+    ahead = F.when(F.col("_first"), between(F.lit(0).cast("bigint"), F.coalesce("_at", grid)))
+    behind = between(F.col("_at") + 1, F.coalesce("_next", grid))
+    gaps = F.concat(*[F.coalesce(g.cast("array<bigint>"), none) for g in (ahead, behind)])
+    checked = F.when(F.col("_again"), F.raise_error(F.lit("duplicate cell in the panel"))).otherwise(gaps)
+    # The row itself stands first, without a place.
+    every = placed.select(*keys, "species", "year", "value", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), checked)).alias("_gap"))
+    named = {name: table.withColumnRenamed(name, f"_{name}_name") for name, table in levels.items()}
+    row = every.withColumns({"_species": F.floor(F.col("_gap") / size["year"]).cast("int"), "_year": (F.col("_gap") % size["year"]).cast("int")})
+    for name, table in named.items():
+        row = row.join(table, f"_{name}", "left")
+    empty = F.col("_gap").isNotNull()
+    return row.select(
+        *keys,
+        *[F.when(empty, F.col(f"_{name}_name")).otherwise(F.col(name)).alias(name) for name in levels],
+        F.when(empty, F.lit(0.0)).otherwise(F.col("value")).alias("value"),
     )
-    known_value = once(F.col("value"), F.col("_rows"), "duplicate cell in the panel")
-    value = F.when(F.col("_rows") == 0, F.lit(0.0)).otherwise(known_value)
-    return folded.select(*keys, *cell, value.alias("value"))
 
 
 def shares(panel: DataFrame, by: Sequence[str] = (*PLOT, "year")) -> DataFrame:

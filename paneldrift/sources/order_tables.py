@@ -75,6 +75,11 @@ def species_levels(spark: SparkSession, folder: str) -> list[str]:
     return levels_of(table(spark, folder, "part"), "p_brand")
 
 
+def species_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as a table."""
+    return table(spark, folder, "part").select(F.col("p_brand").alias("species")).distinct()
+
+
 def sites(spark: SparkSession, folder: str) -> DataFrame:
     """Plot attributes; every 17th plot has no coordinates."""
     key = F.col("s_suppkey")
@@ -124,3 +129,17 @@ def belts(spark: SparkSession, folder: str) -> DataFrame:
 def polygon(spark: SparkSession) -> DataFrame:
     points = ", ".join(f"('area', 1, {i}, {lon}D, {lat}D)" for i, (lon, lat) in enumerate(RING))
     return spark.sql(f"SELECT * FROM VALUES {points} AS ring(region, ring_id, seq, lon, lat)")
+
+
+# Regions that overlap the outline and each other; the second has a hole.
+REGIONS = {
+    "north": [[(-6.0, 46.2), (9.5, 46.2), (9.5, 52.0), (-6.0, 52.0)]],
+    "ringed": [[(-2.0, 43.0), (6.0, 44.0), (5.0, 50.0), (-3.0, 49.0)], [(0.0, 45.0), (3.0, 45.0), (3.0, 47.5), (0.0, 47.5)]],
+    "islands": [[(-5.0, 41.0), (-4.0, 41.0), (-4.5, 42.0)], [(7.0, 41.0), (9.4, 41.2), (8.0, 43.1)]],
+}
+
+
+def regions(spark: SparkSession) -> DataFrame:
+    """The outline and the regions above as one table."""
+    rows = [(name, r, i, *p) for name, rings in REGIONS.items() for r, ring in enumerate(rings) for i, p in enumerate(ring)]
+    return polygon(spark).unionByName(spark.createDataFrame(rows, "region string, ring_id int, seq int, lon double, lat double"))

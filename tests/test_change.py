@@ -94,6 +94,23 @@ def test_zero_reading_of_sparse_panel_equals_dense_panel(panel):
         assert left == right and left
 
 
+def test_plan_of_the_dense_panel_does_not_grow_with_the_levels(panel, spark):
+    df = panel([("1", "s3", 1, 5), ("1", "s200", 3, 2), ("2", "s1", 2, 9), ("2", "zz", 9, 1)])
+    plans = []
+    for n in (4, 400):
+        levels = spark.createDataFrame([(f"s{i}",) for i in range(n)], "name string")
+        dense = reshape.densify(df, levels, [1, 2, 3])
+        plans.append(len(dense._jdf.queryExecution().optimizedPlan().toString()))
+    assert abs(plans[0] - plans[1]) < 100
+    rows = dense.collect()
+    cells = {(r.plot, r.species, r.year): r.value for r in rows}
+    assert len(rows) == len(cells) == 2 * 400 * 3 + 1  # zz at 9 is outside the lists and stays
+    assert {k: v for k, v in cells.items() if v} == {("1", "s3", 1): 5, ("1", "s200", 3): 2, ("2", "s1", 2): 9, ("2", "zz", 9): 1}
+    only_outside = reshape.densify(panel([("1", "zz", 9, 1)]), ["a"], [1, 2])
+    assert {(r.species, r.year, r.value) for r in only_outside.collect()} == {("zz", 9, 1.0), ("a", 1, 0.0), ("a", 2, 0.0)}
+    assert reshape.densify(df.limit(0)).collect() == []
+
+
 def test_duplicate_cell_is_an_error(panel):
     df = panel([("1", "a", 1, 1), ("1", "a", 1, 2), ("1", "a", 100, 2)])
     for broken in (

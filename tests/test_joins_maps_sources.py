@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from conftest import as_dicts
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from paneldrift.functions import columns, labels
@@ -171,10 +172,88 @@ def test_delimited_files_with_other_headers_and_bad_numbers(spark, tmp_path):
     df = tables.read_delimited(spark, str(folder), schema.PANEL_P, schema.NAMES_P)
     assert {tuple(r) for r in df.collect()} == {("1", "x", 2001, "QRob", 1.5), ("2", None, 2002, "FSyl", None)} and df.count() == 51
     (folder / "c.tsv").write_text("Year\tIDP\tspeciesName\tbasalAreaSum\tScenario\n2001\t1\tQRob\t1,5\tx\n")
-    with pytest.raises(Exception, match="MALFORMED|FAILED_READ"):
+    with pytest.raises(Exception, match="row not readable: value: 1,5"):
         tables.read_delimited(spark, str(folder), schema.PANEL_P, schema.NAMES_P).collect()
 
 
+def test_rejected_rows_come_with_their_reason(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text(
+        "Year\tIDP\tspeciesName\tbasalAreaSum\tScenario\n2001\t1\tQRob\t1.5\tx\n2001\t2\tQRob\t1,5\tx\n\n2001\t3\n"
+        "2001a\t4\tQRob\tabc\tx\n2001\t5\tQRob\tNA\tx\n2001\t6\tQRob\t\tx\n2001\t7\t\"Q\tb\"\tNaN\tx\n"
+    )
+    (tmp_path / "b.tsv").write_text("basalAreaSum\tIDP\n2\t8\nx\t9\n3\t10\tmore\n")
+    good, rejected = tables.read_with_rejects(spark, str(tmp_path), schema.PANEL_P, schema.NAMES_P)
+    assert {tuple(r) for r in good.collect()} == {
+        ("1", "x", 2001, "QRob", 1.5), ("5", "x", 2001, "QRob", None), ("6", "x", 2001, "QRob", None),
+        ("7", "x", 2001, "Q\tb", None), ("8", None, None, None, 2.0),
+    }
+    told = {(r.file.rsplit("/")[-1], r.line, r.reason) for r in rejected.collect()}
+    assert told == {
+        ("a.tsv", "2001\t2\tQRob\t1,5\tx", "value: 1,5"), ("a.tsv", "2001\t3", "number of fields"),
+        ("a.tsv", "2001a\t4\tQRob\tabc\tx", "year: 2001a"), ("b.tsv", "x\t9", "value: x"), ("b.tsv", "3\t10\tmore", "number of fields"),
+    }
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan text" not in plan and "FileScan parquet" in plan  # the text was read once, before
+
+
+def test_headers_are_read_as_first_lines_of_each_file(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"{i}.tsv").write_text(f"IDP\tbasalAreaSum{i % 2}\n" + f"{i}\t1\n" * 20_000)
+    heads = {r.file.rsplit("/")[-1]: r["head"] for r in tables._headers(spark, str(tmp_path)).collect()}
+    assert heads == {f"{i}.tsv": f"IDP\tbasalAreaSum{i % 2}" for i in range(5)}
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "empty.tsv").write_text("")
+    assert tables.read_delimited(spark, str(tmp_path / "none"), schema.PANEL_P, schema.NAMES_P).collect() == []
+
+
+def test_one_scenario_replaces_no_other(spark, tmp_path):
+    path = str(tmp_path / "r")
+    for rows in ([("1", "x", 1.0), ("2", "x", 2.0)], [("1", "y", 3.0)], [("3", "x", 4.0)]):
+        tables.write_table(spark.createDataFrame(rows, "plot string, scenario string, value double"), path, ("scenario",))
+    got = spark.read.parquet(path).select("plot", "scenario", "value")
+    assert {tuple(r) for r in got.collect()} == {("3", "x", 4.0), ("1", "y", 3.0)}
+    tables.write_table(spark.createDataFrame([("9",)], "plot string"), path + "2")
+    tables.write_table(spark.createDataFrame([("8",)], "plot string"), path + "2")
+    assert [r.plot for r in spark.read.parquet(path + "2").collect()] == ["8"]
+
+
+@pytest.mark.parametrize("size", [0.05, 0.3, 4.0])
+def test_overlapping_regions_match_brute_force(spark, size):
+    """Stars with holes and islands that overlap, points on a lattice that meets many edges and corners."""
+    rng = np.random.default_rng(8)
+    rings = {}
+    for k in range(4):
+        angle = np.sort(rng.random(25) * 2 * np.pi)
+        star = np.c_[np.cos(angle), np.sin(angle)] * (0.4 + rng.random((25, 1))) + rng.uniform(-0.5, 0.5, 2)
+        rings[f"r{k}"] = [star.tolist(), (star * 0.3).tolist()]
+    rings["box"] = [[[-1.0, -1.0], [0.5, -1.0], [0.5, 0.75], [-1.0, 0.75]], [[-0.5, -0.5], [0.0, -0.5], [0.0, 0.0], [-0.5, 0.0]]]
+    points = [(i, x, y) for i, (x, y) in enumerate((a / 4, b / 4) for a in range(-7, 8) for b in range(-7, 8))]
+    points += [(1000 + i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-2, 2, (300, 2)))]
+
+    def inside(x, y, ring_list):
+        odd = False
+        for ring in ring_list:
+            for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+                if (y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1):
+                    odd = not odd
+        return odd
+
+    table = [(name, r, i, *map(float, p)) for name, parts in rings.items() for r, ring in enumerate(parts) for i, p in enumerate(ring)]
+    df = spark.createDataFrame(table, RING_TYPE)
+    pts = spark.createDataFrame(points, "plot int, lon double, lat double")
+    want = {(i, name) for i, x, y in points for name, parts in rings.items() if inside(x, y, parts)}
+    got = [(r.plot, r.region) for r in spatial.regions_of(pts, df, size).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    some = [r.plot for r in spatial.within_rings(pts, df, size).collect()]
+    assert len(some) == len(set(some)) and set(some) == {i for i, _ in want}
+
+
+def test_points_without_coordinates_are_counted_on_the_way(spark):
+    seen = Observation()
+    rows = spark.createDataFrame([("1", 0.5, 0.5), ("2", None, 0.5)], "plot string, lon double, lat double")
+    assert spatial.located(rows, seen=seen).count() == 1 and seen.get == {"n_unlocated": 1}
+
+
 @pytest.fixture
 def shuffled_joins(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

@@ -220,7 +220,7 @@ def test_tukey_against_published_points(spark):
 
 def test_two_level_tukey_is_the_t_test(spark):
     t, df = 2.3, 17.0
-    assert dist.range_upper(t * math.sqrt(2), 2, df) == pytest.approx(dist.beta_ratio(df / 2, 0.5, df / (df + t * t)), abs=1e-6)
+    assert dist.range_upper(t * math.sqrt(2), 2, df) == pytest.approx(dist.two_sided_t(np.array([t]), np.array([df]))[0], abs=1e-8)
 
 
 def test_distribution_points(spark):
@@ -231,9 +231,37 @@ def test_distribution_points(spark):
         dist.chi2_p("c", F.lit(2.0)).alias("c"), dist.normal_p("z").alias("z"),
     ).first()
     assert [r.t, r.f, r.c, r.z] == pytest.approx([0.05, 0.05, 0.05, 0.05], abs=5e-5)
-    assert dist.gamma_upper(1.0, 0.3) == pytest.approx(math.exp(-0.3))
-    assert dist.gamma_upper(0.5, 3.0) == pytest.approx(math.erfc(math.sqrt(3.0)))
-    assert dist.gamma_upper(2.0, 9.0) == pytest.approx(10 * math.exp(-9.0))
+    x = np.array([1e-9, 0.3, 1.0, 3.0, 9.0, 100.0, 700.0])
+    np.testing.assert_allclose(dist.gamma_upper(1.0, x), np.exp(-x), rtol=1e-12)
+    np.testing.assert_allclose(dist.gamma_upper(0.5, x), [math.erfc(math.sqrt(v)) for v in x], rtol=1e-12)
+    np.testing.assert_allclose(dist.gamma_upper(2.0, x), (1 + x) * np.exp(-x), rtol=1e-12)
+    assert dist.gamma_upper(1.0, np.array([0.0, np.inf])).tolist() == [1.0, 0.0]
+
+
+@pytest.mark.parametrize("df", [1.0, 3.0, 40.0, 1e4, 1e9, 1e12])
+def test_tails_keep_their_digits_at_any_number_of_degrees_of_freedom(df):
+    f = np.array([1e-6, 0.3, 1.0, 3.0, 20.0])
+    np.testing.assert_allclose(dist.upper_f(f, np.full(5, 2.0), np.full(5, df)), np.exp(-df / 2 * np.log1p(2 * f / df)), rtol=1e-9)
+    if df == 1.0:
+        t = np.array([1e-9, 0.5, 1.0, 3.0, 1e6])
+        np.testing.assert_allclose(dist.two_sided_t(t, np.full(5, df)), 2 / np.pi * np.arctan(1 / t), rtol=1e-12)
+    if df == 1e12:
+        t = np.array([0.5, 2.0, 5.0, 10.0])
+        np.testing.assert_allclose(dist.two_sided_t(t, np.full(4, df)), [math.erfc(v / math.sqrt(2)) for v in t], rtol=1e-8)
+        assert dist.range_upper(3.31, 3, df) == pytest.approx(0.0504033721, abs=1e-9)
+    assert dist.range_upper(dist.range_point(0.95, 3, df), 3, df) == pytest.approx(0.05, abs=1e-12)
+
+
+def test_many_p_values_equal_those_of_single_rows():
+    rng = np.random.default_rng(5)
+    t, n = rng.normal(size=10_000) * 4, rng.integers(1, 10**6, 10_000).astype(float)
+    t[::97] = np.nan
+    t[5] = np.inf
+    many = dist._known(dist.two_sided_t, t, n)
+    assert many.isna().sum() == np.isnan(t).sum() and many[5] == 0.0
+    for i in np.flatnonzero(~np.isnan(t))[1::501]:
+        assert many[i] == pytest.approx(dist.two_sided_t(t[i : i + 1], n[i : i + 1])[0], rel=1e-12)
+    assert dist._once(dist.range_upper, [3.0, np.nan, 3.0], [3.0] * 3, [9.0] * 3).tolist()[::2] == [dist.range_upper(3.0, 3.0, 9.0)] * 2
 
 
 def test_normal_quantile(spark):
@@ -310,20 +338,6 @@ def test_bootstrap_matches_brute_force(spread, monkeypatch, steps, piece):
         assert ci[g]["significant"] == (lo > 0 or hi < 0)
 
 
-# Fuel use of 32 cars (a classic public data set) and the statistic printed for it in textbooks.
-MILES = (21.0, 21.0, 22.8, 21.4, 18.7, 18.1, 14.3, 24.4, 22.8, 19.2, 17.8, 16.4, 17.3, 15.2, 10.4, 10.4,
-         14.7, 32.4, 30.4, 33.9, 21.5, 15.5, 15.2, 13.3, 19.2, 27.3, 26.0, 30.4, 15.8, 19.7, 15.0, 21.4)
-
-
-def test_shapiro_wilk(spark):
-    df = spark.createDataFrame(list(enumerate(MILES)), "id int, y double")
-    r = linear.shapiro_wilk(df, "y", ["id"]).first()
-    assert (r.n, round(r.w, 5), round(r.p_value, 4)) == (32, 0.94756, 0.1229)
-    assert linear.shapiro_wilk(df, "y", ["id"], n=5).first().w is None
-    with pytest.raises(ValueError):
-        linear.shapiro_wilk(df, "y", ["id"], n=6000)
-
-
 def test_ks_normality(spark):
     rng = np.random.default_rng(4)
     values = [*rng.normal(3, 2, 80).round(1).tolist(), 3.0, 3.0, 9.9, None]
