@@ -22,9 +22,13 @@ def brute(rows, every, k, scale=256):
     for q, vectors in whole.items():
         if q % every:
             continue
+        best = {}
         for v in vectors:
-            scores = [(-sum(a * b for a, b in zip(v, w)), i) for i, ws in whole.items() if i != q for w in ws if len(w) == len(v) and w]
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(scores)[:k])]
+            for i, ws in whole.items():
+                for w in ws:
+                    if i != q and len(w) == len(v) and w:
+                        best[i] = max(best.get(i, -math.inf), sum(a * b for a, b in zip(v, w)))
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted((-s, i) for i, s in best.items())[:k])]
     return sorted(out)
 
 
@@ -61,3 +65,26 @@ def test_large_components_are_exact():
 def test_query_equals_sql(spark):
     result, _ = compare.compare(spark, compare.open_tables(SF), SF, queries.op6_voronoi_knn, queries.SQL["op6_voronoi_knn"])
     assert result.startswith("ok"), result
+
+
+def test_ids_with_several_vectors(spread):
+    """The query's own id never fills a place, and an id is listed once with its best vector."""
+    rows = [(0, [1.0, 0.0]), (0, [2.0, 0.0]), (0, [3.0, 0.0])] + [(i, [float(i), 1.0]) for i in range(1, 9)] + [(8, [-3.0, 0.0]), (8, [7.5, 2.0])]
+    df = spread.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(df, 1000, k=5)
+    assert got == brute(rows, 1000, 5) and [r[1] for r in got] == [1, 2, 3, 4, 5]
+    rng = np.random.default_rng(9)
+    rows = [(int(rng.integers(0, 30)), rng.normal(size=4).round(2).tolist()) for _ in range(300)]
+    df = spread.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found(df, 5, pivots=9, least_block=7) == brute(rows, 5, 5)
+
+
+def test_clustered_vectors_are_sent_to_few_rings(spread):
+    """Queries on clustered vectors visit less than three tenths of the rings; all pairs would be all of them."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(24, 8)) * 3
+    rows = [(i, (centres[i % 24] + 0.1 * rng.normal(size=8)).tolist()) for i in range(2400)]
+    df = spread.createDataFrame(rows, "vec_id long, embedding array<double>")
+    visits = spread.sparkContext.accumulator(0)
+    assert found(df, 100, k=5, pivots=64, visits=visits) == brute(rows, 100, 5)
+    assert 24 <= visits.value < 0.3 * 24 * 64 * knn.RINGS
