@@ -9,8 +9,9 @@ written as backslash codes, so that no control string can appear there, and deco
 
 Defined results: a null text is empty, a null role is the empty role; a null conv_id is a conversation of its
 own; null turns come first; equal turn numbers go by role, then text; repeated rows are repeated turns; extra
-columns are ignored; an empty table gives an empty table. A JSON record of unknown layout has a null layout
-and no turns. One conversation is one value of the result and so must fit a Spark string (2 GB).
+columns are ignored; an empty table gives an empty table. JSON records may lack fields that their layout calls optional, may have
+empty arrays and more fields than it names, and may write conv_id as text; a record of no known layout and bad JSON give one row
+with a null layout, no turn, the conv_id if there is one, and the record. One conversation is one value of the result and so must fit a Spark string (2 GB).
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ class Layout:
     paths: tuple[str, ...]
     schema: str
     turns: str | None = None
+    optional: tuple[str, ...] = ("conv_id",)
     columns: tuple[str, str, str] = ("turn", "role", "text")
 
 
@@ -71,7 +73,7 @@ LAYOUTS = (
            _listed("conversations", "`from`", "value")),
     Layout("instruction", "conv_id", ("conv_id", "input", "instruction", "output"),
            "conv_id bigint, instruction string, input string, output string",
-           _fixed(("user", r"concat_ws('\n', instruction, nullif(input, ''))"), ("assistant", "output"))),
+           _fixed(("user", r"concat_ws('\n', instruction, nullif(input, ''))"), ("assistant", "output")), ("conv_id", "input")),
     Layout("prompt and response", "conv_id", ("conv_id", "prompt", "response"),
            "conv_id bigint, prompt string, response string", _fixed(("user", "prompt"), ("assistant", "response"))),
     Layout("system, prompt and response", "conv_id", ("conv_id", "prompt", "response", "system"),
@@ -94,7 +96,18 @@ def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()
 
 
-BY_FINGERPRINT = {fingerprint(x.paths): x for x in LAYOUTS}
+def _forms(layout: Layout) -> list[str]:
+    """Fingerprints of a layout with and without each of its optional fields."""
+    sets = [set(layout.paths)]
+    for name in layout.optional:
+        sets += [s - {name} for s in sets]
+    return [fingerprint(s) for s in sets]
+
+
+#: A smaller layout comes before the forms of a larger one that lack fields.
+BY_FINGERPRINT = {f: x for x in reversed(LAYOUTS) for f in _forms(x)} | {fingerprint(x.paths): x for x in LAYOUTS}
+#: Arrays of messages, with the fields of their elements.
+ARRAYS = {p.split("[]")[0]: tuple(q.split("[].")[1] for q in x.paths if q.startswith(p.split("[]")[0] + "[].")) for x in LAYOUTS for p in x.paths if "[]" in p}
 
 
 def layout_of(df: DataFrame) -> Layout:
@@ -123,42 +136,74 @@ def to_turns(df: DataFrame) -> DataFrame:
     )
 
 
-def _skeleton(kind: Column) -> Column:
-    """A variant's schema without its leaf types: the names and their nesting."""
-    return F.regexp_replace(kind, r": (?!ARRAY|OBJECT)[A-Z]+(\([0-9, ]+\))?", "")
-
+def record_paths(record: Column) -> Column:
+    """Sorted nested field paths of a JSON record, null for what is no object; an empty array has the paths that are declared."""
+    lists = F.from_json(record, ", ".join(f"{name} array<map<string, string>>" for name in ARRAYS))
 
-def _skeleton_of(layout: Layout) -> str:
-    """The same text for a declared layout."""
-    def text(kind):
-        if isinstance(kind, T.StructType):
-            fields = sorted(kind.fields, key=lambda f: f.name)
-            return "OBJECT<" + ", ".join(f.name + ((": " + text(f.dataType)) if text(f.dataType) else "") for f in fields) + ">"
-        return f"ARRAY<{text(kind.elementType)}>" if isinstance(kind, T.ArrayType) else ""
+    def of(name: Column) -> Column:
+        paths = F.array(name)
+        for array, fields in ARRAYS.items():
+            elements = lists[array]
+            within = F.array_distinct(F.flatten(F.transform(elements, lambda m: F.map_keys(m))))
+            told = F.when(F.size(elements) > 0, F.transform(within, lambda f: F.concat(F.lit(f"{array}[]."), f)))
+            empty = F.when(F.size(elements) == 0, F.array(*(F.lit(f"{array}[].{f}") for f in fields)))
+            paths = F.when(name == array, F.coalesce(told, empty, paths)).otherwise(paths)
+        return paths
 
-    return text(T._parse_datatype_string(layout.schema))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.json_object_keys(record), of))))
 
 
 def records_to_turns(df: DataFrame, record: str = "record") -> DataFrame:
-    """Canonical turns of JSON records of mixed layouts: each record's own fingerprint selects its mapping.
+    """Canonical turns of JSON records of mixed layouts: the hash of each record's own field paths selects its mapping, else the
+    largest layout whose fields it has among others does.
 
-    Result: layout, conv_id, turn, role, text. Unknown records and bad JSON give one row with a null layout.
+    Result: layout, conv_id, turn, role, text, and of records without a layout the record. A record without turns gives one row
+    in which turn, role and text are null.
     """
-    mark = F.sha2(_skeleton(F.schema_of_variant(F.try_parse_json(F.col(record)))), 256)
-    layout, turns, key = F.lit(None).cast("string"), F.lit(None).cast(TURNS), F.lit(None).cast("bigint")
-    rows = df.select(mark.alias("mark"), F.col(record).alias("record"))
+    rows = df.select(F.col(record).alias("record")).withColumn("paths", record_paths(F.col("record")))
+    by_hash = F.create_map(*(F.lit(v) for f, x in BY_FINGERPRINT.items() for v in (f, x.name)))[F.sha2(F.array_join("paths", "\n"), 256)]
+    needed = {x.name: sorted(set(x.paths) - set(x.optional)) for x in sorted(LAYOUTS, key=lambda x: -len(x.paths))}
+    within = [F.when(F.size(F.array_except(F.array(*map(F.lit, need)), "paths")) == 0, F.lit(name)) for name, need in needed.items()]
+    rows = rows.withColumn("layout", F.coalesce(by_hash, *within)).drop("paths")
+    turns, key = F.lit(None).cast(TURNS), F.get_json_object("record", "$.conv_id")
     for x in LAYOUTS:
-        data = F.from_json("record", x.schema)
+        data = F.from_json("record", x.schema.replace("conv_id bigint", "conv_id string"))
         made = F.expr(x.turns or "array(named_struct('turn', turn, 'role', role, 'text', text))").cast(TURNS)
         names = [f.name for f in T._parse_datatype_string(x.schema).fields]
-        hit = F.col("mark") == F.sha2(F.lit(_skeleton_of(x)), 256)
-        rows = rows.withColumn("data", F.when(hit, data)).withColumns({f"{n}": F.col("data")[n] for n in names if n != "conv_id"})
-        rows = rows.withColumns({f"turns {x.name}": F.when(hit, made), f"key {x.name}": F.col("data.conv_id")}).drop("data", *names)
-        layout = F.when(hit, x.name).otherwise(layout)
-        turns, key = F.coalesce(F.col(f"turns {x.name}"), turns), F.coalesce(F.col(f"key {x.name}"), key)
-    return rows.select(layout.alias("layout"), key.alias("conv_id"), F.inline_outer(turns)).select(
-        "layout", *_canonical(*map(F.col, ("conv_id", "turn", "role", "text")))
+        hit = F.col("layout") == x.name
+        rows = rows.withColumn("data", F.when(hit, data)).withColumns({n: F.col("data")[n] for n in names if n != "conv_id"})
+        rows = rows.withColumn(f"turns {x.name}", F.when(hit, made)).drop("data", *(n for n in names if n != "conv_id"))
+        turns = F.coalesce(F.col(f"turns {x.name}"), turns)
+    left = F.when(F.col("layout").isNull(), F.col("record"))
+    each = rows.select("layout", key.try_cast("bigint").alias("conv_id"), left.alias("record"), F.explode_outer(turns).alias("t"))
+    told = [F.when(F.col("t").isNotNull(), F.coalesce(F.col(f"t.{n}"), F.lit(""))).alias(n) for n in ("role", "text")]
+    return each.select("layout", "conv_id", "t.turn", *told, "record")
+
+
+def as_records(turns: DataFrame) -> DataFrame:
+    """Canonical turns as JSON records, one for each conversation, in one of the layouts that can hold it, chosen by its id."""
+    turn = F.struct("turn", "role", "text")
+    rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    role, text = F.col("t.role"), lambda i: F.get("t", F.lit(i))["text"]
+    named = F.forall("t", lambda m: F.lower(m["role"]).isin("user", "assistant", "system") & (m["role"] == F.lower(m["role"])))
+    pair = role == F.array(F.lit("user"), F.lit("assistant"))
+    triple = role == F.array(F.lit("system"), F.lit("user"), F.lit("assistant"))
+    messages = F.transform("t", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
+    renamed = F.transform("t", lambda m: F.struct(
+        F.when(m["role"] == "user", "human").when(m["role"] == "assistant", "gpt").otherwise(m["role"]).alias("from"), m["text"].alias("value")))
+    key = F.col("conv_id")
+    pick = F.pmod(F.coalesce(key, F.lit(0)), F.lit(3))
+    plain = ~F.exists("t", lambda m: F.lower(m["role"]).isin("human", "gpt"))
+    record = (
+        F.when(pair & (pick == 0), F.to_json(F.struct(key, text(0).alias("prompt"), text(1).alias("response"))))
+        .when(pair & (pick == 1), F.to_json(F.struct(key, text(0).alias("instruction"), text(1).alias("output"))))
+        .when(triple, F.to_json(F.struct(key, text(0).alias("system"), text(1).alias("prompt"), text(2).alias("response"))))
+        .when(named & (pick != 2), F.to_json(F.struct(key, renamed.alias("conversations"))))
+        .when(plain, F.to_json(F.struct(key, messages.alias("messages"))))
     )
+    # Roles that a layout would rename are told turn by turn.
+    single = F.transform("t", lambda m: F.to_json(F.struct(key, m["turn"].alias("turn"), m["role"].alias("role"), m["text"].alias("text"))))
+    return rows.select(F.explode(F.when(record.isNotNull(), F.array(record)).otherwise(single)).alias("record"))
 
 
 def escape(text: Column) -> Column:

@@ -27,7 +27,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def op1_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(ODD_CHAT))
-    return chat.digests(chat.format_chats(chat.to_turns(rows)))
+    # Every conversation goes through one of the layouts as a JSON record, and comes back by the record's own fingerprint.
+    turns = chat.records_to_turns(chat.as_records(chat.to_turns(rows)))
+    known = F.when(F.col("layout").isNotNull(), True).otherwise(F.raise_error(F.concat(F.lit("no layout: "), "record")).cast("boolean"))
+    return chat.digests(chat.format_chats(turns.where(known)))
 
 
 def op2_simple8b(spark: SparkSession, folder: str) -> DataFrame:

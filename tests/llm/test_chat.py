@@ -18,7 +18,7 @@ def turns(df):
 
 def test_fingerprints_do_not_depend_on_order():
     assert chat.fingerprint(["b", "a[].c"]) == chat.fingerprint(["a[].c", "b", "b"]) != chat.fingerprint(["a[].d", "b"])
-    assert len(chat.BY_FINGERPRINT) == len(chat.LAYOUTS)
+    assert {chat.BY_FINGERPRINT[chat.fingerprint(x.paths)].name for x in chat.LAYOUTS} == {x.name for x in chat.LAYOUTS}
 
 
 def test_layouts_of_tables(spark):
@@ -61,7 +61,38 @@ def test_layouts_of_records(spark):
     assert found["instruction", 4] == [(0, "user", "do\nthis"), (1, "assistant", "done")]
     assert found["prompt and response", 5] == [(0, "user", "q"), (1, "assistant", "a")]
     assert found["system, prompt and response", 6][0] == (0, "system", "s")
-    assert len(found[None, None]) == 3
+    assert len(found[None, None]) == 2 and len(found[None, 7]) == 1
+    assert {r["record"] for r in got if r["layout"] is None} == {json.dumps(records[-1]), "no json", None}
+
+
+def test_records_that_differ_from_their_layout(spark):
+    """Empty arrays, more fields, optional fields, ids as text: nothing is lost; what has no layout comes back whole."""
+    cases = {
+        1: ({"messages": []}, "messages", []),
+        2: ({"messages": [{"role": "user", "content": "q", "name": "n"}, {"role": "gpt", "content": None}]}, "messages", [(0, "user", "q"), (1, "assistant", "")]),
+        3: ({"prompt": "q", "response": "a", "score": 0.5}, "prompt and response", [(0, "user", "q"), (1, "assistant", "a")]),
+        4: ({"instruction": "do", "output": "done"}, "instruction", [(0, "user", "do"), (1, "assistant", "done")]),
+        5: ({"system": "s", "prompt": "q", "response": "a", "meta": {"x": [1]}}, "system, prompt and response", [(0, "system", "s"), (1, "user", "q"), (2, "assistant", "a")]),
+        6: ({"conversations": [{"from": "human", "value": "q", "w": 1}]}, "from and value", [(0, "user", "q")]),
+    }
+    rows = [(json.dumps({"conv_id": str(i) if i % 2 else i, **r}),) for i, (r, _, _) in cases.items()]
+    rows += [('{"conv_id": 9, "messages": ["text"]}',), ('{"conv_id": 10, "messages": 5}',), ("[1]",), ('{"prompt": "q", "response": "a"}',)]
+    got = chat.records_to_turns(spark.createDataFrame(rows, "record string")).collect()
+    for i, (_, layout, turns_) in cases.items():
+        mine = [r for r in got if r["conv_id"] == i]
+        assert {r["layout"] for r in mine} == {layout}
+        assert sorted((r["turn"], r["role"], r["text"]) for r in mine if r["turn"] is not None) == turns_
+    assert {(r["conv_id"], r["record"]) for r in got if r["layout"] is None} == {(9, rows[6][0]), (10, rows[7][0]), (None, "[1]")}
+    assert sum(r["conv_id"] is None and r["layout"] == "prompt and response" for r in got) == 2
+
+
+def test_every_layout_carries_conversations_and_back(spark):
+    shapes = [["user", "assistant"], ["system", "user", "assistant"], ["user", "assistant", "user"], ["human", "gpt"], ["tool", ""], ["User", "assistant"]]
+    rows = [(c, i, role, ODD[(c + i) % len(ODD)]) for c in range(24) for i, role in enumerate(shapes[c // 3 % 6])] + [(None, 0, "user", "no id")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    back = chat.records_to_turns(chat.as_records(df)).collect()
+    assert {r["layout"] for r in back} == {x.name for x in chat.LAYOUTS}
+    assert sorted((repr(r["conv_id"]), r["turn"], r["role"], r["text"]) for r in back) == sorted((repr(c), i, role, t) for c, i, role, t in rows)
 
 
 def test_escapes_are_reversible(spark):
@@ -93,4 +124,4 @@ def test_query_equals_sql_and_runs_no_python(spark):
     result, _ = compare.compare(spark, compare.open_tables(SF), SF, queries.op1_chat_formatting, queries.SQL[name])
     assert result.startswith("ok"), result
     plan = queries.op1_chat_formatting(spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert "Python" not in plan and "Arrow" not in plan and plan.count("Exchange hashpartitioning") == 2
