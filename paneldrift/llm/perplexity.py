@@ -3,8 +3,9 @@
 The model is modified Kneser-Ney over characters of order ORDER, of all documents: tasks count the n-grams of their rows, Spark adds
 them up, and lower orders, discounts, context sums and interpolated probabilities are aggregates and joins over that table. A
 character is one of 4096 classes (the code point itself below 3072), so an n-gram is a whole number; a model is
-sorted arrays of these numbers with their log probabilities. Arrays are sent to the tasks only while the model
-has at most MOST_SENT n-grams; beyond that the documents' n-grams are joined with the table instead, with the same scores up to rounding.
+sorted arrays of these numbers with their log probabilities, in files in the shared folder. A task folds the n-grams of a slice of
+its texts and looks them up in one part of these files after another, whatever the size of the model; neither the driver nor any
+task holds it whole.
 
 A document's score is its mean -log2 probability per character (the log of its perplexity). For each language, median and median
 absolute deviation over all documents that pass the base rules give a lower and an upper band; the bands widen for short texts, whose
@@ -16,6 +17,8 @@ repeated rows are counted and returned each; other columns do not matter; an emp
 
 from __future__ import annotations
 
+import re
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -25,13 +28,13 @@ from pyspark.sql import functions as F
 
 from paneldrift.llm.jaccard import _slices
 from paneldrift.llm.words import mix, words_of
-from paneldrift.session import stored
+from paneldrift.session import shared_folder, stored
 
 ORDER = 5
 BITS = 12
 OWN_CLASS = 3072
-#: N-grams of a model that is sent to the tasks: 12 bytes each there.
-MOST_SENT = 8_000_000
+#: N-grams of a file of the model, and bytes of text that a task scores at a time: it reads the model once for these.
+ROWS, SLICE = 1 << 20, 1 << 22
 #: Width of the bands in robust standard deviations, the least deviation in bits, and the length at which the width is 1.4 times that of long texts.
 #: Chosen by text planted in every language below its band (tests/llm/test_perplexity.py).
 BELOW, ABOVE = 4.5, 4.5
@@ -169,86 +172,108 @@ def model(counts: DataFrame) -> DataFrame:
     return stored(logs.unionByName(nothing).join(backs, ["lang", "size", "gram"], "left"))
 
 
-class Arrays:
-    """A model in sorted arrays, by language and size."""
-
-    def __init__(self, table):
-        lang, size = table.column("lang").to_pandas().to_numpy(), table.column("size").to_numpy()
-        gram, logp, logb = (table.column(c).to_numpy() for c in ("gram", "logp", "logb"))
-        self.of = {}
-        for name in set(lang):
-            for s in range(ORDER + 1):
-                at = np.flatnonzero((lang == name) & (size == s))
-                at = at[np.argsort(gram[at])]
-                # Few leading bits tell where to search, so that the search stays in the processor's caches.
-                self.of[name, s] = gram[at], logp[at].astype(np.float32), np.nan_to_num(logb[at]).astype(np.float32)
+def write_model(table: DataFrame) -> str:
+    """Sorted files of at most ROWS n-grams each in the shared folder; tasks read them as they need them."""
+    spark = table.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/model-{uuid.uuid4().hex}"
+    ordered = table.repartitionByRange("lang", "size", "gram").sortWithinPartitions("lang", "size", "gram")
+    ordered.write.option("maxRecordsPerFile", ROWS).parquet(path)
+    return path
+
+
+class Model:
+    """A written model: n-grams are looked up in one sorted part of a file after another, so one part is in memory at a time."""
+
+    def __init__(self, path: str):
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        self.store, folder = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
+        self.parts = []  # (file, row group, least and largest (lang, size, gram)), from the files' own statistics
+        for info in sorted(self.store.get_file_info(fs.FileSelector(folder)), key=lambda i: i.path):
+            if info.path.endswith(".parquet"):
+                meta = pq.read_metadata(self.store.open_input_file(info.path))
+                names = [meta.schema.column(i).name for i in range(meta.num_columns)]
+                for g in range(meta.num_row_groups):
+                    told = [meta.row_group(g).column(names.index(n)).statistics for n in ("lang", "size", "gram")]
+                    self.parts.append((info.path, g, [(t.min, t.max) for t in told]))
+
+    def find(self, lang: str, size: int, keys: np.ndarray, column: str) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the ascending keys the model has in this size, and their values."""
+        import pyarrow.compute as pc
+        import pyarrow.parquet as pq
+
+        hit, value = np.zeros(len(keys), bool), np.zeros(len(keys))
+        for path, group, ((l0, l1), (s0, s1), (g0, g1)) in self.parts:
+            one = l0 == l1 and s0 == s1  # only then do the bounds of the n-grams say anything
+            if not len(keys) or not l0 <= lang <= l1 or not s0 <= size <= s1 or (one and (keys[0] > g1 or keys[-1] < g0)):
+                continue
+            with self.store.open_input_file(path) as stream:
+                rows = pq.ParquetFile(stream).read_row_group(group, columns=["gram", column, *(() if one else ("lang", "size"))])
+            if not one:
+                rows = rows.filter(pc.and_(pc.equal(rows.column("lang"), lang), pc.equal(rows.column("size"), size)))
+            known = rows.column("gram").to_numpy()
+            if len(known):
+                some = slice(*np.searchsorted(keys, [known[0], known[-1] + 1]))
+                at = np.searchsorted(known, keys[some])
+                same = known[at] == keys[some]
+                hit[some] |= same
+                value[some] = np.where(same, np.nan_to_num(rows.column(column).to_numpy()[at]), value[some])
+        return hit, value
 
     def logs(self, lang: str, keys: np.ndarray) -> np.ndarray:
         """log2 probability of each n-gram; what the model has not seen goes down to smaller sizes."""
-        order = np.argsort(keys)
-        keys, out = keys[order], np.zeros(len(keys))
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-        distinct = keys[first]
+        distinct, number = np.unique(keys, return_inverse=True)
         got, todo, weight = np.zeros(len(distinct)), np.arange(len(distinct)), np.zeros(len(distinct))
         for s in range(ORDER, -1, -1):
-            if not len(todo) or (lang, s) not in self.of:
-                continue
-            known, logp, _ = self.of[lang, s]
-            key = distinct[todo] & ((1 << BITS * s) - 1)
-            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            hit = known[at] == key
-            got[todo[hit]] = logp[at[hit]] + weight[todo[hit]]
-            todo, key = todo[~hit], key[~hit]
+            if not len(todo):
+                break
+            key, which = np.unique(distinct[todo] & ((1 << BITS * s) - 1), return_inverse=True)
+            hit, value = (x[which] for x in self.find(lang, s, key, "logp"))
+            got[todo[hit]] = value[hit] + weight[todo[hit]]
+            todo = todo[~hit]
             if s and len(todo):
-                contexts, _, logb = self.of[lang, s - 1]
-                at = np.minimum(np.searchsorted(contexts, key >> BITS), len(contexts) - 1)
-                weight[todo] += np.where(contexts[at] == key >> BITS, logb[at], 0.0)
+                contexts, which = np.unique((distinct[todo] & ((1 << BITS * s) - 1)) >> BITS, return_inverse=True)
+                weight[todo] += self.find(lang, s - 1, contexts, "logb")[1][which]
         got[todo] = weight[todo] - BITS
-        out[order] = np.repeat(got, np.diff(np.append(first, len(keys))))
-        return out
+        return got[number]
 
 
-def scored(docs: DataFrame, table: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
+def scored(docs: DataFrame, table: DataFrame) -> DataFrame:
     """doc_id, lang, base counts, n_chars and bits (mean -log2 probability per character) of every row of docs."""
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     named = docs.select(F.col("doc_id").cast("bigint"), "text", F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("")).alias("lang"))
-    kinds = "doc_id bigint, lang string, " + "".join(f"{c} bigint, " for c in counts) + "n_chars bigint"
-    sent = docs.sparkSession.sparkContext.broadcast(Arrays(table.toArrow())) if table.count() <= most_sent else None
+    kinds = "doc_id bigint, lang string, " + "".join(f"{c} bigint, " for c in counts) + "n_chars bigint, bits double"
+    path = write_model(table)
 
     def rows(frames):
         import pyarrow as pa
 
+        model = Model(path)
         for frame in frames:
-            for piece in _slices(frame):
+            for piece in _slices(frame, SLICE):
                 found = base_counts(piece.column("text"))
                 keys, begins = grams(piece.column("text"))
                 n = np.diff(begins)
-                out = [piece.column("doc_id"), piece.column("lang"), *(pa.array(found[c].astype(np.int64)) for c in counts), pa.array(n.astype(np.int64))]
                 langs = np.array(piece.column("lang").to_pylist(), object)
-                if sent is None:
-                    out.append(pa.array([keys[a:b].tolist() for a, b in zip(begins, begins[1:])], pa.list_(pa.int64())))
-                else:
-                    owner, logs = np.repeat(langs, n), np.zeros(len(keys))
-                    for lang in set(langs):
-                        own = owner == lang
-                        logs[own] = sent.value.logs(lang, keys[own])
-                    ends = np.concatenate(([0], np.cumsum(logs)))
-                    bits = (ends[begins[:-1]] - ends[begins[1:]]) / np.maximum(n, 1)
-                    out.append(pa.array(np.where(n > 0, bits, np.nan), pa.float64(), from_pandas=True))
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "lang", *counts, "n_chars", "bits" if sent else "grams"])
-
-    if sent:
-        return named.mapInArrow(rows, kinds + ", bits double")
-    # Beyond the limit: rows keep a number of their own, their n-grams meet the table.
-    parted = stored(named.mapInArrow(rows, kinds + ", grams array<bigint>").withColumn("row", F.monotonically_increasing_id()))
-    each = parted.select("row", "lang", F.explode("grams").alias("gram")).groupBy("row", "lang", "gram").agg(F.count(F.lit(1)).alias("k"))
-    sums = each.join(table.where(F.col("size") == ORDER), ["lang", "gram"]).groupBy("row").agg((-F.sum(F.col("logp") * F.col("k"))).alias("total"))
-    return parted.drop("grams").join(sums, "row", "left").drop("row").withColumn("bits", F.col("total") / F.col("n_chars")).drop("total")
-
-
-def judged(docs: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
+                owner, logs = np.repeat(langs, n), np.zeros(len(keys))
+                for lang in sorted(set(langs)):
+                    own = owner == lang
+                    logs[own] = model.logs(lang, keys[own])
+                ends = np.concatenate(([0], np.cumsum(logs)))
+                bits = (ends[begins[:-1]] - ends[begins[1:]]) / np.maximum(n, 1)
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("doc_id"), piece.column("lang"), *(pa.array(found[c].astype(np.int64)) for c in counts),
+                     pa.array(n.astype(np.int64)), pa.array(np.where(n > 0, bits, np.nan), pa.float64(), from_pandas=True)],
+                    ["doc_id", "lang", *counts, "n_chars", "bits"],
+                )
+
+    return named.mapInArrow(rows, kinds)
+
+
+def judged(docs: DataFrame) -> DataFrame:
     """doc_id, base counts, bits, the bands of the document's language, base_failed and kept, for every row."""
-    rows = stored(scored(docs, model(counted(docs)), most_sent))
+    rows = stored(scored(docs, model(counted(docs))))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     # Medians over a thousandth of a bit: a table of bounded size per language.

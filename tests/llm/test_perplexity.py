@@ -1,10 +1,11 @@
-"""Base counts and the n-gram model against plain Python, odd rows, and the path without a sent model."""
+"""Base counts and the n-gram model against plain Python, odd rows, bands by plain medians."""
 
 import math
 import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -59,29 +60,51 @@ def plain_model(texts, order):
     return p
 
 
-def test_model_and_both_ways_of_scoring(spark):
+@pytest.mark.parametrize("rows_of_file,slice_", [(1 << 20, 1 << 22), (700, 5000)])
+def test_model_and_scores(spark, monkeypatch, rows_of_file, slice_):
+    """Against the plain model, with few large and many small files and slices."""
+    monkeypatch.setattr(perplexity, "ROWS", rows_of_file)
+    monkeypatch.setattr(perplexity, "SLICE", slice_)
     rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
     docs = spark.createDataFrame([(d, t, lang if d % 7 else None) for d, t, lang in rows], "doc_id long, text string, lang string").repartition(3)
     table = perplexity.model(perplexity.counted(docs))
-    sent = {r["doc_id"]: r["bits"] for r in perplexity.scored(docs, table).collect()}
-    joined = {r["doc_id"]: r["bits"] for r in perplexity.scored(docs, table, most_sent=0).collect()}
-    assert sent == pytest.approx(joined, rel=1e-5)
+    got = {r["doc_id"]: r["bits"] for r in perplexity.scored(docs, table).collect()}
     for lang in {r["lang"] for r in docs.collect()}:
         own = {r["doc_id"]: r["text"] for r in docs.collect() if r["lang"] == lang}
         p = plain_model(own.values(), perplexity.ORDER)
         for d, t in own.items():
             padded = "\0" * (perplexity.ORDER - 1) + t
             bits = -sum(math.log2(p[padded[i : i + perplexity.ORDER]]) for i in range(len(t))) / len(t)
-            assert sent[d] == pytest.approx(bits, rel=1e-5)
+            assert got[d] == pytest.approx(bits, rel=1e-9)
     # Probabilities after a seen context add up to one over seen and unseen characters.
-    arrays = perplexity.Arrays(table.toArrow())
+    written = perplexity.Model(perplexity.write_model(table))
+    assert len(written.parts) > 10 or rows_of_file > 1000
     lang = f"l{rows[1][2]}"
-    known = arrays.of[lang, perplexity.ORDER][0]
-    import numpy as np
-
-    context = int(known[len(known) // 2]) >> perplexity.BITS
-    logs = arrays.logs(lang, (context << perplexity.BITS) + np.arange(1 << perplexity.BITS))
+    known = [r["gram"] for r in table.where((table.lang == lang) & (table["size"] == perplexity.ORDER)).orderBy("gram").collect()]
+    context = known[len(known) // 2] >> perplexity.BITS
+    logs = written.logs(lang, (context << perplexity.BITS) + np.arange(1 << perplexity.BITS))
     assert (2.0**logs).sum() == pytest.approx(1, abs=1e-3)
+    assert written.logs("lnone", np.array([5, 5, 7])).tolist() == [-12.0] * 3  # a language that the model lacks
+
+
+def test_kept_by_plain_medians_and_bands(spark):
+    rows = [r.asDict() for r in queries.op7_perplexity_rules(spark, SF).collect()]
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    bits = defaultdict(list)
+    for r in rows:
+        if not r["base_failed"] and r["bits"] is not None:
+            bits[docs[r["doc_id"]]["lang"]].append(math.floor(r["bits"] * 1000 + 0.5))
+    for r in rows:
+        values = bits[docs[r["doc_id"]]["lang"]]
+        if not values or r["bits"] is None:
+            assert r["kept"] == (not r["base_failed"])
+            continue
+        middle = np.median(values)
+        off = np.median(np.abs(np.array(values) - middle))
+        wide = max(1.4826 * off / 1000, 0.01) * math.sqrt(1 + 300 / len(docs[r["doc_id"]]["text"]))
+        low, high = middle / 1000 - 4.5 * wide, middle / 1000 + 4.5 * wide
+        assert (r["least_bits"], r["most_bits"]) == (pytest.approx(low), pytest.approx(high))
+        assert r["kept"] == (not r["base_failed"] and low <= r["bits"] <= high)
 
 
 def test_odd_rows(spark):
