@@ -1,9 +1,12 @@
 """License scans by conditional compression.
 
-Places where a text speaks of licensing (SIGNS) are gathered to blocks with the words around them. A block is compressed alone and
-with each license template as zstandard raw dictionary; templates are ranked by how much smaller the dictionary makes it. In this order all that
-can be confirmed are aligned with the block word by word, at every place that shares a stretch long enough, and the one with the fewest different
-words is confirmed if they are at most MOST_DIFFERENT of the template's words; the rank decides between equals. What is left of the block on either side is scanned again.
+Word pairs that a template has and prose has not (not both words are COMMON) are looked for; places near each other are gathered
+to a block. Templates of which a block has too few pairs to be confirmed leave the race: every differing word breaks two pairs at
+most. The block is compressed alone and with each template that is left as zstandard raw dictionary, and templates are ranked by
+how much smaller the dictionary makes it. The first of the ranked list whose wording holds is the find: the template is aligned word by
+word at every place that shares a stretch long enough, and at most MOST_DIFFERENT of its words may differ; among templates within
+NEAR bytes of it the differences in wording decide. What is left of the
+block on either side is scanned again.
 
 Defined results: a null or empty text has no finds; spans are in code points, end exclusive, from the first to the last word that the
 template shares; several licenses of a document come in order; repeated rows are scanned each; other columns do not matter; an
@@ -13,6 +16,7 @@ empty table gives an empty one. A block of more than WINDOW words is scanned in
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 from pyspark.sql import DataFrame
@@ -32,7 +36,9 @@ TEMPLATES = {
             '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
             "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to "
             "the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of "
-            "the Software."),
+            "the Software.",
+            'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+            "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.",
                 "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
                 "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
@@ -42,19 +48,51 @@ TEMPLATES = {
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "BSD-2-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
-                     "are met:",),
-    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
-            "above copyright notice and this permission notice appear in all copies.",),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
-                "file, You can obtain one at http://mozilla.org/MPL/2.0/.",),
+    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.",
+                     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+                     "are met:",
+                     "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+                     "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.",
+                     "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+                     "software without specific prior written permission."),
+    "ISC": ("Licensed under the ISC License.",
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+            "above copyright notice and this permission notice appear in all copies."),
+    "MPL-2.0": ("Licensed under the Mozilla Public License, version 2.0.",
+                "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+                "file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.",
+                 "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+                 "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.",
+                 "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published "
+                 "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+                "This work is marked with CC0 1.0 Universal."),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",
+                  "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
+                  "for any purpose, commercial or non-commercial, and by any means."),
+    "Zlib": ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising "
+             "from the use of this software.",
+             "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, "
+             "subject to the following restrictions:"),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.",
+                "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered "
+                "by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software"),
 }
-SIGNS = ("licens", "licenc", "permission", "redistribut", "copyright")
+#: Words of prose: a pair of two of these tells nothing.
+COMMON = frozenset(
+    "a all and any are as at be but by can for form free from if in into is it its law may name no not of on one or other out such that the "
+    "their these this to under use used was which with work you your".split()
+)
 
-#: Words before the first and behind the last sign of a block; signs nearer than their sum are one block.
-BEFORE, BEHIND = 24, 40
 #: The largest share of different words.
 MOST_DIFFERENT = 0.2
+#: Bytes of compressed size that do not tell templates apart: one changed figure costs no more.
+NEAR = 6
+#: Words of a block before the first and behind the last pair.
+AROUND = 3
 WINDOW = 2000
 
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
@@ -66,80 +104,101 @@ class Templates:
         import zstandard
 
         self.alone = zstandard.ZstdCompressor(level=19)
-        self.each = []
+        self.each = []  # license, words, compressor, different words at most, pairs at least
+        self.of_pair: dict[tuple[str, str], list[int]] = {}
         for name, texts in TEMPLATES.items():
-            for text in texts:
-                words = [w.lower() for w in _WORD.findall(text)]
+            for text in (*texts, f"SPDX-License-Identifier: {name}"):
+                words = _words(text)
                 dictionary = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                self.each.append((name, words, zstandard.ZstdCompressor(level=19, dict_data=dictionary)))
-        self.longest = max(len(w) for _, w, _ in self.each)
-
-    def ranked(self, words: list[str]) -> list[tuple[float, str, list[str]]]:
-        """Share by which each template's dictionary makes the words smaller, largest first."""
+                pairs = {p for p in zip(words, words[1:]) if not (p[0] in COMMON and p[1] in COMMON)}
+                most = int(MOST_DIFFERENT * len(words))
+                for p in pairs:
+                    self.of_pair.setdefault(p, []).append(len(self.each))
+                self.each.append((name, words, zstandard.ZstdCompressor(level=19, dict_data=dictionary), most, len(pairs) - 2 * most))
+        self.longest = max(len(e[1]) for e in self.each)
+
+    def places(self, words: list[str]) -> list[int]:
+        """Where a pair of any template begins."""
+        known = self.of_pair
+        return [k for k, p in enumerate(zip(words, words[1:])) if p in known]
+
+    def ranked(self, words: list[str]) -> list[tuple[int, float, int]]:
+        """Compressed size, share by which the dictionary makes the words smaller, and number of the templates that may hold, best first."""
+        shared = Counter(t for p in set(zip(words, words[1:])) for t in self.of_pair.get(p, ()))
+        able = [t for t, n in shared.items() if n >= self.each[t][4]]
+        if not able:
+            return []
         data = " ".join(words).encode()
         size = len(self.alone.compress(data))
-        return sorted(((1 - len(c.compress(data)) / size, name, own) for name, own, c in self.each), key=lambda x: (-x[0], x[1], x[2]))
+        made = ((len(self.each[t][2].compress(data)), t) for t in able)
+        return sorted(((n, 1 - n / size, t) for n, t in made), key=lambda x: (x[0], -len(self.each[x[2]][1]), x[2]))
+
+    def confirmed(self, words: list[str], own: list[str], most: int):
+        """(first word, last word + 1, missing, added) of the place where the words differ least enough from a template, or None."""
+        work = [(0, len(words))]
+        matcher = SequenceMatcher(None, words, own, autojunk=False)
+        while work:
+            begin, end = work.pop()
+            core = matcher.find_longest_match(begin, end, 0, len(own))
+            if not core.size or core.size * (most + 1) < len(own) - most:
+                continue  # so few different words leave a longer stretch
+            # The longest common stretch fixes the place; the template's other words are looked for around it.
+            low, high = max(core.a - 2 * core.b - 2, 0), core.a + core.size + 2 * (len(own) - core.b - core.size) + 2
+            same = [m for m in SequenceMatcher(None, words[low:high], own, autojunk=False).get_matching_blocks() if m.size]
+            a, b = low + same[0].a, low + same[-1].a + same[-1].size
+            kept_a = {low + k for m in same for k in range(m.a, m.a + m.size)}
+            kept_b = {k for m in same for k in range(m.b, m.b + m.size)}
+            missing = [w for k, w in enumerate(own) if k not in kept_b]
+            added = [words[k] for k in range(a, b) if k not in kept_a]
+            if len(missing) + len(added) <= MOST_DIFFERENT * len(own):
+                return a, b, missing, added
+            work += [(begin, core.a), (core.a + core.size, end)]
+        return None
 
     def best(self, words: list[str]):
-        """(first word, last word + 1, name, reduction, missing, added) of the confirmed template, or None."""
-        found, has = [], set(words)
-        for reduction, name, own in self.ranked(words):
-            most = int(MOST_DIFFERENT * len(own))
-            if sum(w not in has for w in own) > most:
-                continue  # these words are missing wherever it is aligned
-            matcher = SequenceMatcher(None, words, own, autojunk=False)
-            work = [(0, len(words))]
-            while work:
-                begin, end = work.pop()
-                core = matcher.find_longest_match(begin, end, 0, len(own))
-                if core.size * (most + 1) < len(own) - most:
-                    continue  # so few different words leave a longer stretch
-                # The longest common stretch fixes the place; the template's other words are looked for around it.
-                low, high = max(core.a - 2 * core.b - 2, 0), core.a + core.size + 2 * (len(own) - core.b - core.size) + 2
-                same = [m for m in SequenceMatcher(None, words[low:high], own, autojunk=False).get_matching_blocks() if m.size]
-                a, b = low + same[0].a, low + same[-1].a + same[-1].size
-                kept_a = {low + k for m in same for k in range(m.a, m.a + m.size)}
-                kept_b = {k for m in same for k in range(m.b, m.b + m.size)}
-                missing = [w for k, w in enumerate(own) if k not in kept_b]
-                added = [words[k] for k in range(a, b) if k not in kept_a]
-                share = (len(missing) + len(added)) / len(own)
-                if share <= MOST_DIFFERENT:
-                    found.append((share, -len(own), -reduction, name, a, b, missing, added))
-                    break
-                work += [(begin, core.a), (core.a + core.size, end)]
-        if not found:
-            return None
-        _, _, reduction, name, a, b, missing, added = min(found)
-        return a, b, name, -reduction, missing, added
+        """(first word, last word + 1, name, reduction, missing, added) of the first template of the ranked list that holds, or None.
+
+        Of templates that the compressor cannot tell apart from it, NEAR bytes, the one with the least share of different words.
+        """
+        found, upto = [], None
+        for size, reduction, t in self.ranked(words):
+            if upto is not None and size > upto:
+                break
+            name, own, _, most, _ = self.each[t]
+            if got := self.confirmed(words, own, most):
+                upto = size + NEAR if upto is None else upto
+                found.append(((len(got[2]) + len(got[3])) / len(own), (*got[:2], name, reduction, *got[2:])))
+        return min(found, key=lambda x: x[0])[1] if found else None
+
+
+def _words(text: str) -> list[str]:
+    return [w.lower() for w in _WORD.findall(text)]
 
 
 def find(text: str, templates: Templates) -> list[dict]:
-    low = text.lower()
-    if not any(s in low for s in SIGNS):
-        return []
-    places = [m.span() for m in _WORD.finditer(text)]
-    words = [text[a:b].lower() for a, b in places]
-    signs = [k for k, w in enumerate(words) if any(s in w for s in SIGNS)]
+    words = _words(text)
     blocks: list[list[int]] = []
-    for k in signs:
-        if blocks and k - BEFORE <= blocks[-1][1]:
-            blocks[-1][1] = k + BEHIND
+    gap = int(MOST_DIFFERENT * templates.longest) + 2
+    for k in templates.places(words):
+        if blocks and k - gap <= blocks[-1][1]:
+            blocks[-1][1] = k + 2
         else:
-            blocks.append([max(k - BEFORE, 0), k + BEHIND])
+            blocks.append([k, k + 2])
     work = []
     for a, b in blocks:
-        b = min(b, len(words))
+        a, b = max(a - AROUND, 0), min(b + AROUND, len(words))
         work += [(k, min(k + WINDOW, b)) for k in range(a, max(b - templates.longest, a + 1), WINDOW - templates.longest)]
-    out, taken = [], []
+    out, taken, places = [], [], None
     while work:
         a, b = work.pop()
-        if b - a < 3 or not any(any(s in w for s in SIGNS) for w in words[a:b]) or not (got := templates.best(words[a:b])):
+        if b - a < 2 or not (got := templates.best(words[a:b])):
             continue
         first, last = a + got[0], a + got[1]
         work += [(a, first), (last, b)]
         if any(first < y and x < last for x, y in taken):
             continue  # seen in the window before
         taken.append((first, last))
+        places = places or [m.span() for m in _WORD.finditer(text)]
         out.append({"license": got[2], "start": places[first][0], "end": places[last - 1][1], "reduction": got[3], "missing": got[4], "added": got[5]})
     return sorted(out, key=lambda x: x["start"])
 
