@@ -5,8 +5,9 @@ class. OWN is the rule of op4, four words and 0.85; callers may give another sim
 
 * Orders: shingles go by how common they are (counts of a fixed-size sketch over all documents), equally common ones by one of
   ORDERS different hashes. Two sets that are alike enough share a shingle among the first n - ceil(similarity x n) + 1 of each, in every order.
-* The first order brings candidates together; the others are filters: a candidate must share prefix shingles in all of them.
-* Before any set is moved, a pair must pass by size and by parities (of how many shingles fall in each of 512 groups, and of as many groups
+* The first order brings candidates together. Each class tells its prefixes in the other orders as 16-bit hashes, and only pairs that
+  share one in every order go on: the filters are intersected before any set is moved.
+* Such a pair must then pass by size and by parities (of how many shingles fall in each of 512 groups, and of as many groups
   as shingles for larger sets), which bound the difference of two sets from below.
 * Copies are not expanded to pairs. In a first pass each prefix shingle links its sets only to the first and to the neighbouring
   one; links verified there make components. In a second pass all pairs of sets that share a prefix shingle and are not yet in one
@@ -97,11 +98,13 @@ def prefix(x: np.ndarray, counts: np.ndarray, order: int, rule: Rule = OWN) -> n
     return x[np.lexsort((mix(x + np.uint64(order + 1)), counts[places(x)]))[:k]]
 
 
-def alike(x: np.ndarray, y: np.ndarray, counts: np.ndarray, orders: int = ORDERS, rule: Rule = OWN) -> bool:
-    """The filters of all orders, then the exact similarity."""
-    for order in range(orders):
-        if not len(np.intersect1d(prefix(x, counts, order, rule), prefix(y, counts, order, rule), assume_unique=True)):
-            return False
+def signature(x: np.ndarray, counts: np.ndarray, order: int, rule: Rule = OWN) -> np.ndarray:
+    """Distinct 16-bit hashes of the prefix in an order: sets that share a shingle of it share one of these."""
+    return np.unique(mix(prefix(x, counts, order, rule) + np.uint64(order)) >> np.uint64(48)).astype(np.uint16).view(np.int16)
+
+
+def alike(x: np.ndarray, y: np.ndarray, rule: Rule = OWN) -> bool:
+    """The exact similarity."""
     both = len(np.intersect1d(x, y, assume_unique=True))
     return rule.of * both >= rule.need * (len(x) + len(y) - both)
 
@@ -174,13 +177,16 @@ def _sketch(summaries: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _shared(docs: DataFrame, counts, rule: Rule) -> DataFrame:
+def _shared(docs: DataFrame, counts, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """token, cid, first, before: prefix shingles of the first order that several classes have; `first` and `before` are the
-    first class with that shingle and the one before this."""
+    first class with that shingle and the one before this. And cid, order1, order2, ...: the classes' signatures in the other orders."""
+    others = range(1, ORDERS)
 
     def postings(frames):
         import pyarrow as pa
 
+        told = pa.list_(pa.int16())
+        schema = pa.schema([("token", pa.int64()), ("cid", pa.int64()), *((f"order{o}", told) for o in others)])
         seen = set()
         for frame in frames:
             for piece in _slices(frame):
@@ -188,10 +194,15 @@ def _shared(docs: DataFrame, counts, rule: Rule) -> DataFrame:
                 for x in sets_of(piece.column("text"), rule):
                     if len(x) and (c := class_of(x)) not in seen:
                         seen.add(c)
-                        new[c] = prefix(x, counts.value, 0, rule)
+                        new[c] = prefix(x, counts.value, 0, rule), [signature(x, counts.value, o, rule) for o in others]
                 if new:
-                    yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(list(new.values())).astype(np.int64)),
-                                                      "cid": pa.array(np.repeat(np.array(list(new), np.int64), [len(x) for x in new.values()]))})
+                    lengths = [len(x) for x, _ in new.values()]
+                    n = sum(lengths)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate([x for x, _ in new.values()]).astype(np.int64)), pa.array(np.repeat(np.array(list(new), np.int64), lengths)), *(pa.nulls(n, told) for _ in others)],
+                        schema=schema)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.nulls(len(new), pa.int64()), pa.array(list(new), pa.int64()), *(pa.array([x[k] for _, x in new.values()], told) for k in range(len(others)))], schema=schema)
 
     def grouped(frames):
         import pyarrow as pa
@@ -225,15 +236,29 @@ def _shared(docs: DataFrame, counts, rule: Rule) -> DataFrame:
             if len(out[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], ["token", "cid", "first", "before"])
 
-    rows = docs.mapInArrow(postings, "token bigint, cid bigint").repartition("token").sortWithinPartitions("token", "cid")
-    return stored(rows.mapInArrow(grouped, "token bigint, cid bigint, first bigint, before bigint"))
+    names = [f"order{o}" for o in others]
+    every = stored(docs.mapInArrow(postings, "token bigint, cid bigint" + "".join(f", {n} array<smallint>" for n in names)))
+    rows = every.where("token is not null").select("token", "cid").repartition("token").sortWithinPartitions("token", "cid")
+    signatures = every.where("token is null").groupBy("cid").agg(*[F.first(n).alias(n) for n in names])
+    return stored(rows.mapInArrow(grouped, "token bigint, cid bigint, first bigint, before bigint")), stored(signatures)
 
 
 def _ordered(a: str, b: str):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, texts: DataFrame, counts, rule: Rule) -> DataFrame:
+def _allowed(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) of classes that share a prefix shingle in all the other orders, and whose sizes and parities allow the similarity."""
+    orders = [f"order{o}" for o in range(1, ORDERS)]
+    left = classes.select(F.col("cid").alias("a"), F.col("wide").alias("p"), "n", *[F.col(o).alias(f"a_{o}") for o in orders])
+    right = classes.select(F.col("cid").alias("b"), F.col("wide").alias("q"), F.col("n").alias("m"), *[F.col(o).alias(f"b_{o}") for o in orders])
+    both = pairs.join(left, "a").join(right, "b")
+    for o in orders:
+        both = both.where(F.arrays_overlap(f"a_{o}", f"b_{o}"))
+    return both.where(_near("p", "q", "n", "m", rule)).select("a", "b")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) of classes that are alike. Only texts of the classes asked for are moved."""
 
     def sets(frames):
@@ -251,7 +276,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, texts: DataFrame, counts, rule:
         import pyarrow as pa
 
         for frame in frames:
-            keep = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), counts.value, rule=rule) for x, y in zip(frame.column("x"), frame.column("y"))]
+            keep = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), rule) for x, y in zip(frame.column("x"), frame.column("y"))]
             yield frame.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(texts, "cid").select("tid").distinct()
@@ -351,16 +376,11 @@ def near_duplicates(docs: DataFrame, rule: Rule = OWN) -> DataFrame:
     rows = summaries.where("place is null")
     counts = spark.sparkContext.broadcast(_sketch(summaries))
     classes = stored(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("tid").alias("tid"), F.first("n").alias("n"), F.first("parities").alias("parities"), F.first("wide").alias("wide")))
-    shared = _shared(texts.select("text"), counts, rule)
-
-    def told(pairs: DataFrame) -> DataFrame:
-        left = classes.select(F.col("cid").alias("a"), F.col("wide").alias("p"), "n")
-        right = classes.select(F.col("cid").alias("b"), F.col("wide").alias("q"), F.col("n").alias("m"))
-        return pairs.join(left, "a").join(right, "b").where(_near("p", "q", "n", "m", rule)).select("a", "b")
-
+    shared, signatures = _shared(texts.select("text"), counts, rule)
+    signed = stored(classes.select("cid", "n", "wide").join(signatures, "cid"))
     stars = shared.select(*_ordered("first", "cid")).unionByName(shared.select(*_ordered("before", "cid"))).where("a <> b").distinct()
     names = classes.select("cid", "tid")
-    links = _verified(texts, stored(told(stars)), names, counts, rule)
+    links = _verified(texts, stored(_allowed(stars, signed, rule)), names, rule)
     roots = stored(components(links))
 
     # Second pass: what shares a prefix shingle over the components so far.
@@ -373,7 +393,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = OWN) -> DataFrame:
     lists = dealt.mapInArrow(lambda frames: _cross_pairs(frames, rule), "a bigint, partners array<bigint>")
     # The lists of a class from all its shingles hold the same partners again and again: joined before they become rows.
     rest = lists.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners")).select("a", F.explode("partners").alias("b"))
-    more = _verified(texts, stored(told(rest)), names, counts, rule)
+    more = _verified(texts, stored(_allowed(rest, signed, rule)), names, rule)
     edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     final = components(edges).withColumnRenamed("node", "cid")
     grouped = classes.select("cid", "least").join(final, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
