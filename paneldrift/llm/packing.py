@@ -83,6 +83,7 @@ def keyed(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int) -> DataFra
                     "doc_id": piece.column("doc_id"), "key": pa.array(keys), "n": pa.array(lengths),
                     "ids": pa.array([zip_.compress(narrow[e - n : e].tobytes()) for e, n in zip(cuts, lengths)], pa.binary()),
                 })
+        tokens.release()
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(rows, "doc_id bigint, key bigint, n bigint, ids binary")
 

@@ -151,6 +151,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, spaced: bool, end
                     held += len(got) // 4 + 1
                     if held >= CHUNK:
                         yield chunk()
+        tokens.release()
         if docs_:
             yield chunk()
 

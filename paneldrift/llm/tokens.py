@@ -1,7 +1,7 @@
-"""Token ids of whole texts by a public tokenizer file, with a bounded store of pieces that have been encoded.
+"""Token ids of whole texts by a public tokenizer file, with a bounded store of pieces that the task has encoded.
 
 Prose repeats its words, and both kinds of tokenizer used here never join characters across the cuts made below, so each
-piece between cuts is encoded once per worker and looked up afterwards. The result equals encoding the whole text
+piece between cuts is encoded once per task, as long as the store holds it, and looked up afterwards. The result equals encoding the whole text
 (tested). Cuts, by `spaced`:
 
 * False: the tokenizer drops white space; a text is cut at ASCII white space.
@@ -24,7 +24,7 @@ import numpy as np
 
 from paneldrift.llm.words import Words, mix, words_of
 
-#: Bytes that a worker's store may take.
+#: Bytes that the store of a task may take.
 STORE = 64 << 20
 
 _BEFORE_SPACE = re.compile(r" (?=\S)")
@@ -45,16 +45,16 @@ _encoders: dict = {}
 
 
 def encoder(path: str, spaced: bool) -> Encoder:
-    """One per worker, kept between tasks."""
+    """One per worker; the tokenizer is kept between tasks, its store is given back by `release`."""
     if (path, spaced) not in _encoders:
-        _encoders.clear()  # a stage uses one tokenizer; what an earlier stage has left is not needed any more
         _encoders[path, spaced] = Encoder(path, spaced)
     return _encoders[path, spaced]
 
 
 def release() -> None:
-    """Give back the worker's stores; stages that need the memory for something else call it."""
-    _encoders.clear()
+    """Empty the worker's stores at the end of a task: workers live on, and the next stage needs the memory for something else."""
+    for each in _encoders.values():
+        each.young, each.old = Store(), Store()
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -252,7 +252,7 @@ class Encoder:
         return [flat[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
 
 
-def batches(batch, rows: int = 512):
+def batches(batch, rows: int = 256):
     """Slices of an Arrow batch, so that a task holds the working data of few documents at a time."""
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)
