@@ -2,7 +2,7 @@
 
 Vectors are made whole numbers and equal ones are folded to one (its k + 1 smallest ids are enough for any answer).
 Pivots are a bounded sample of the vectors. Each vector goes to the cell of the pivot at the least angle, each cell is cut
-into RINGS rings by that angle, and each ring is summed up by its count, its least and largest angle to the pivot, its largest
+into up to RINGS rings by that angle, and each ring is summed up by its count, its least and largest angle to the pivot, its largest
 norm and its largest distance. The summaries bound every score of a ring from above. A query goes to its most promising ring
 first; the k-th score found there, or among the pivots if that is higher, bounds its answer from below, and it then goes
 to the rings that may hold better ones only. Rings are cut in blocks, a task holds one block and streams the queries past it,
@@ -29,7 +29,7 @@ from paneldrift.session import stored
 PIVOTS = 256
 #: Rows of a block: the vectors over the number of tasks, within these.
 LEAST_BLOCK, MOST_BLOCK = 256, 16384
-#: Rings of a cell.
+#: Rings of a cell at most; fewer where a ring would have less than a block.
 RINGS = 4
 #: Copies of the answers for queries with equal vectors.
 SALTS = 16
@@ -47,7 +47,8 @@ def whole(df: DataFrame, scale: int) -> DataFrame:
 class Cells:
     """Pivots and bounds; small, and the same in every task."""
 
-    def __init__(self, pivots: np.ndarray, ids: list[int]):
+    def __init__(self, pivots: np.ndarray, ids: list[int], rings: int = 1):
+        self.rings = rings
         self.pivots = pivots.astype(np.float64)
         self.apart = np.unique(np.array(ids), return_index=True)[1]
         norms = np.linalg.norm(self.pivots, axis=1)
@@ -69,10 +70,10 @@ class Cells:
         told = scores[:, self.apart]
         least = np.sort(told, axis=1)[:, -k - 1] if told.shape[1] > k else np.full(len(q), -np.inf)
         cosine = q @ self.unit.T / np.where(norm == 0, 1, norm)[:, None]
-        angle = np.repeat(np.arccos(np.clip(cosine, -1, 1)), RINGS, axis=1)
+        angle = np.repeat(np.arccos(np.clip(cosine, -1, 1)), self.rings, axis=1)
         gap = np.maximum(np.maximum(angle - most["angle"], most["least_angle"] - angle), 0)
         by_angle = np.cos(gap) * norm[:, None] * np.where(np.cos(gap) >= 0, most["norm"], most["least_norm"])
-        by_distance = np.repeat(scores, RINGS, axis=1) + norm[:, None] * most["distance"]
+        by_distance = np.repeat(scores, self.rings, axis=1) + norm[:, None] * most["distance"]
         slack = 1e-6 * (1 + norm[:, None] * np.maximum(most["norm"], 1))
         return np.where(most["n"] > 0, np.minimum(by_angle, by_distance) + slack, -np.inf), least
 
@@ -139,7 +140,8 @@ def top_k(df: DataFrame, is_query, k: int = 5, scale: int = 256, pivots: int = P
 def _search(spark, part: DataFrame, asked: DataFrame, k: int, pivots: int, least_block: int, visits: Accumulator | None) -> DataFrame:
     """key, score, vec_id: the k + 1 best of every asked vector in every block it was sent to."""
     sample = part.select("v", "ids", F.xxhash64("key").alias("h")).orderBy("h").limit(pivots).collect()
-    cells = Cells(np.array([r["v"] for r in sample], np.float64), [r["ids"][0] for r in sample])
+    rings = int(min(max(part.count() / (len(sample) * least_block), 1), RINGS))
+    cells = Cells(np.array([r["v"] for r in sample], np.float64), [r["ids"][0] for r in sample], rings)
 
     def placed(frames):
         import pyarrow as pa
@@ -156,14 +158,16 @@ def _search(spark, part: DataFrame, asked: DataFrame, k: int, pivots: int, least
     near = stored(part.select("key", "v", "ids").mapInArrow(
         placed, "key string, v array<bigint>, ids array<bigint>, cell int, angle double, norm double, distance double"))
     # One row per pivot, then one per ring.
-    cuts = near.groupBy("cell").agg(F.percentile_approx("angle", [i / RINGS for i in range(1, RINGS)]).alias("cuts")).collect()
-    bounds = {r["cell"]: r["cuts"] for r in cuts}
-    listed = F.array(*(F.array(*(F.lit(float(c)) for c in bounds.get(i, [0.0] * (RINGS - 1)))) for i in range(len(sample))))
-    ring = F.size(F.filter(F.element_at(listed, F.col("cell") + 1), lambda c: c < F.col("angle")))
-    at = near.withColumn("cell", F.col("cell") * RINGS + ring)
+    at = near
+    if rings > 1:
+        cuts = near.groupBy("cell").agg(F.percentile_approx("angle", [i / rings for i in range(1, rings)]).alias("cuts")).collect()
+        bounds = {r["cell"]: r["cuts"] for r in cuts}
+        listed = F.array(*(F.array(*(F.lit(float(c)) for c in bounds.get(i, [0.0] * (rings - 1)))) for i in range(len(sample))))
+        ring = F.size(F.filter(F.element_at(listed, F.col("cell") + 1), lambda c: c < F.col("angle")))
+        at = near.withColumn("cell", F.col("cell") * rings + ring)
     sums = at.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("angle"), F.min("angle").alias("least_angle"), F.max("norm").alias("norm"),
                                   F.min("norm").alias("least_norm"), F.max("distance").alias("distance")).collect()
-    most = {n: np.zeros(len(sample) * RINGS) for n in ("n", "angle", "least_angle", "norm", "least_norm", "distance")}
+    most = {n: np.zeros(len(sample) * rings) for n in ("n", "angle", "least_angle", "norm", "least_norm", "distance")}
     for row in sums:
         for name, values in most.items():
             values[row["cell"]] = row[name]
@@ -184,7 +188,8 @@ def _search(spark, part: DataFrame, asked: DataFrame, k: int, pivots: int, least
                         row, cell = np.arange(len(start)), start
                     else:
                         known = piece.column("least").to_numpy(zero_copy_only=False)  # NaN where fewer than k + 1 were found
-                        wanted = above >= np.fmax(least, known)[:, None]
+                        least = np.fmax(least, known)
+                        wanted = above >= least[:, None]
                         wanted[np.arange(len(start)), start] = False
                         row, cell = np.nonzero(wanted)
                     if visits is not None:
@@ -195,8 +200,8 @@ def _search(spark, part: DataFrame, asked: DataFrame, k: int, pivots: int, least
                     for j in range(0, len(row), 4096):
                         cut = slice(j, j + 4096)
                         yield pa.RecordBatch.from_arrays(
-                            [piece.column("key").take(pa.array(row[cut])), piece.column("v").take(pa.array(row[cut])), pa.array(cell[cut].astype(np.int32)), pa.array(number[cut].astype(np.int32))],
-                            ["key", "v", "cell", "block"],
+                            [piece.column("key").take(pa.array(row[cut])), piece.column("v").take(pa.array(row[cut])), pa.array(cell[cut].astype(np.int32)), pa.array(number[cut].astype(np.int32)), pa.array(least[row[cut]])],
+                            ["key", "v", "cell", "block", "least"],
                         )
 
         return send
@@ -222,7 +227,8 @@ def _search(spark, part: DataFrame, asked: DataFrame, k: int, pivots: int, least
                 x = np.concatenate(xs) if x is None else x
                 for i in range(0, b - a, 256):
                     few = piece.slice(i, 256)
-                    best = [_best(s, ids, k + 1) for s in _scores(_matrix(few.column("v")), x)]
+                    least = few.column("least").to_numpy()  # what k + 1 ids reach anyhow
+                    best = [[y for y in _best(s, ids, k + 1) if -y[0] >= low] for s, low in zip(_scores(_matrix(few.column("v")), x), least)]
                     yield pa.RecordBatch.from_arrays(
                         [few.column("key").take(pa.array(np.repeat(np.arange(len(best)), [len(x_) for x_ in best]))),
                          pa.array([-s for each in best for s, _ in each], pa.int64()), pa.array([i_ for each in best for _, i_ in each], pa.int64())],
@@ -237,7 +243,7 @@ def _search(spark, part: DataFrame, asked: DataFrame, k: int, pivots: int, least
         dealt = both.repartition(tasks, "cell", "block").sortWithinPartitions("cell", "block", "asks")
         return dealt.mapInArrow(solved, "key string, score bigint, vec_id bigint")
 
-    place = "key string, v array<bigint>, cell int, block int"
+    place = "key string, v array<bigint>, cell int, block int, least double"
     once = stored(answered(asked.select("key", "v").mapInArrow(sent(True), place)))
     found = once.groupBy("key", "vec_id").agg(F.max("score").alias("score"))
     nth = found.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") == k + 1)

@@ -1,5 +1,6 @@
 """Quality classifier: held-out accuracy, odd rows, and that nothing but the text enters a score."""
 
+import math
 import zlib
 
 import pytest
@@ -40,6 +41,43 @@ def test_only_the_text_counts(spark):
     assert plain == {r["doc_id"] - 1000: r["score"] for r in quality.scored(other, weights).collect()}
 
 
+def test_weights_and_scores_of_a_plain_learner(spark):
+    """The textbook updates, one coordinate at a time in dictionaries, on the same rows in the same order."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    bits, most, epochs = 12, 80, 2
+    order = labels.where(~quality.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).join(docs, "doc_id")
+    rows = [(r["text"] or "", r["quality"]) for r in order.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    hasher, z, n = quality.Hasher(bits), {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= quality.L1:
+            return 0.0
+        return -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    def values(text):
+        at = hasher.features(text).tolist()
+        scale = 1 / math.sqrt(max(len(at) - quality.SHARES, 1))
+        return [(i, 1.0 if k >= len(at) - quality.SHARES else scale) for k, i in enumerate(at)] + [(1 << bits, 1.0)]
+
+    def predicted(text):
+        return 1 / (1 + math.exp(-sum(weight(i) * v for i, v in values(text))))
+
+    for _ in range(epochs):
+        for text, label in rows:
+            wrong = predicted(text) - label
+            for i, w, g in [(i, weight(i), wrong * v) for i, v in values(text)]:
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / quality.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * w
+                n[i] = n.get(i, 0.0) + g * g
+    got = quality.train(docs, labels, most=most, epochs=epochs, bits=bits)
+    assert len(rows) == most and sum(w != 0 for w in got) > 1000
+    assert got == pytest.approx([weight(i) for i in range((1 << bits) + 1)], rel=1e-4, abs=1e-4)
+    some = docs.limit(30)
+    for r in quality.scored(some, got, bits).collect():
+        assert r["score"] == pytest.approx(predicted(r["text"] or ""), abs=1e-3)
+
+
 def test_odd_rows(spark):
     kinds = "doc_id long, text string, quality string, _row string"
     docs = spark.createDataFrame([(1, None, "q", None), (2, "", "q", "r"), (None, "a b", None, None), (3, "a " * 50000, "q", None), (3, "a " * 50000, "q", None),
