@@ -211,8 +211,10 @@ def selected_positions(
     bin_ = F.least(F.floor(F.coalesce(apart, F.lit(0.0)) * BINS).cast("int"), F.lit(BINS - 1))
     wanted_at = [f(F.lit(float(p)) * (F.col("total_n") - 1)) for p in probs.values() for f in (F.floor, F.ceil)]
     held = reduce(lambda a, b: a | b, [(F.col("_below") <= i) & (i < F.col("_below") + F.col("_rows")) for i in wanted_at])
+    keys = list(by)  # at first there is one cell per group
     while True:
-        binned = join_null_safe(rows, ranges, place, "inner").withColumn("_bin", bin_)
+        met = join_null_safe(rows.drop("_cell") if keys != place else rows, ranges, keys, "inner")
+        binned = met.withColumn("_bin", bin_)
         counted = binned.groupBy(*place, "_bin", "total_n", "_below").agg(
             F.sum("n").alias("_rows"), F.min(half(value)).alias("_least"), F.max(half(value)).alias("_most")
         )
@@ -228,7 +230,7 @@ def selected_positions(
         )
         if cells.where((F.col("_rows") > BUCKET) & (F.col("_least") < F.col("_most"))).isEmpty():
             break
-        rows = stored(rows)  # some bin has many rows; how many values, if they are not all one?
+        rows, keys = stored(rows), place  # some bin has many rows; how many values, if they are not all one?
         widest = rows.groupBy(*place).agg(F.count("*").alias("values")).where(F.col("values") > BUCKET)
         if join_null_safe(widest, ranges, place, "inner").where(F.col("_low") < F.col("_high")).isEmpty():
             break

@@ -33,8 +33,8 @@ GRADE_P = _struct(
 )
 SITE = _struct(
     "plot string, lat double, lon double, greco string, ser string, rum_90cm double, fertility_score string, "
-    "alt double, diam_quad_ini double, dom_h_ini double, dom_age_ini double, n_gb_ini int, n_bm_ini int, "
-    "n_pb_ini int, n_regrowth_ini int"
+    "alt double, mean_diameter double, top_height double, top_age double, large_stems int, medium_stems int, "
+    "small_stems int, young_stems int"
 )
 BELT = _struct("species string, belt string")
 POLYGON = _struct("region string, ring_id int, seq int, lon double, lat double")
@@ -70,13 +70,13 @@ NAMES_SITE = {
     "RUM_90cm": "rum_90cm",
     "Fertility_score": "fertility_score",
     "Alt": "alt",
-    "QuadraticMeanDiameter": "diam_quad_ini",
-    "DominantHeight": "dom_h_ini",
-    "DominantAge": "dom_age_ini",
-    "N_GB": "n_gb_ini",
-    "N_BM": "n_bm_ini",
-    "N_PB": "n_pb_ini",
-    "N_Regrowth": "n_regrowth_ini",
+    "QuadraticMeanDiameter": "mean_diameter",
+    "DominantHeight": "top_height",
+    "DominantAge": "top_age",
+    "N_GB": "large_stems",
+    "N_BM": "medium_stems",
+    "N_PB": "small_stems",
+    "N_Regrowth": "young_stems",
 }
 
 # --- End of fixed values ---

@@ -310,7 +310,7 @@ def test_site_source(spark, tmp_path):
     path = tmp_path / "site.csv"
     path.write_text("IDP,Lat,Lon,GRECO,N_GB,Fertility_score\n1,45.5,2.5,A,3,high\n")
     r = tables.read_site(spark, str(path)).first()
-    assert (r.plot, r.lat, r.greco, r.n_gb_ini, r.fertility_score) == ("1", 45.5, "A", 3, "high")
+    assert (r.plot, r.lat, r.greco, r.large_stems, r.fertility_score) == ("1", 45.5, "A", 3, "high")
 
 
 def test_stored_tables(spark, tmp_path, panel):
