@@ -34,7 +34,7 @@ ORDER = 5
 BITS = 12
 OWN_CLASS = 3072
 #: N-grams of a file of the model, and bytes of text that a task scores at a time: it reads the model once for these.
-ROWS, SLICE = 1 << 20, 1 << 22
+ROWS, SLICE = 1 << 19, 1 << 21
 #: Width of the bands in robust standard deviations, the least deviation in bits, and the length at which the width is 1.4 times that of long texts.
 #: Chosen by text planted in every language below its band (tests/llm/test_perplexity.py).
 BELOW, ABOVE = 4.5, 4.5

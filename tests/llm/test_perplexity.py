@@ -60,7 +60,7 @@ def plain_model(texts, order):
     return p
 
 
-@pytest.mark.parametrize("rows_of_file,slice_", [(1 << 20, 1 << 22), (700, 5000)])
+@pytest.mark.parametrize("rows_of_file,slice_", [(1 << 19, 1 << 21), (700, 5000)])
 def test_model_and_scores(spark, monkeypatch, rows_of_file, slice_):
     """Against the plain model, with few large and many small files and slices."""
     monkeypatch.setattr(perplexity, "ROWS", rows_of_file)
