@@ -77,9 +77,10 @@ def class_of(x: np.ndarray) -> int:
 
 
 def parities(x: np.ndarray, groups: int = PARITIES) -> np.ndarray:
-    """For each group of shingles, whether their number is odd; as 64-bit words. The halves' exclusive or is that of half as many groups."""
+    """For each group of shingles, whether their number is odd; as unsigned 64-bit words, because numpy counts the bits of a signed
+    number's absolute value. The halves' exclusive or is that of half as many groups."""
     odd = np.bincount((mix(x + np.uint64(77)) & np.uint64(groups - 1)).astype(np.int64), minlength=groups) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
 def wide(x: np.ndarray) -> np.ndarray:
@@ -138,7 +139,7 @@ def _summaries(docs: DataFrame, rule: Rule) -> DataFrame:
                 none = pa.nulls(len(sets))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), piece.column("tid"), pa.array([class_of(x) if len(x) else None for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()),
-                     *(pa.array([f(x) if len(x) else None for x in sets], pa.list_(pa.int64())) for f in (parities, wide)), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+                     *(pa.array([f(x).view(np.int64) if len(x) else None for x in sets], pa.list_(pa.int64())) for f in (parities, wide)), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         zip_ = zstandard.ZstdCompressor(level=1)
         rows_ = [{"place": k, "counts": zip_.compress(c.tobytes())} for k, c in enumerate(counts.reshape(-1, PLACES)) if c.any()]
         if rows_:
@@ -339,7 +340,7 @@ def _cross_pairs(frames, rule: Rule):
         if ready is None or not ready.num_rows:
             continue
         token, low, high, block, cid, n, root = (ready.column(c).to_numpy() for c in ("token", "low", "high", "block", "cid", "n", "root"))
-        bits = ready.column("parities").flatten().to_numpy().reshape(len(cid), -1)
+        bits = ready.column("parities").flatten().to_numpy().view(np.uint64).reshape(len(cid), -1)
         group = np.cumsum(np.concatenate(([0], ((token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])).astype(np.int64))))
         last = np.searchsorted(group, group, "right")
         made = [], []

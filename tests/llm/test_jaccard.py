@@ -87,6 +87,16 @@ def test_filters_lose_no_pair(n, more, other, seed):
     assert (halves[0] ^ halves[1] == jaccard.parities(large, 1024)).all()
 
 
+def test_parities_that_differ_in_a_top_bit_lose_no_pair():
+    """Words of parities whose highest bit differs: signed, they would count the bits of an absolute value, 63 here."""
+    test_filters_lose_no_pair.hypothesis.inner_test(48, 0, 8, 5)
+    bits = np.zeros((2, 8), np.int64)
+    bits[1, 3] = np.iinfo(np.int64).min + 1
+    columns = {c: pa.array([v, v]) for c, v in (("token", 5), ("low", 0), ("high", 0), ("block", 0))}
+    columns |= {"cid": pa.array([1, 2]), "n": pa.array([50, 50]), "root": pa.array([1, 2]), "parities": pa.array(list(bits), pa.list_(pa.int64()))}
+    assert [f.to_pylist() for f in jaccard._cross_pairs([pa.RecordBatch.from_pydict(columns)], jaccard.OWN)] == [[{"a": 1, "partners": [2]}]]
+
+
 def test_orders_filter_before_sets_move(spark):
     """Pairs that share a prefix shingle in the first order but not in one of the others go no further, whatever their sizes and parities."""
     same = [5] * 8
