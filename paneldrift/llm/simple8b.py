@@ -46,17 +46,17 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bits = np.frexp(grid.astype(np.float64))[1].astype(np.uint8)  # number of binary digits, exact below 2**53
     large = np.flatnonzero(bits > 52)
     bits[large] = [int(x).bit_length() for x in grid[large]]
-    narrow = int(bits.min())
+    narrow = int(bits[:n].min())
     take = (bits <= 60).astype(np.uint8)
-    left = np.repeat(size, BLOCK).astype(np.int16) - np.tile(np.arange(BLOCK, dtype=np.int16), blocks)
-    for count in reversed(COUNTS[1:-1]):
+    bits[n:] = 255  # no word reaches behind the end
+    # Most digits among `count` ids from each place on, made of those of the count before, which is half as large at least.
+    most, before = bits.reshape(blocks, BLOCK), 1
+    for count in COUNTS[-2:0:-1]:
         if narrow > 60 // count:
             break  # nor does any larger count fit anywhere
-        bad = np.zeros(len(grid) + 1, np.int32)
-        np.cumsum(bits > 60 // count, dtype=np.int32, out=bad[1:])
-        fits = bad[count:] == bad[:-count]
-        fits &= left[: len(fits)] >= count
-        np.copyto(take[: len(fits)], np.uint8(count), where=fits)
+        upto = BLOCK - count + 1
+        most, before = np.maximum(most[:, :upto], most[:, count - before : count - before + upto]), count
+        np.copyto(take.reshape(blocks, BLOCK)[:, :upto], np.uint8(count), where=most <= 60 // count)
     take = take.astype(np.int64)
     at, base = np.zeros(blocks, np.int64), np.arange(blocks) * BLOCK
     selector = np.zeros(61, np.uint64)
@@ -122,7 +122,8 @@ def decode_block(words: np.ndarray, offsets: np.ndarray, n: int, block: int) ->
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, spaced: bool, end_id: int) -> None:
-    """Encode every text and write the files in ascending doc_id order."""
+    """Encode every text and write the files in ascending doc_id order. Workers keep their store of pieces from task to task: no later
+    stage holds much."""
 
     def encoded(frames):
         import pyarrow as pa
@@ -151,7 +152,6 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, spaced: bool, end
                     held += len(got) // 4 + 1
                     if held >= CHUNK:
                         yield chunk()
-        tokens.release()
         if docs_:
             yield chunk()
 

@@ -1,7 +1,7 @@
-"""Token ids of whole texts by a public tokenizer file, with a bounded store of pieces that the task has encoded.
+"""Token ids of whole texts by a public tokenizer file, with a bounded store of pieces that the worker has encoded.
 
 Prose repeats its words, and both kinds of tokenizer used here never join characters across the cuts made below, so each
-piece between cuts is encoded once per task, as long as the store holds it, and looked up afterwards. The result equals encoding the whole text
+piece between cuts is encoded once per worker (or task, where the store is given back at its end), as long as the store holds it, and looked up afterwards. The result equals encoding the whole text
 (tested). Cuts, by `spaced`:
 
 * False: the tokenizer drops white space; a text is cut at ASCII white space.
@@ -24,10 +24,12 @@ import numpy as np
 
 from paneldrift.llm.words import Words, mix, words_of
 
-#: Bytes that the store of a task may take.
+#: Bytes that the store of a worker may take.
 STORE = 64 << 20
 
 _BEFORE_SPACE = re.compile(r" (?=\S)")
+#: Words of these letters are one word to every token pattern, and take as many bytes in lower case.
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: No token pattern joins a letter and one of these behind it.
 _TAIL = np.zeros(256, bool)
 _TAIL[list(b".,!%&*#$|")] = True
@@ -52,7 +54,7 @@ def encoder(path: str, spaced: bool) -> Encoder:
 
 
 def release() -> None:
-    """Empty the worker's stores at the end of a task: workers live on, and the next stage needs the memory for something else."""
+    """Empty the worker's stores at the end of a task, where the next stage needs the memory for something else: workers live on."""
     for each in _encoders.values():
         each.young, each.old = Store(), Store()
 
@@ -134,6 +136,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # Bytes that each token stands for: both vocabularies write a byte as one character.
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
+        self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.sizes[i] = len(token.removesuffix(suffix))
         self.spaced, self.most = spaced, store
         self.young, self.old = Store(), Store()
 
@@ -174,16 +181,33 @@ class Encoder:
         return data, starts, ends, before, row
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct pieces and their counts. Words of letters go to the tokenizer in runs of many, told apart by their number."""
-        if self.spaced:
-            plain = [i for i, w in enumerate(pieces) if w[0] == " " and w[1:].isalpha()]
-        else:
-            plain = [i for i, w in enumerate(pieces) if w.isalpha()]
-        other = np.setdiff1d(np.arange(len(pieces)), plain).tolist()
+        """Ids of distinct pieces and their counts. Words of letters go to the tokenizer in runs of many, told apart by their bytes
+        if the letters are Latin, which is quicker, else by their number."""
+        skip = int(self.spaced)
+        latin, plain, other = [], [], []
+        for i, w in enumerate(pieces):
+            if skip and w[0] != " ":
+                other.append(i)
+            elif _LATIN.fullmatch(w, skip):
+                latin.append(i)
+            else:
+                (plain if w[skip:].isalpha() else other).append(i)
         order, ids, counts = [], [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        glue = "" if self.spaced else " "
+        for k in range(0, len(latin), 1000):
+            run = [pieces[i] for i in latin[k : k + 1000]]
+            got = np.array(self.tokenizer.encode_batch_fast([glue.join(run)], add_special_tokens=False)[0].ids, np.uint32)
+            ends, told = np.cumsum([len(w.encode()) for w in run]), np.cumsum(self.sizes[got])
+            last = np.searchsorted(told, ends)
+            if not len(got) or last[-1] != len(got) - 1 or (told[last] != ends).any():
+                plain += latin[k : k + 1000]  # some token is not known by its bytes
+                continue
+            order += latin[k : k + 1000]
+            ids.append(got)
+            counts.append(np.diff(last, prepend=-1))
         for k in range(0, len(plain), 1000):
             run = plain[k : k + 1000]
-            got = self.tokenizer.encode(("" if self.spaced else " ").join([pieces[i] for i in run]), add_special_tokens=False)
+            got = self.tokenizer.encode(glue.join([pieces[i] for i in run]), add_special_tokens=False)
             numbers = np.array(got.word_ids, dtype=np.int64)
             if len(numbers) == 0 or numbers[0] != 0 or numbers[-1] != len(run) - 1 or (np.diff(numbers) > 1).any():
                 other += run  # some word is more than one word to the tokenizer

@@ -37,6 +37,30 @@ def test_cached_encoding_is_whole_encoding(spark, name, spaced):
         assert enc.encode(texts) == [u4(x) for x in whole(path, texts)]
 
 
+@pytest.mark.parametrize("name,spaced", CASES)
+def test_latin_words_are_told_apart_by_bytes(monkeypatch, name, spaced):
+    """Runs of Latin words need no numbers of words, which cost the tokenizer offsets; other letters still do."""
+    path = public_tokenizers.path(name)
+    letters = [chr(c) for c in range(0x41, 0x100) if chr(c).isalpha()]
+    rng = np.random.default_rng(3)
+    latin = [" " * spaced + "".join(rng.choice([x for x in letters if x not in "ªµº"], n)) for n in rng.integers(1, 20, 3000)] + [" " * spaced + w for w in ("ß", "ÿ", "ÉÉ", "s", "ll")]
+    enc = tokens.Encoder(path, spaced)
+    flat, counts = enc._encode(latin + [" " * spaced + w for w in ("ªa", "µ", "Σς", "İ", "a1", "Ÿ")])
+    want = whole(path, latin + [" " * spaced + w for w in ("ªa", "µ", "Σς", "İ", "a1", "Ÿ")])
+    assert counts.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+
+    class Fast:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            return plain.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    plain = enc.tokenizer
+    monkeypatch.setattr(enc, "tokenizer", Fast())
+    assert enc._encode(latin)[0].tolist() == [i for x in want[: len(latin)] for i in x]
+    enc.sizes = enc.sizes * 0  # a vocabulary that is not known by bytes goes the other way
+    monkeypatch.setattr(enc, "tokenizer", plain)
+    assert enc._encode(latin)[0].tolist() == [i for x in want[: len(latin)] for i in x]
+
+
 @pytest.mark.parametrize("name,spaced", CASES)
 def test_small_store_turns_over(spark, name, spaced):
     """Both generations are dropped many times over, and frequent words still come from the store."""
