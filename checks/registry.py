@@ -624,6 +624,18 @@ def scenario_results(spark, sf):
     return tables.read_table(spark, path).select("scenario", "plot", "species", "ini", "growth_pct")
 
 
+def _headed(head):
+    """Puts a header line before the lines of every task, hence of every file that they are written to."""
+
+    def lines(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_pydict({"value": [head]})
+        yield from batches
+
+    return lines
+
+
 def delimited_rejects(spark, sf):
     """Tab-separated files with decimal commas, a missing field and a year that is none: rows read, and rows left by reason."""
     path = _scratch(spark, "rejects")
@@ -632,9 +644,7 @@ def delimited_rejects(spark, sf):
     year = F.when(F.col("plot") % 11 == 3, F.concat("year", F.lit("a"))).otherwise(F.col("year").cast("string"))
     fields = F.concat_ws("\t", F.col("plot").cast("string"), "species", year, comma)
     lines = rows.select(F.when(F.col("plot") % 13 == 5, F.concat("species", F.lit("\t"), year)).otherwise(fields).alias("value"))
-    head = spark.range(1).select(F.lit("IDP\tspeciesName\tYear\tbasalAreaSum").alias("value"))
-    both = head.withColumn("place", F.lit(0)).union(lines.withColumn("place", F.lit(1)))
-    both.coalesce(1).sortWithinPartitions("place").select("value").write.text(path)
+    lines.mapInArrow(_headed("IDP\tspeciesName\tYear\tbasalAreaSum"), "value string").write.text(path)
     good, rejected = tables.read_with_rejects(spark, path, schema.PANEL_P, schema.NAMES_P)
     kinds = rejected.withColumn("outcome", F.regexp_replace("reason", ":.*", ""))
     totals = good.groupBy("year").agg(F.count("*").alias("n"), F.sum("value").alias("total"))

@@ -85,3 +85,13 @@ def test_graded_table_reads_the_rows_once(spark):
     text = plan(QUERIES["agreement_flag"](spark, SF))
     assert "ReusedExchange" in text and text.count("l_shipdate#") and text.count("FileScan parquet [l_partkey") == 1
 
+
+
+def test_rejects_are_written_by_many_tasks(spread, tmp_path, monkeypatch):
+    """No task holds all lines: every task writes a file of its own, with its header."""
+    monkeypatch.setattr(registry, "_scratch", lambda spark, name: f"file://{tmp_path}/{name}")
+    got = sorted(registry.delimited_rejects(spread, "/root/testdata/sf0.001").collect(), key=repr)
+    texts = [p.read_text().splitlines() for p in (tmp_path / "rejects").glob("part-*")]
+    assert len(texts) > 2 and all(t.count("IDP\tspeciesName\tYear\tbasalAreaSum") == 1 and t[0].startswith("IDP\t") for t in texts)
+    lines = sum(map(len, texts)) - len(texts)
+    assert max(map(len, texts)) < lines / 2 and sum(r["n"] for r in got) == lines
