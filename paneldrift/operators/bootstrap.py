@@ -6,8 +6,9 @@ often each distinct value and grade was drawn, so no draw leaves the task that m
 1. Values are put in order once, with their counts per grade, and cut into blocks of at most STEPS distinct values.
 2. Each iteration's n draws are dealt over the blocks, by one multinomial draw per iteration (all of them to the only block
    of a group that has one), which also tells how many draws lie below each block.
-3. A task has a block and some iterations: it hashes the draws, counts them per value and grade, ranks them from the counts
-   below, and sends the sums that make a rank correlation, a few numbers per iteration.
+3. A task has a block and some iterations, or several of them as long as their counts are few: it hashes the draws, counts them per
+   value and grade, ranks them from the counts below, and sends the sums that make a rank correlation, a few numbers per iteration.
+   The number of tasks follows the counts they are sent, so what one of them holds does not grow with the data.
 
 Draws are hashes of seed, group, side, iteration and block, so any run, order or retry draws the same.
 """
@@ -15,6 +16,7 @@ Draws are hashes of seed, group, side, iteration and block, so any run, order or
 from __future__ import annotations
 
 import hashlib
+import math
 import sys
 from collections.abc import Sequence
 
@@ -31,8 +33,8 @@ from .ordering import value_positions
 # Ship the helpers with the functions, so workers need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Distinct values of a block, iterations and draws that a task takes at a time, and draws held in memory.
-STEPS, ITERATIONS, DRAWS, PIECE = 1 << 16, 250, 50_000_000, 1 << 21
+#: Distinct values of a block, iterations and draws that a task takes at a time, draws held in memory, and counts of blocks sent to a task, about.
+STEPS, ITERATIONS, DRAWS, PIECE, COUNTS = 1 << 16, 250, 50_000_000, 1 << 19, 1 << 20
 
 # Increment and multipliers of the published generator splitmix64.
 STEP, FIRST, SECOND = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -128,15 +130,16 @@ def bootstrap_diff(
         .agg(F.array_sort(F.collect_list(F.struct("_below", "_n"))).alias("_steps"))
         .withColumn("_counts", F.flatten(F.col("_steps._n")))
         .withColumn("_size", F.aggregate("_counts", F.lit(0).cast("bigint"), lambda a, n: a + n))
-        .select(*place, "_total", "_size", "_counts")
+        .select(*place, "_total", "_size", F.size("_counts").alias("_long"), "_counts")
     )
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.concat_ws("|", F.lit(seed), F.col(group).cast("string"), F.col(side).cast("string"))
     by_step = F.greatest(F.lit(1), F.least(F.lit(ITERATIONS), F.floor(F.lit(DRAWS) / F.max("_size")))).cast("int")
+    listed = F.array_sort(F.collect_list(F.struct("_block", "_size"))).alias("_blocks")
+    grouped = blocks.groupBy(group, side).agg(listed, by_step.alias("_step"), F.sum("_long").alias("_long"))
+    sent = grouped.agg(F.sum(F.col("_long") * F.ceil(F.lit(n_iter) / F.col("_step")))).first()[0] or 0
     jobs = (
-        blocks.groupBy(group, side)
-        .agg(F.array_sort(F.collect_list(F.struct("_block", "_size"))).alias("_blocks"), by_step.alias("_step"))
-        .withColumn("_from", F.explode(F.expr(f"sequence(1, {n_iter}, _step)")))
+        grouped.withColumn("_from", F.explode(F.expr(f"sequence(1, {n_iter}, _step)")))
         .select(group, side, key.alias("_key"), "_blocks", "_from", F.least(F.col("_from") + F.col("_step"), F.lit(n_iter + 1)).alias("_to"))
         .repartition(tasks, group, side, "_from")
     )
@@ -167,11 +170,12 @@ def bootstrap_diff(
 
         width = len(grades)
         for batch in batches:
-            for i, row in enumerate(batch.drop_columns([group, side]).to_pylist()):
-                draws, under = np.array(row["_draws"]), np.array(row["_under"])
-                number = range(row["_from"], row["_from"] + len(draws))
-                counts = np.array(row["_counts"]).reshape(-1, width)
-                n, s, ss = resampled(row["_key"], row["_block"], row["_total"], counts, number, draws, under)
+            for i in range(batch.num_rows):
+                # One row at a time, and its lists as arrays: a block's counts are many.
+                key, block, total, first = (batch.column(c)[i].as_py() for c in ("_key", "_block", "_total", "_from"))
+                draws, under, counts = (batch.column(c)[i].values.to_numpy() for c in ("_draws", "_under", "_counts"))
+                number = range(first, first + len(draws))
+                n, s, ss = resampled(key, block, total, counts.reshape(-1, width), number, draws, under)
                 m = len(number)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -185,7 +189,7 @@ def bootstrap_diff(
                 )
 
     shares = jobs.mapInArrow(deal, f"{ids}, _key string, _from int, _block bigint, _draws array<bigint>, _under array<bigint>")
-    work = shares.join(blocks.select(*place, "_total", "_counts"), place).repartition(tasks, *place, "_from")
+    work = shares.join(blocks.select(*place, "_total", "_counts"), place).repartition(max(tasks, math.ceil(sent / COUNTS)), *place, "_from")
     columns = ", ".join([*(f"n{j} bigint" for j in k), *(f"s{j} double" for j in k), "ss double"])
     parts = work.select(group, side, "_key", "_from", "_block", "_draws", "_under", "_total", "_counts").mapInArrow(draw, f"{ids}, iteration int, {columns}")
     sums = parts.groupBy(group, side, "iteration").agg(*[F.sum(c).alias(c) for c in [*(f"n{j}" for j in k), *(f"s{j}" for j in k), "ss"]])

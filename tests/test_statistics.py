@@ -338,6 +338,28 @@ def test_bootstrap_matches_brute_force(spread, monkeypatch, steps, piece):
         assert ci[g]["significant"] == (lo > 0 or hi < 0)
 
 
+def test_bootstrap_tasks_hold_little(spread, monkeypatch):
+    """Tasks follow the counts that are sent to them, lists of counts are not taken apart into objects, and draws come in small pieces."""
+    import re
+    import tracemalloc
+
+    counts = np.ones((20_000, 3), np.int64)
+    draws = np.full((250, 1), counts.sum())
+    tracemalloc.start()
+    bootstrap.resampled("k", 0, int(counts.sum()), counts, range(1, 251), draws[:, 0], np.zeros(250, np.int64))
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+    monkeypatch.setattr(bootstrap, "COUNTS", 40, raising=False)
+    monkeypatch.setattr(bootstrap, "STEPS", 16)
+    rows = [("g", s, float(i), 1 + i % 3) for s in (labels.MONO, labels.PLURI) for i in range(50)]
+    df = spread.createDataFrame(rows, "g string, side string, y double, grade int")
+    got = bootstrap.bootstrap_diff(df, "g", "side", "y", "grade", GRADES, n_iter=1000)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # 50 values of 3 grades on two sides, four times as 250 iterations are taken at a time
+    assert "30" in re.findall(r"RepartitionByExpression \[g#\d+, side#\d+, _block#\w+, _from#\d+\], (\d+)", plan)
+
+
 def test_ks_normality(spark):
     rng = np.random.default_rng(4)
     values = [*rng.normal(3, 2, 80).round(1).tolist(), 3.0, 3.0, 9.9, None]
