@@ -5,13 +5,13 @@ class. OWN is the rule of op4, four words and 0.85; callers may give another sim
 
 * Orders: shingles go by how common they are (counts of a fixed-size sketch over all documents), equally common ones by one of
   ORDERS different hashes. Two sets that are alike enough share a shingle among the first n - ceil(similarity x n) + 1 of each, in every order.
-* The first order brings candidates together. Each class tells its prefixes in the other orders as 16-bit hashes, and only pairs that
-  share one in every order go on: the filters are intersected before any set is moved.
-* Such a pair must then pass by size and by parities (of how many shingles fall in each of 512 groups, and of as many groups
-  as shingles for larger sets), which bound the difference of two sets from below.
+* The first order brings candidates together. A pair must pass by size and by parities (of how many shingles fall in each of 512 groups,
+  and of as many groups as shingles for larger sets), which bound the difference of two sets from below.
+* The classes of such pairs tell their prefixes in the other orders as 16-bit hashes, and only pairs that share one in every order go
+  on: the filters are intersected before any set is moved, and what a pair carries through a shuffle is its sizes and parities.
 * Copies are not expanded to pairs. In a first pass each prefix shingle links its sets only to the first and to the neighbouring
   one; links verified there make components. In a second pass all pairs of sets that share a prefix shingle and are not yet in one
-  component are tested, in blocks, so no group is held by one task. Both passes verify on whole sets.
+  component are tested, in blocks, so no group is held by one task; groups of up to three sets are done by then. Both passes verify on whole sets.
 
 Defined results: nulls, texts without words: no shingles and no links; fewer words than a shingle: the whole sequence is one shingle;
 repeated rows are copies; rows without doc_id are linked like others and have the component of their copies, null where these have no id either;
@@ -123,13 +123,13 @@ def _slices(frame, most: int = 1 << 21):
 
 
 def _summaries(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Rows of documents (doc_id, tid, cid, n, parities), and rows of the sketch (place, counts)."""
+    """Rows of documents (doc_id, tid, cid, n, wide), and rows of the sketch (place, counts)."""
 
     def rows(frames):
         import pyarrow as pa
         import zstandard
 
-        schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("parities", pa.list_(pa.int64())), ("wide", pa.list_(pa.int64())),
+        schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("wide", pa.list_(pa.int64())),
                             ("place", pa.int32()), ("counts", pa.binary())])
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for frame in frames:
@@ -139,13 +139,13 @@ def _summaries(docs: DataFrame, rule: Rule) -> DataFrame:
                 none = pa.nulls(len(sets))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), piece.column("tid"), pa.array([class_of(x) if len(x) else None for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()),
-                     *(pa.array([f(x).view(np.int64) if len(x) else None for x in sets], pa.list_(pa.int64())) for f in (parities, wide)), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+                     pa.array([wide(x).view(np.int64) if len(x) else None for x in sets], pa.list_(pa.int64())), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         zip_ = zstandard.ZstdCompressor(level=1)
         rows_ = [{"place": k, "counts": zip_.compress(c.tobytes())} for k, c in enumerate(counts.reshape(-1, PLACES)) if c.any()]
         if rows_:
             yield pa.RecordBatch.from_pylist(rows_, schema=schema)
 
-    kinds = "doc_id bigint, tid bigint, cid bigint, n bigint, parities array<bigint>, wide array<bigint>, place int, counts binary"
+    kinds = "doc_id bigint, tid bigint, cid bigint, n bigint, wide array<bigint>, place int, counts binary"
     return stored(docs.mapInArrow(rows, kinds))
 
 
@@ -178,16 +178,13 @@ def _sketch(summaries: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _shared(docs: DataFrame, counts, rule: Rule) -> tuple[DataFrame, DataFrame]:
+def _shared(docs: DataFrame, counts, rule: Rule) -> DataFrame:
     """token, cid, first, before: prefix shingles of the first order that several classes have; `first` and `before` are the
-    first class with that shingle and the one before this. And cid, order1, order2, ...: the classes' signatures in the other orders."""
-    others = range(1, ORDERS)
+    first class with that shingle and the one before this."""
 
     def postings(frames):
         import pyarrow as pa
 
-        told = pa.list_(pa.int16())
-        schema = pa.schema([("token", pa.int64()), ("cid", pa.int64()), *((f"order{o}", told) for o in others)])
         seen = set()
         for frame in frames:
             for piece in _slices(frame):
@@ -195,15 +192,10 @@ def _shared(docs: DataFrame, counts, rule: Rule) -> tuple[DataFrame, DataFrame]:
                 for x in sets_of(piece.column("text"), rule):
                     if len(x) and (c := class_of(x)) not in seen:
                         seen.add(c)
-                        new[c] = prefix(x, counts.value, 0, rule), [signature(x, counts.value, o, rule) for o in others]
+                        new[c] = prefix(x, counts.value, 0, rule)
                 if new:
-                    lengths = [len(x) for x, _ in new.values()]
-                    n = sum(lengths)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate([x for x, _ in new.values()]).astype(np.int64)), pa.array(np.repeat(np.array(list(new), np.int64), lengths)), *(pa.nulls(n, told) for _ in others)],
-                        schema=schema)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.nulls(len(new), pa.int64()), pa.array(list(new), pa.int64()), *(pa.array([x[k] for _, x in new.values()], told) for k in range(len(others)))], schema=schema)
+                    owner = np.repeat(np.array(list(new), np.int64), [len(x) for x in new.values()])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(list(new.values())).astype(np.int64)), pa.array(owner)], ["token", "cid"])
 
     def grouped(frames):
         import pyarrow as pa
@@ -237,30 +229,36 @@ def _shared(docs: DataFrame, counts, rule: Rule) -> tuple[DataFrame, DataFrame]:
             if len(out[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], ["token", "cid", "first", "before"])
 
-    names = [f"order{o}" for o in others]
-    every = stored(docs.mapInArrow(postings, "token bigint, cid bigint" + "".join(f", {n} array<smallint>" for n in names)))
-    rows = every.where("token is not null").select("token", "cid").repartition("token").sortWithinPartitions("token", "cid")
-    signatures = every.where("token is null").groupBy("cid").agg(*[F.first(n).alias(n) for n in names])
-    return stored(rows.mapInArrow(grouped, "token bigint, cid bigint, first bigint, before bigint")), stored(signatures)
+    rows = docs.mapInArrow(postings, "token bigint, cid bigint").repartition("token").sortWithinPartitions("token", "cid")
+    return stored(rows.mapInArrow(grouped, "token bigint, cid bigint, first bigint, before bigint"))
 
 
 def _ordered(a: str, b: str):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
+def _fitting(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) of classes whose sizes and parities allow the similarity; only those whose sizes do carry parities."""
+    left = classes.select(F.col("cid").alias("a"), "n")
+    right = classes.select(F.col("cid").alias("b"), F.col("n").alias("m"))
+    sized = pairs.join(left, "a").join(right, "b").where(_sized("n", "m", rule))
+    left, right = (classes.select(F.col("cid").alias(c), F.col("wide").alias(w)) for c, w in ("ap", "bq"))
+    return sized.join(right, "b").join(left, "a").where(_near("p", "q", "n", "m", rule)).select("a", "b")
+
+
 def _allowed(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of classes that share a prefix shingle in all the other orders, and whose sizes and parities allow the similarity."""
+    """The pairs (a, b) of classes that share a prefix shingle in all the other orders."""
     orders = [f"order{o}" for o in range(1, ORDERS)]
-    left = classes.select(F.col("cid").alias("a"), F.col("wide").alias("p"), "n", *[F.col(o).alias(f"a_{o}") for o in orders])
-    right = classes.select(F.col("cid").alias("b"), F.col("wide").alias("q"), F.col("n").alias("m"), *[F.col(o).alias(f"b_{o}") for o in orders])
+    left, right = (classes.select(F.col("cid").alias(c), *[F.col(o).alias(f"{c}_{o}") for o in orders]) for c in "ab")
     both = pairs.join(left, "a").join(right, "b")
     for o in orders:
         both = both.where(F.arrays_overlap(f"a_{o}", f"b_{o}"))
-    return both.where(_near("p", "q", "n", "m", rule)).select("a", "b")
+    return both.select("a", "b")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of classes that are alike. Only texts of the classes asked for are moved."""
+def _verified(docs: DataFrame, pairs: DataFrame, texts: DataFrame, counts, rule: Rule) -> DataFrame:
+    """The pairs (a, b) of classes that pass the filters of all orders and are alike. Only texts of the classes asked for are moved."""
+    orders = range(1, ORDERS)
 
     def sets(frames):
         import pyarrow as pa
@@ -271,7 +269,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, texts: DataFrame, rule: Rule) -
                 made = {c: x for x in sets_of(piece.column("text"), rule) if len(x) and (c := class_of(x)) not in seen}
                 seen.update(made)
                 if made:
-                    yield pa.RecordBatch.from_pydict({"cid": pa.array(list(made), pa.int64()), "x": pa.array([x.tobytes() for x in made.values()], pa.binary())})
+                    told = {f"order{o}": pa.array([signature(x, counts.value, o, rule) for x in made.values()], pa.list_(pa.int16())) for o in orders}
+                    yield pa.RecordBatch.from_pydict({"cid": pa.array(list(made), pa.int64()), **told, "x": pa.array([x.tobytes() for x in made.values()], pa.binary())})
 
     def tested(frames):
         import pyarrow as pa
@@ -281,8 +280,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, texts: DataFrame, rule: Rule) -
             yield frame.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(texts, "cid").select("tid").distinct()
-    found = docs.join(stored(asked), "tid", "left_semi").select("text").mapInArrow(sets, "cid bigint, x binary")
+    kinds = "cid bigint" + "".join(f", order{o} array<smallint>" for o in orders) + ", x binary"
+    found = docs.join(stored(asked), "tid", "left_semi").select("text").mapInArrow(sets, kinds)
     found = stored(found)  # one row per class, but for repeated rows
+    pairs = stored(_allowed(pairs, found.drop("x"), rule).distinct())
     left = found.select(F.col("cid").alias("a"), "x")
     right = found.select(F.col("cid").alias("b"), F.col("x").alias("y"))
     return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tested, "a bigint, b bigint").distinct())
@@ -305,17 +306,28 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _folded(x: str):
+    """Parities of PARITIES groups from those of more: groups that fall together are added up."""
+    words = PARITIES // 64
+    place = lambda j: F.aggregate(F.sequence(j, F.size(x) - 1, F.lit(words)), F.lit(0).cast("bigint"), lambda s, k: s.bitwiseXOR(F.col(x)[k]))
+    return F.when(F.size(x) == words, F.col(x)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(words - 1)), place))
+
+
+def _sized(n: str, m: str, rule: Rule):
+    """Sizes allow the pair."""
+    return F.least(n, m) * rule.of >= F.greatest(n, m) * rule.need
+
+
 def _near(p: str, q: str, n: str, m: str, rule: Rule):
     """Size and parities allow the pair: the difference of alike sets is at most (of - need) / (of + need) of their sizes."""
     _, need, of = rule
-    sizes = F.least(n, m) * of >= F.greatest(n, m) * need
     words = F.least(F.size(p), F.size(q))
 
     def folded(x):
         return F.when(F.size(x) == words, F.col(x)).otherwise(F.zip_with(F.slice(x, F.lit(1), words), F.slice(x, words + 1, words), lambda u, v: u.bitwiseXOR(v)))
 
     odd = F.aggregate(F.zip_with(folded(p), folded(q), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return F.when(sizes, odd * (of + need) <= (F.col(n) + F.col(m)) * (of - need))
+    return F.when(_sized(n, m, rule), odd * (of + need) <= (F.col(n) + F.col(m)) * (of - need))
 
 
 def _cross_pairs(frames, rule: Rule):
@@ -376,25 +388,27 @@ def near_duplicates(docs: DataFrame, rule: Rule = OWN) -> DataFrame:
     summaries = _summaries(texts, rule)
     rows = summaries.where("place is null")
     counts = spark.sparkContext.broadcast(_sketch(summaries))
-    classes = stored(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("tid").alias("tid"), F.first("n").alias("n"), F.first("parities").alias("parities"), F.first("wide").alias("wide")))
-    shared, signatures = _shared(texts.select("text"), counts, rule)
-    signed = stored(classes.select("cid", "n", "wide").join(signatures, "cid"))
+    classes = stored(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("tid").alias("tid"), F.first("n").alias("n"), F.first("wide").alias("wide")))
+    shared = _shared(texts.select("text"), counts, rule)
     stars = shared.select(*_ordered("first", "cid")).unionByName(shared.select(*_ordered("before", "cid"))).where("a <> b").distinct()
     names = classes.select("cid", "tid")
-    links = _verified(texts, stored(_allowed(stars, signed, rule)), names, rule)
+    links = _verified(texts, stored(_fitting(stars, classes, rule)), names, counts, rule)
     roots = stored(components(links))
 
     # Second pass: what shares a prefix shingle over the components so far.
-    known = classes.select("cid", "n", "parities").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    many = stored(shared.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > BLOCK).select("token", F.ceil(F.col("sets") / BLOCK).alias("blocks")))
-    dealt = shared.select("token", "cid").join(stored(known), "cid").join(many, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)).cast("int"))
+    known = classes.select("cid", "n", _folded("wide").alias("parities")).join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    # Up to three sets of a shingle are all paired by `first` and `before`, so the first pass has tested these.
+    many = stored(shared.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > 3).select("token", F.ceil(F.col("sets") / BLOCK).cast("int").alias("blocks")))
+    dealt = shared.select("token", "cid").join(many, "token").join(stored(known), "cid")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", "n", "root", "parities")
     dealt = dealt.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
     lists = dealt.mapInArrow(lambda frames: _cross_pairs(frames, rule), "a bigint, partners array<bigint>")
     # The lists of a class from all its shingles hold the same partners again and again: joined before they become rows.
-    rest = lists.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners")).select("a", F.explode("partners").alias("b"))
-    more = _verified(texts, stored(_allowed(rest, signed, rule)), names, rule)
+    rest = lists.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners"))
+    left, right = (classes.select(F.col("cid").alias(c), F.col("wide").alias(w), F.col("n").alias(n)) for c, w, n in ("apn", "bqm"))
+    rest = rest.join(left, "a").withColumn("b", F.explode("partners")).drop("partners").join(right, "b").where(_near("p", "q", "n", "m", rule)).select("a", "b")
+    more = _verified(texts, stored(rest), names, counts, rule)
     edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     final = components(edges).withColumnRenamed("node", "cid")
     grouped = classes.select("cid", "least").join(final, "cid", "left").withColumn("root", F.coalesce("root", "cid"))

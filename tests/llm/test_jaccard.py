@@ -106,6 +106,27 @@ def test_orders_filter_before_sets_move(spark):
     assert sorted(tuple(r) for r in jaccard._allowed(pairs, classes, jaccard.OWN).collect()) == [(1, 2), (2, 3)]
 
 
+def test_only_classes_of_fitting_pairs_tell_signatures(spark, monkeypatch):
+    """What is stored of unrelated texts, which share a passage in their prefixes, is their sizes and parities: no postings, no signatures."""
+    rng, kept = random.Random(3), []
+    store = jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df: kept.append(store(df)) or kept[-1])
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    passage = " ".join(word() for _ in range(12))
+    rows = [(k, passage + " " + " ".join(word() for _ in range(200 + 40 * k))) for k in range(60)]
+    rows += [(100, rows[0][1] + " end"), (101, rows[0][1])]
+    assert result(jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert sum(d.count() for d in kept if "order1" in d.columns) == 2  # documents 0 and 100
+    assert sum(len(plain_set(t)) for _, t in rows) * 0.15 > 10 * max(d.count() for d in kept if "token" in d.columns)
+
+
+@pytest.mark.parametrize("n", [5, 600, 5000])
+def test_parities_folded_from_wide_ones(spark, n):
+    x = np.unique(np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64))
+    row = spark.createDataFrame([(jaccard.wide(x).view(np.int64).tolist(),)], "wide array<long>").select(jaccard._folded("wide")).first()[0]
+    assert row == jaccard.parities(x).view(np.int64).tolist()
+
+
 def test_query_against_all_pairs(spark):
     folder = "/root/testdata/sf0.001"
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
