@@ -33,8 +33,10 @@ from paneldrift.session import shared_folder, stored
 ORDER = 5
 BITS = 12
 OWN_CLASS = 3072
-#: N-grams of a file of the model, and bytes of text that a task scores at a time: it reads the model once for these.
+#: N-grams of a file of the model, and bytes of text that a task folds to distinct n-grams at a time.
 ROWS, SLICE = 1 << 19, 1 << 21
+#: So many slices look up their n-grams together: what a task holds of each is its distinct n-grams and four bytes a character.
+TOGETHER = 8
 #: Width of the bands in robust standard deviations, the least deviation in bits, and the length at which the width is 1.4 times that of long texts.
 #: Chosen by text planted in every language below its band (tests/llm/test_perplexity.py).
 BELOW, ABOVE = 4.5, 4.5
@@ -43,6 +45,8 @@ SHORT = 300
 WINDOW = 8
 
 _SPACE = " \t\n\x0b\x0c\r"
+_IN_WORD = (np.arange(256) & 0xC0) != 0x80  # bytes that begin a character of a word
+_IN_WORD[list(_SPACE.encode())] = False
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -52,11 +56,7 @@ def base_counts(texts) -> dict[str, np.ndarray]:
     w = words_of(texts)
     n_words = np.diff(w.firsts)
     per_text = lambda marks: np.diff(np.concatenate(([0], np.cumsum(marks)))[w.offsets])
-    inside = np.zeros(len(w.data) + 1, np.int8)
-    np.add.at(inside, w.starts, 1)
-    np.add.at(inside, w.ends, -1)
-    leads = (w.data & 0xC0) != 0x80
-    word_chars = per_text((np.cumsum(inside)[:-1] > 0) & leads)
+    word_chars = per_text(_IN_WORD[w.data])
     repeated = np.zeros(len(texts), np.int64)
     text_of = np.repeat(np.arange(len(texts)), n_words)
     if len(w.starts) >= WINDOW:
@@ -82,15 +82,18 @@ def base_counts(texts) -> dict[str, np.ndarray]:
 def grams(texts) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram that ends at each character of each text, and where the texts begin among them."""
     plain = [t or "" for t in texts.to_pylist()]
-    lengths = np.array([len(t) for t in plain])
-    points = np.frombuffer("".join(plain).encode("utf-32-le"), "<u4").astype(np.uint64)
-    classes = np.where(points < OWN_CLASS, np.maximum(points, 1), OWN_CLASS + mix(points) % np.uint64((1 << BITS) - OWN_CLASS))
-    ends = np.cumsum(lengths)
-    place = np.arange(len(points)) - np.repeat(ends - lengths, lengths)
+    lengths = np.array([len(t) for t in plain], np.int64)
+    classes = np.frombuffer("".join(plain).encode("utf-32-le"), "<u4").astype(np.uint64)
+    rare = np.flatnonzero(classes >= OWN_CLASS)
+    classes[rare] = OWN_CLASS + mix(classes[rare]) % np.uint64((1 << BITS) - OWN_CLASS)
+    np.maximum(classes, 1, out=classes)
+    begins = np.concatenate(([0], np.cumsum(lengths)))
     keys = classes.copy()
-    for back in range(1, ORDER):  # before the first character: class 0
-        keys[back:] |= np.where(place[back:] >= back, classes[:-back], np.uint64(0)) << np.uint64(BITS * back)
-    return keys.astype(np.int64), np.concatenate(([0], ends))
+    for back in range(1, ORDER):
+        keys[back:] |= classes[:-back] << np.uint64(BITS * back)
+    for place in range(ORDER - 1):  # before the first character: class 0
+        keys[begins[:-1][lengths > place] + place] &= np.uint64((1 << BITS * (place + 1)) - 1)
+    return keys.view(np.int64), begins
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -250,24 +253,47 @@ def scored(docs: DataFrame, table: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         model = Model(path)
-        for frame in frames:
-            for piece in _slices(frame, SLICE):
-                found = base_counts(piece.column("text"))
-                keys, begins = grams(piece.column("text"))
-                n = np.diff(begins)
-                langs = np.array(piece.column("lang").to_pylist(), object)
-                owner, logs = np.repeat(langs, n), np.zeros(len(keys))
-                for lang in sorted(set(langs)):
-                    own = owner == lang
-                    logs[own] = model.logs(lang, keys[own])
-                ends = np.concatenate(([0], np.cumsum(logs)))
-                bits = (ends[begins[:-1]] - ends[begins[1:]]) / np.maximum(n, 1)
+
+        def folded(piece):
+            """Rows of a slice by language, their counts, and per language its distinct n-grams, each character's number among these and where texts begin."""
+            piece = piece.take(pa.array(np.argsort(np.array(piece.column("lang").to_pylist(), object), kind="stable")))
+            found = base_counts(piece.column("text"))
+            keys, begins = grams(piece.column("text"))
+            langs, first = np.unique(np.array(piece.column("lang").to_pylist(), object), return_index=True)
+            parts = []
+            for lang, i, j in zip(langs, first, np.append(first[1:], piece.num_rows)):
+                coded = pa.array(keys[begins[i] : begins[j]]).dictionary_encode()
+                parts.append((lang, coded.dictionary.to_numpy(), coded.indices.to_numpy(), begins[i : j + 1] - begins[i]))
+            return piece.drop_columns(["text"]), found, parts
+
+        def scores(held):
+            logs = {}
+            for lang in sorted({part[0] for _, _, parts in held for part in parts}):
+                own = [part[1] for _, _, parts in held for part in parts if part[0] == lang]
+                logs[lang] = iter(np.split(model.logs(lang, np.concatenate(own)), np.cumsum([len(x) for x in own])[:-1]))
+            for piece, found, parts in held:
+                n, bits = [], []
+                for lang, _, number, begins in parts:
+                    ends = np.concatenate(([0], np.cumsum(next(logs[lang])[number])))
+                    n.append(np.diff(begins))
+                    bits.append((ends[begins[:-1]] - ends[begins[1:]]) / np.maximum(n[-1], 1))
+                n, bits = np.concatenate(n), np.concatenate(bits)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), piece.column("lang"), *(pa.array(found[c].astype(np.int64)) for c in counts),
                      pa.array(n.astype(np.int64)), pa.array(np.where(n > 0, bits, np.nan), pa.float64(), from_pandas=True)],
                     ["doc_id", "lang", *counts, "n_chars", "bits"],
                 )
 
+        held = []
+        for frame in frames:
+            for piece in _slices(frame, SLICE):
+                held.append(folded(piece))
+                if len(held) == TOGETHER:
+                    yield from scores(held)
+                    held = []
+        if held:
+            yield from scores(held)
+
     return named.mapInArrow(rows, kinds)
 
 

@@ -87,6 +87,23 @@ def test_model_and_scores(spark, monkeypatch, rows_of_file, slice_):
     assert written.logs("lnone", np.array([5, 5, 7])).tolist() == [-12.0] * 3  # a language that the model lacks
 
 
+def test_slices_share_a_pass_of_the_model(spark, monkeypatch):
+    """Slices look up their n-grams together, a language at a time, and score as each on its own."""
+    monkeypatch.setattr(perplexity, "SLICE", 5000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    table = perplexity.model(perplexity.counted(docs))
+    want = {r["doc_id"]: r["bits"] for r in perplexity.scored(docs, table).collect()}
+    task, asked, find = [], [], perplexity.Model.find
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, kinds: task.append(f))
+    monkeypatch.setattr(perplexity.Model, "find", lambda self, lang, size, *more: asked.append((lang, size)) or find(self, lang, size, *more))
+    perplexity.scored(docs, table)
+    frame = docs.selectExpr("doc_id", "text", "coalesce('l' || lang, '') lang").toArrow().combine_chunks().to_batches()[0]
+    slices, langs = len(list(perplexity._slices(frame, 5000))), set(frame.column("lang").to_pylist())
+    rows = pa.Table.from_batches(list(task[0](iter([frame])))).to_pylist()
+    assert {r["doc_id"]: r["bits"] for r in rows} == {d: pytest.approx(b, rel=1e-9) for d, b in want.items()}
+    assert slices > 16 and len([x for x in asked if x[1] == perplexity.ORDER]) <= -(-slices // 8) * len(langs)
+
+
 def test_kept_by_plain_medians_and_bands(spark):
     rows = [r.asDict() for r in queries.op7_perplexity_rules(spark, SF).collect()]
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
