@@ -35,7 +35,10 @@ BITS = 12
 OWN_CLASS = 3072
 #: N-grams of a file of the model, and bytes of text that a task folds to distinct n-grams at a time.
 ROWS, SLICE = 1 << 19, 1 << 21
-#: So many slices look up their n-grams together: what a task holds of each is its distinct n-grams and four bytes a character.
+#: N-grams with their counts that a task holds; beyond that it passes them on, and Spark adds up what comes again.
+HELD = 1 << 21
+#: So many slices (twice as many, where they are parts of long texts) look up their n-grams together: what a task holds of each is its
+#: distinct n-grams and four bytes a character.
 TOGETHER = 8
 #: Width of the bands in robust standard deviations, the least deviation in bits, and the length at which the width is 1.4 times that of long texts.
 #: Chosen by text planted in every language below its band (tests/llm/test_perplexity.py).
@@ -55,7 +58,14 @@ def base_counts(texts) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
     w = words_of(texts)
     n_words = np.diff(w.firsts)
-    per_text = lambda marks: np.diff(np.concatenate(([0], np.cumsum(marks)))[w.offsets])
+    some = np.flatnonzero(np.diff(w.offsets))
+
+    def per_text(marks):
+        out = np.zeros(len(texts), np.int64)
+        if len(some):
+            out[some] = np.add.reduceat(marks, w.offsets[some], dtype=np.int64)
+        return out
+
     word_chars = per_text(_IN_WORD[w.data])
     repeated = np.zeros(len(texts), np.int64)
     text_of = np.repeat(np.arange(len(texts)), n_words)
@@ -96,8 +106,22 @@ def grams(texts) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), begins
 
 
+def gram_parts(texts, most: int):
+    """grams of a slice; of a text alone, which may be of any length, in parts of `most` characters, each with its n-grams of the whole text."""
+    import pyarrow as pa
+
+    if len(texts) > 1:
+        yield grams(texts)
+        return
+    text = texts[0].as_py() or ""
+    for i in range(0, max(len(text), 1), most):
+        known = min(i, ORDER - 1)
+        keys = grams(pa.array([text[i - known : i + most]], pa.string()))[0][known:]
+        yield keys, np.array([0, len(keys)])
+
+
 def counted(docs: DataFrame) -> DataFrame:
-    """lang, gram, c over all texts; each task adds up its own first."""
+    """lang, gram, c over all texts; each task adds up its own first, as far as it holds them."""
 
     def rows(frames):
         import pyarrow as pa
@@ -111,25 +135,36 @@ def counted(docs: DataFrame) -> DataFrame:
             first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             return [(keys[first], np.add.reduceat(counts, first))]
 
+        def told():
+            for lang, parts in sums.items():
+                keys, counts = folded(parts)[0]
+                for i in range(0, len(keys), 65536):
+                    k = keys[i : i + 65536]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(counts[i : i + 65536].astype(np.int64))], ["lang", "gram", "c"])
+            sums.clear()
+
+        def held():
+            return sum(len(keys) for parts in sums.values() for keys, _ in parts)
+
         for frame in frames:
-            for piece in _slices(frame):
-                keys, begins = grams(piece.column("text"))
-                if not len(keys):
-                    continue
+            for piece in _slices(frame, SLICE):
                 langs, number = np.unique(np.array([x if x is not None else "" for x in piece.column("lang").to_pylist()], object), return_inverse=True)
-                owner = np.repeat(number, np.diff(begins))
-                for k, lang in enumerate(langs):
-                    parts = sums.setdefault(lang, [])
-                    own = np.sort(keys[owner == k])
-                    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                    parts.append((own[first], np.diff(np.append(first, len(own)))))
-                    if len(parts) > 8:
-                        sums[lang] = folded(parts)
-        for lang, parts in sums.items():
-            keys, counts = folded(parts)[0]
-            for i in range(0, len(keys), 65536):
-                k = keys[i : i + 65536]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(counts[i : i + 65536].astype(np.int64))], ["lang", "gram", "c"])
+                for keys, begins in gram_parts(piece.column("text"), SLICE):
+                    owner = np.repeat(number, np.diff(begins))
+                    for k, lang in enumerate(langs):
+                        own = np.sort(keys[owner == k])
+                        if not len(own):
+                            continue
+                        parts = sums.setdefault(lang, [])
+                        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                        parts.append((own[first], np.diff(np.append(first, len(own)))))
+                        if len(parts) > 8:
+                            sums[lang] = folded(parts)
+                    if held() > HELD:
+                        sums.update({lang: folded(parts) for lang, parts in sums.items()})
+                        if held() > HELD // 2:
+                            yield from told()
+        yield from told()
 
     named = docs.select("text", F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("")).alias("lang"))
     return named.mapInArrow(rows, "lang string, gram bigint, c bigint").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
@@ -255,16 +290,22 @@ def scored(docs: DataFrame, table: DataFrame) -> DataFrame:
         model = Model(path)
 
         def folded(piece):
-            """Rows of a slice by language, their counts, and per language its distinct n-grams, each character's number among these and where texts begin."""
+            """Rows of a slice by language, their counts, and per language its distinct n-grams, each character's number among these and where texts begin.
+            A text longer than a slice comes in parts, the row and its counts with the last."""
             piece = piece.take(pa.array(np.argsort(np.array(piece.column("lang").to_pylist(), object), kind="stable")))
             found = base_counts(piece.column("text"))
-            keys, begins = grams(piece.column("text"))
             langs, first = np.unique(np.array(piece.column("lang").to_pylist(), object), return_index=True)
-            parts = []
-            for lang, i, j in zip(langs, first, np.append(first[1:], piece.num_rows)):
-                coded = pa.array(keys[begins[i] : begins[j]]).dictionary_encode()
-                parts.append((lang, coded.dictionary.to_numpy(), coded.indices.to_numpy(), begins[i : j + 1] - begins[i]))
-            return piece.drop_columns(["text"]), found, parts
+            last = None
+            for keys, begins in gram_parts(piece.column("text"), SLICE):
+                if last:
+                    yield None, None, last
+                last = []
+                for lang, i, j in zip(langs, first, np.append(first[1:], piece.num_rows)):
+                    coded = pa.array(keys[begins[i] : begins[j]]).dictionary_encode()
+                    last.append((lang, coded.dictionary.to_numpy(), coded.indices.to_numpy(), begins[i : j + 1] - begins[i]))
+            yield piece.drop_columns(["text"]), found, last
+
+        before = [0, 0.0]  # characters and bits of the parts of a long text that have been scored
 
         def scores(held):
             logs = {}
@@ -276,8 +317,12 @@ def scored(docs: DataFrame, table: DataFrame) -> DataFrame:
                 for lang, _, number, begins in parts:
                     ends = np.concatenate(([0], np.cumsum(next(logs[lang])[number])))
                     n.append(np.diff(begins))
-                    bits.append((ends[begins[:-1]] - ends[begins[1:]]) / np.maximum(n[-1], 1))
-                n, bits = np.concatenate(n), np.concatenate(bits)
+                    bits.append(ends[begins[:-1]] - ends[begins[1:]])
+                n, bits = np.concatenate(n) + before[0], np.concatenate(bits) + before[1]
+                before[:] = (n[0], bits[0]) if piece is None else (0, 0.0)
+                if piece is None:
+                    continue
+                bits /= np.maximum(n, 1)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), piece.column("lang"), *(pa.array(found[c].astype(np.int64)) for c in counts),
                      pa.array(n.astype(np.int64)), pa.array(np.where(n > 0, bits, np.nan), pa.float64(), from_pandas=True)],
@@ -287,10 +332,11 @@ def scored(docs: DataFrame, table: DataFrame) -> DataFrame:
         held = []
         for frame in frames:
             for piece in _slices(frame, SLICE):
-                held.append(folded(piece))
-                if len(held) == TOGETHER:
-                    yield from scores(held)
-                    held = []
+                for part in folded(piece):
+                    held.append(part)
+                    if sum(x[0] is not None for x in held) == TOGETHER or len(held) == 2 * TOGETHER:
+                        yield from scores(held)
+                        held = []
         if held:
             yield from scores(held)
 

@@ -104,6 +104,68 @@ def test_slices_share_a_pass_of_the_model(spark, monkeypatch):
     assert slices > 16 and len([x for x in asked if x[1] == perplexity.ORDER]) <= -(-slices // 8) * len(langs)
 
 
+def tasks_of(monkeypatch, docs, function, *more):
+    """The Python function that each task of counted or scored runs."""
+    task = []
+    with monkeypatch.context() as m:
+        m.setattr(type(docs), "mapInArrow", lambda self, f, kinds: task.append(f) or docs.selectExpr("'' lang", "0L gram", "0L c"))
+        function(docs, *more)
+    return task[0]
+
+
+def test_tasks_pass_on_counts_beyond_what_they_hold(spark, monkeypatch):
+    """A task whose n-grams are all new holds a bounded number of them, and the counts of all its rows come out."""
+    monkeypatch.setattr(perplexity, "HELD", 20000)
+    rng = random.Random(3)
+    texts = [["".join(chr(97 + rng.randrange(2000)) for _ in range(600)) for _ in range(10)] + ["again " * 20, None] for _ in range(20)]
+    docs = spark.createDataFrame([("x", "en")], "text string, lang string")
+    read, seen, got = 0, [], Counter()
+
+    def frames():
+        nonlocal read
+        for k, some in enumerate(texts):
+            read += 1
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([f"l{k % 2}" if i % 2 else None for i in range(len(some))], pa.string())], ["text", "lang"])
+
+    for batch in tasks_of(monkeypatch, docs, perplexity.counted)(frames()):
+        seen.append(read)
+        for r in batch.to_pylist():
+            got[r["lang"], r["gram"]] += r["c"]
+    want = Counter()
+    for k, some in enumerate(texts):
+        for i, t in enumerate(some):
+            keys, _ = perplexity.grams(pa.array([t], pa.string()))
+            want.update((f"l{k % 2}" if i % 2 else "", x) for x in keys.tolist())
+    assert got == want
+    assert seen[0] <= 5 and seen[-1] == len(texts)
+
+
+def test_long_texts_go_in_parts(spark, monkeypatch):
+    """N-grams of a text of any length are made in parts of a slice, counted and scored as those of the whole text."""
+    rng = random.Random(4)
+    words = ["eins", "zwei", "größer", "日本", "\U0001f642", "zqx"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(n)) if n else None, "de" if i % 3 else None) for i, n in enumerate((9, 4000, 0, 30, 9000, 1, 1500))]
+    rows.append((7, rows[1][1][:1000], "de"))  # no more than a slice
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(1)
+    table = perplexity.model(perplexity.counted(docs))
+    want = {r["doc_id"]: (r["n_chars"], r["n_words"], r["bits"]) for r in perplexity.scored(docs, table).collect()}
+    counts = {(r["lang"], r["gram"]): r["c"] for r in perplexity.counted(docs).collect()}
+    monkeypatch.setattr(perplexity, "SLICE", 1000)
+    made, grams = [], perplexity.grams
+    frame = docs.selectExpr("doc_id", "text", "coalesce('l' || lang, '') lang").toArrow().combine_chunks().to_batches()[0]
+    count, score = tasks_of(monkeypatch, docs, perplexity.counted), tasks_of(monkeypatch, docs, perplexity.scored, table)
+    monkeypatch.setattr(perplexity, "grams", lambda texts: made.append(sum(len(t or "") for t in texts.to_pylist())) or grams(texts))
+    got = Counter()
+    for batch in count(iter([frame])):
+        for r in batch.to_pylist():
+            got[r["lang"], r["gram"]] += r["c"]
+    assert got == counts
+    found = [r for batch in score(iter([frame])) for r in batch.to_pylist()]
+    assert sorted(r["doc_id"] for r in found) == list(range(8))
+    assert {r["doc_id"]: (r["n_chars"], r["n_words"], r["bits"]) for r in found} == {d: (n, w, b if b is None else pytest.approx(b, rel=1e-9)) for d, (n, w, b) in want.items()}
+    assert max(made) <= 1000 + perplexity.ORDER - 1 and len(made) > 100
+
+
 def test_kept_by_plain_medians_and_bands(spark):
     rows = [r.asDict() for r in queries.op7_perplexity_rules(spark, SF).collect()]
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
