@@ -11,7 +11,7 @@ A document's score is its mean -log2 probability per character (the log of its p
 absolute deviation over all documents that pass the base rules give a lower and an upper band; the bands widen for short texts, whose
 means vary more. A document is kept if it passes the base rules and lies within the bands of its language.
 
-Defined results: a null or empty text has no words, fails the base rules and has no score; the null language is a language of its own;
+Defined results: a null or empty text has no words, fails the base rules and has neither score nor bands; the null language is a language of its own;
 repeated rows are counted and returned each; other columns do not matter; an empty table gives an empty one.
 """
 
@@ -354,7 +354,7 @@ def judged(docs: DataFrame) -> DataFrame:
     off = bins.join(middle, "lang").groupBy("lang").agg(F.first("middle").alias("middle"), F.percentile(F.abs(F.col("bin") - F.col("middle")), 0.5, F.col("n")).alias("off"))
     spread = F.greatest(1.4826 * F.col("off") / 1000, F.lit(LEAST_SPREAD))
     bands = stored(off.select("lang", (F.col("middle") / 1000).alias("median_bits"), spread.alias("spread_bits")))
-    wide = F.col("spread_bits") * F.sqrt(1 + SHORT / F.col("n_chars"))
+    wide = F.col("spread_bits") * F.sqrt(1 + F.try_divide(F.lit(SHORT), "n_chars"))
     rows = rows.join(F.broadcast(bands), "lang", "left").withColumns({"least_bits": F.col("median_bits") - BELOW * wide, "most_bits": F.col("median_bits") + ABOVE * wide})
     inside = F.coalesce(F.col("bits").between(F.col("least_bits"), F.col("most_bits")), F.lit(True))
     return rows.withColumn("kept", ~F.col("base_failed") & inside)

@@ -195,6 +195,22 @@ def test_odd_rows(spark):
     assert perplexity.judged(docs.where("false")).count() == 0
 
 
+def test_texts_without_characters_beside_scored_ones(spark):
+    """Null and empty texts of a language that has bands: rows without score or bands, not kept; the other rows have theirs."""
+    rng = random.Random(5)
+    words = [f"w{i}x" for i in range(90)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60)), "en") for i in range(30)] + [(30, None, "en"), (31, "", "en"), (None, "", "en"), (33, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = perplexity.judged(docs).collect()
+    assert len(got) == 34
+    for r in got:
+        if r["n_chars"]:
+            assert not r["base_failed"] and r["least_bits"] < r["median_bits"] < r["most_bits"] and r["kept"] == (r["least_bits"] <= r["bits"] <= r["most_bits"])
+        else:
+            assert r["base_failed"] and not r["kept"] and (r["bits"], r["least_bits"], r["most_bits"]) == (None, None, None)
+    assert sum(r["n_chars"] == 0 for r in got) == 4
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.01"
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
